@@ -1,0 +1,3 @@
+"""Streaming: the reference has no streaming source, sink, window or state
+(its "reactive" cells only re-run UI callbacks), so nothing is built here.
+Every operator in ``statsmith.operators`` is a batch DataFrame transform."""
