@@ -672,3 +672,190 @@ def q_fa_variance(spark, d):
 @query("fa_scores")
 def q_fa_scores(spark, d):
     return R(reduce.factor_analysis(_emb8(spark, d), [f"e{i}" for i in range(8)], 2, "varimax").scores)
+
+
+# ------------------------------------------------------------------ modelling
+from statsmith.ml import evaluate, registry, split, tune  # noqa: E402
+
+
+def _coef_frame(spark, model) -> DataFrame:
+    return spark.createDataFrame([(float(model.intercept), float(model.coefficients[0]))],
+                                 "intercept double, slope double")
+
+
+def _part_reg(spark, d):
+    return table(spark, d, "part").select("p_partkey", "p_retailprice")
+
+
+@query("linreg_ols", """
+SELECT round(regr_intercept(p_retailprice, p_partkey), 6) AS intercept,
+       round(regr_slope(p_retailprice, p_partkey), 6) AS slope FROM part""")
+def q_linreg(spark, d):
+    prep = registry.prepare(_part_reg(spark, d), "p_retailprice", registry.REG, ["p_partkey"])
+    return R(_coef_frame(spark, registry.fit(prep.frame, "linear regression", registry.REG)))
+
+
+_RIDGE_ALPHA = 1.0e9
+
+
+@query("ridge_coef", f"""
+WITH s AS (SELECT avg(p_partkey) AS mx, avg(p_retailprice) AS my,
+                  sum((p_partkey - (SELECT avg(p_partkey) FROM part)) * (p_retailprice - (SELECT avg(p_retailprice) FROM part))) AS sxy,
+                  sum((p_partkey - (SELECT avg(p_partkey) FROM part)) * (p_partkey - (SELECT avg(p_partkey) FROM part))) AS sxx
+           FROM part)
+SELECT round(my - sxy / (sxx + {_RIDGE_ALPHA}) * mx, 6) AS intercept, round(sxy / (sxx + {_RIDGE_ALPHA}), 6) AS slope FROM s""")
+def q_ridge(spark, d):
+    prep = registry.prepare(_part_reg(spark, d), "p_retailprice", registry.REG, ["p_partkey"])
+    m = registry.fit(prep.frame, "ridge", registry.REG, {"alpha": _RIDGE_ALPHA})
+    return R(_coef_frame(spark, m))
+
+
+_LASSO_ALPHA = 5.0
+
+
+@query("lasso_coef", f"""
+WITH s AS (SELECT count(*) AS n, avg(p_partkey) AS mx, avg(p_retailprice) AS my,
+                  covar_pop(p_partkey, p_retailprice) AS c, var_pop(p_partkey) AS v FROM part),
+w AS (SELECT mx, my, sign(c) * greatest(abs(c) - {_LASSO_ALPHA}, 0) / v AS slope FROM s)
+SELECT round(my - slope * mx, 6) AS intercept, round(slope, 6) AS slope FROM w""")
+def q_lasso(spark, d):
+    prep = registry.prepare(_part_reg(spark, d), "p_retailprice", registry.REG, ["p_partkey"])
+    m = registry.fit(prep.frame, "lasso", registry.REG, {"alpha": _LASSO_ALPHA})
+    return R(_coef_frame(spark, m))
+
+
+@query("residuals_ols", """
+WITH c AS (SELECT regr_intercept(p_retailprice, p_partkey) AS a, regr_slope(p_retailprice, p_partkey) AS b FROM part)
+SELECT round(a + b * p_partkey, 4) AS predicted, round(p_retailprice - (a + b * p_partkey), 4) AS residual
+FROM part, c""")
+def q_residuals(spark, d):
+    prep = registry.prepare(_part_reg(spark, d), "p_retailprice", registry.REG, ["p_partkey"])
+    m = registry.fit(prep.frame, "linear regression", registry.REG)
+    return round_doubles(chartdata.residual_data(m.transform(prep.frame)), 4)
+
+
+# Fixed-rule stand-in predictions over lineitem (the operator under test is
+# the metric computation, not a model).
+_CLS_PRED = ("CASE WHEN l_discount > 0.05 THEN 'R' WHEN l_tax > 0.04 THEN 'A' ELSE 'N' END")
+
+
+@query("metrics_cls", f"""
+WITH p AS (SELECT l_returnflag AS label, {_CLS_PRED} AS prediction FROM lineitem),
+cm AS (SELECT label, prediction, count(*) AS n FROM p GROUP BY 1, 2),
+cls AS (SELECT label AS c FROM cm UNION SELECT prediction FROM cm),
+per AS (SELECT cls.c,
+               coalesce((SELECT sum(n) FROM cm WHERE label = cls.c), 0) AS support,
+               coalesce((SELECT sum(n) FROM cm WHERE prediction = cls.c), 0) AS predicted,
+               coalesce((SELECT sum(n) FROM cm WHERE label = cls.c AND prediction = cls.c), 0) AS tp FROM cls),
+m AS (SELECT c, support, CASE WHEN predicted = 0 THEN 0 ELSE tp / predicted END AS pr,
+             CASE WHEN support = 0 THEN 0 ELSE tp / support END AS rc FROM per),
+t AS (SELECT sum(support) AS n, sum(support * pr) AS sp, sum(support * rc) AS sr,
+             sum(support * CASE WHEN pr + rc = 0 THEN 0 ELSE 2 * pr * rc / (pr + rc) END) AS sf FROM m),
+h AS (SELECT sum(n) FILTER (WHERE label = prediction) AS hit FROM cm)
+SELECT 'accuracy' AS metric, round(hit / n, 6) AS value FROM t, h
+UNION ALL SELECT 'precision', round(sp / n, 6) FROM t
+UNION ALL SELECT 'recall', round(sr / n, 6) FROM t
+UNION ALL SELECT 'f1', round(sf / n, 6) FROM t
+UNION ALL SELECT 'n_test', CAST(n AS DOUBLE) FROM t""")
+def q_metrics_cls(spark, d):
+    li = table(spark, d, "lineitem")
+    pred = li.select(F.col("l_returnflag").alias("label"), F.expr(_CLS_PRED).alias("prediction"))
+    return R(evaluate.classification_metrics(pred))
+
+
+@query("metrics_reg", """
+WITH p AS (SELECT l_extendedprice / 1000.0 AS y, l_quantity AS yhat FROM lineitem)
+SELECT 'mse' AS metric, round(avg((y - yhat) * (y - yhat)), 6) AS value FROM p
+UNION ALL SELECT 'mae', round(avg(abs(y - yhat)), 6) FROM p
+UNION ALL SELECT 'r2', round(1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(y)), 6) FROM p
+UNION ALL SELECT 'n_test', CAST(count(*) AS DOUBLE) FROM p""")
+def q_metrics_reg(spark, d):
+    li = table(spark, d, "lineitem")
+    pred = li.select((F.col("l_extendedprice") / 1000.0).alias("label"), F.col("l_quantity").alias("prediction"))
+    return R(evaluate.regression_metrics(pred))
+
+
+def _scored_docs(spark, d):
+    lab = table(spark, d, "labels")
+    doc = table(spark, d, "documents").select("doc_id", "n_chars")
+    return lab.join(doc, "doc_id").select(F.col("quality").alias("label"),
+                                          F.col("n_chars").cast("double").alias("score"))
+
+
+@query("roc_auc", """
+WITH s AS (SELECT quality AS y, CAST(n_chars AS DOUBLE) AS x FROM labels JOIN documents USING (doc_id)),
+r AS (SELECT y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS ar FROM s)
+SELECT round((sum(ar) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+             / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)), 6) AS auc FROM r""")
+def q_roc_auc(spark, d):
+    return R(evaluate.roc_auc_frame(_scored_docs(spark, d)))
+
+
+@query("roc_curve", """
+WITH s AS (SELECT quality AS y, CAST(n_chars AS DOUBLE) AS x FROM labels JOIN documents USING (doc_id)),
+g AS (SELECT x, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY x),
+t AS (SELECT sum(pos) AS P, sum(neg) AS N FROM g)
+SELECT round(x, 6) AS threshold,
+       round(sum(neg) OVER (ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / N, 6) AS fpr,
+       round(sum(pos) OVER (ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / P, 6) AS tpr
+FROM g, t""")
+def q_roc_curve(spark, d):
+    return R(evaluate.roc_curve(_scored_docs(spark, d)))
+
+
+@query("multiclass_auc", """
+WITH s AS (SELECT vec_id, label, u.i - 1 AS cls, CAST(u.v AS DOUBLE) AS x
+           FROM embeddings, unnest(embedding[1:10]) WITH ORDINALITY AS u(v, i)),
+r AS (SELECT cls, CASE WHEN label = cls THEN 1 ELSE 0 END AS y,
+             rank() OVER (PARTITION BY cls ORDER BY x) + (count(*) OVER (PARTITION BY cls, x) - 1) / 2.0 AS ar FROM s)
+SELECT CAST(cls AS INTEGER) AS class,
+       round((sum(ar) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+             / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)), 6) AS auc
+FROM r GROUP BY cls""")
+def q_multiclass_auc(spark, d):
+    e = table(spark, d, "embeddings")
+    scored = e.select(F.col("label").cast("double").alias("label"),
+                      F.expr("transform(slice(embedding, 1, 10), v -> CAST(v AS DOUBLE))").alias("probability"))
+    return R(evaluate.multiclass_roc_auc(scored))
+
+
+@query("split_exact", """
+SELECT count(*) - CAST(ceil(count(*) * 0.2) AS BIGINT) AS n_train, CAST(ceil(count(*) * 0.2) AS BIGINT) AS n_test
+FROM events""")
+def q_split_exact(spark, d):
+    ev = table(spark, d, "events")
+    tr, te = split.train_test_split(ev, 0.2, 42, key="event_id")
+    return spark.createDataFrame([(tr.count(), te.count())], "n_train long, n_test long")
+
+
+def _train_query(model: str, task: str):
+    def run(spark, d):
+        if task == registry.REG:
+            src = table(spark, d, "part").select("p_partkey", "p_size", "p_type", "p_retailprice")
+            tm = registry.train_model(src, "p_retailprice", model, task, key="p_partkey")
+        else:
+            src = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
+            tm = registry.train_model(src, "c_mktsegment", model, task,
+                                      features=["c_acctbal", "c_nationkey"], key="c_custkey")
+        return tm.metrics.select("metric")      # values depend on the fitted model: rows only
+    run.__doc__ = f"Train/evaluate {model} ({task}) on the exact hash split; metric rows only."
+    return run
+
+
+for _m, _tasks in registry.MODEL_TASKS.items():
+    for _t in _tasks:
+        query(f"train_{_m.replace(' ', '_')}_{'cls' if _t == registry.CLS else 'reg'}")(_train_query(_m, _t))
+
+
+@query("feature_importance_rf")
+def q_feature_importance(spark, d):
+    src = table(spark, d, "part").select("p_partkey", "p_size", "p_type", "p_retailprice")
+    tm = registry.train_model(src, "p_retailprice", "random forest", registry.REG, key="p_partkey")
+    return spark.createDataFrame(tm.feature_importance(), "feature string, importance double").select("feature")
+
+
+@query("tune_ridge")
+def q_tune_ridge(spark, d):
+    src = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    _, hist = tune.auto_optimize(src, "p_retailprice", "ridge", registry.REG, key="p_partkey")
+    return hist.select("iteration")
