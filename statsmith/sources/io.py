@@ -41,9 +41,11 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     if fmt == "parquet":
         return read_parquet(spark, path)
+    header = spark.read.option("header", False).csv(path).first()   # one row
+    if header is not None:
+        _check_names([str(v) for v in header])   # Spark would silently rename duplicates
     raw = (spark.read.option("header", True).option("inferSchema", False)
            .option("mode", "PERMISSIVE").option("nullValue", None).csv(path))
-    _check_names(raw.columns)
     tokens = F.array(*[F.lit(t) for t in NA_TOKENS])
     cleaned = raw.select([
         F.when(F.col(c).isNull() | F.array_contains(tokens, F.col(c)), F.lit(None))
