@@ -170,15 +170,19 @@ def neighbours(df: DataFrame, col: str, order_by: list[str] | str,
     P = _parts(df, num_partitions)
     r = _range_tagged(df, [*keys, *order_by], P)
     w = Window.partitionBy(*keys, _PID).orderBy(*order_by)
+    # "next known" lookups run over the reversed order with a growing frame:
+    # Spark evaluates (UNBOUNDED PRECEDING, -1) incrementally, whereas a
+    # (1 FOLLOWING, UNBOUNDED FOLLOWING) frame is re-aggregated for every row
+    wr = Window.partitionBy(*keys, _PID).orderBy(*[F.col(c).desc() for c in order_by])
     rn, k, kp, kn = (TMP + "rn", TMP + "k", TMP + "kp", TMP + "kn")
     r = r.withColumn(rn, F.row_number().over(w))
     r = r.withColumn(k, F.when(F.col(col).isNotNull(), _k(F.col(rn), F.col(col))))
     r = (r.withColumn(kp, F.last(k, True).over(w.rowsBetween(_UNB, -1)))
-          .withColumn(kn, F.first(k, True).over(w.rowsBetween(1, _UNF))))
+          .withColumn(kn, F.last(k, True).over(wr.rowsBetween(_UNB, -1))))
     pair_prev = F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("a"), F.col(kp).alias("b")))
     pair_next = F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("a"), F.col(kn).alias("b")))
     r = (r.withColumn(TMP + "lp", F.last(pair_prev, True).over(w.rowsBetween(_UNB, -1)))
-          .withColumn(TMP + "ln", F.first(pair_next, True).over(w.rowsBetween(1, _UNF))))
+          .withColumn(TMP + "ln", F.last(pair_next, True).over(wr.rowsBetween(_UNB, -1))))
 
     # One row per (key, partition): size, last two and first two known rows.
     known_rn = F.when(F.col(k).isNotNull(), F.col(rn))
@@ -187,6 +191,7 @@ def neighbours(df: DataFrame, col: str, order_by: list[str] | str,
         F.max_by(pair_prev, known_rn).alias(TMP + "last2"),
         F.min_by(pair_next, known_rn).alias(TMP + "first2"))
     wk = Window.partitionBy(*keys).orderBy(_PID)
+    wkr = Window.partitionBy(*keys).orderBy(F.col(_PID).desc())
     off = F.coalesce(F.sum(TMP + "n").over(wk.rowsBetween(_UNB, -1)), F.lit(0))
     meta = meta.withColumn(TMP + "off", off)
 
@@ -198,14 +203,14 @@ def neighbours(df: DataFrame, col: str, order_by: list[str] | str,
                        glob(TMP + "last2.a").alias("la"), glob(TMP + "last2.b").alias("lb"),
                        glob(TMP + "first2.a").alias("fa"), glob(TMP + "first2.b").alias("fb"))
     meta = (meta.withColumn("c1", F.last("la", True).over(wk.rowsBetween(_UNB, -1)))
-                .withColumn("d1", F.first("fa", True).over(wk.rowsBetween(1, _UNF))))
+                .withColumn("d1", F.last("fa", True).over(wkr.rowsBetween(_UNB, -1))))
     up_to = F.when(F.col("la").isNotNull(),
                    F.struct(F.col("la").alias("a"), F.coalesce("lb", "c1").alias("b")))
     from_ = F.when(F.col("fa").isNotNull(),
                    F.struct(F.col("fa").alias("a"), F.coalesce("fb", "d1").alias("b")))
     meta = meta.select(*keys, _PID, TMP + "off",
                        F.last(up_to, True).over(wk.rowsBetween(_UNB, -1)).alias(TMP + "cp"),
-                       F.first(from_, True).over(wk.rowsBetween(1, _UNF)).alias(TMP + "cn"))
+                       F.last(from_, True).over(wkr.rowsBetween(_UNB, -1)).alias(TMP + "cn"))
 
     j = _join_small(r, meta, [*keys, _PID], bounded=not keys)
     offc = F.col(TMP + "off")
