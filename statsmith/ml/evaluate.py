@@ -120,3 +120,12 @@ def feature_importance(model, names: list[str], top: int = 20):
     vals = imp.toArray()
     pairs = sorted(zip(names, [float(v) for v in vals]), key=lambda t: (-t[1], t[0]))[:min(top, len(names))]
     return pairs
+
+
+def score_column(pred: DataFrame, positive_index: int = 1) -> DataFrame:
+    """The ranking score for ROC: the positive-class probability when the
+    model gives one, otherwise its raw margin (SVM, hinge SGD)."""
+    cols = dict(pred.dtypes)
+    src = "probability" if "probability" in cols else "rawPrediction"
+    arr = F.col(src) if cols[src] == "array<double>" else vector_to_array(F.col(src))
+    return pred.withColumn("score", arr[positive_index])

@@ -35,14 +35,17 @@ def group_stats(df: DataFrame, groups: list[str] | str, value: str) -> DataFrame
     sets = [[F.col(g)] for g in groups]
     gid = TMP + "gid"
     agg = df.groupingSets(sets, *groups).agg(*_moments(x), F.grouping_id().alias(gid))
-    parts = []
     n = len(groups)
+    name, level = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, g in enumerate(groups):
         mask = (1 << n) - 1 - (1 << (n - 1 - i))     # every column but g aggregated away
-        parts.append(agg.where((F.col(gid) == mask) & F.col(g).isNotNull())
-                     .select(F.lit(g).alias("group_variable"), F.col(g).cast("string").alias("level"),
-                             "count", "mean", "std", "min", "max"))
-    return reduce(DataFrame.unionByName, parts)
+        name = F.when(F.col(gid) == mask, F.lit(g)).otherwise(name)
+        level = F.when(F.col(gid) == mask, F.col(g).cast("string")).otherwise(level)
+    # one projection over the single aggregate: no per-variable branches, so
+    # the table is scanned and shuffled once for all group variables
+    return (agg.select(name.alias("group_variable"), level.alias("level"),
+                       "count", "mean", "std", "min", "max")
+               .where(F.col("level").isNotNull()))
 
 
 def group_stats_2way(df: DataFrame, f1: str, f2: str, value: str) -> DataFrame:
@@ -92,3 +95,24 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 def stack(frames: list[DataFrame]) -> DataFrame:
     """F8: UNION ALL by column name."""
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
+
+
+def stats_beside_test(df: DataFrame, test: str, groups_: list[str] | str | None = None,
+                      value: str | None = None) -> DataFrame:
+    """The group-statistics frame shown next to a test result.
+
+    Reliability tests (cronbach, bartlett, kmo) describe their variables;
+    shapiro summarises its one value column; the two-way ANOVA gives per-cell
+    statistics; every other test gives per-level statistics per group
+    variable."""
+    from statsmith.operators.profile import describe_transposed, value_stats
+    gl = [groups_] if isinstance(groups_, str) else list(groups_ or [])
+    if test in ("cronbach", "bartlett", "kmo"):
+        return describe_transposed(df, gl)
+    if test == "shapiro":
+        return value_stats(df, value)
+    if test == "anova_twoway":
+        if len(gl) != 2:
+            raise ValueError("two-way ANOVA needs exactly 2 group variables")
+        return group_stats_2way(df, gl[0], gl[1], value)
+    return group_stats(df, gl, value)

@@ -92,19 +92,25 @@ def describe(df: DataFrame) -> DataFrame:
 
 
 def _describe_objects(df: DataFrame) -> DataFrame:
-    cols = [c for c in df.columns]
-    parts = []
-    for c in cols:
-        vc = df.where(F.col(c).isNotNull()).groupBy(c).count()
-        top = (vc.orderBy(F.desc("count"), F.asc(c)).limit(1)
-                 .select(F.col(c).cast("string").alias("top"), F.col("count").alias("freq")))
-        summ = df.agg(F.count(c).alias("count"), F.count_distinct(c).alias("unique"))
-        parts.append(summ.join(F.broadcast(top), how="left").select(
-            F.lit(c).alias("variable"), "count", "unique", "top", "freq"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """count, unique, top (most frequent, smallest on ties), freq for every
+    column, in three aggregate passes whatever the number of columns: one for
+    count / unique, one over the stacked (variable, value) counts for the top
+    frequency, one for the smallest value reaching it (no window, so a column
+    with many distinct values is never gathered into one task)."""
+    cols = df.columns
+    summ = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)],
+                  *[F.count_distinct(F.col(f"`{c}`")).alias(f"u{i}") for i, c in enumerate(cols)])
+    items = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"c{i}").alias("count"),
+                               F.col(f"u{i}").alias("unique")) for i, c in enumerate(cols)])
+    base = summ.select(F.inline(items))
+    stacked = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("string").alias("value"))
+        for c in cols]))).where(F.col("value").isNotNull())
+    vc = stacked.groupBy("variable", "value").count()
+    best = vc.groupBy("variable").agg(F.max("count").alias("freq"))
+    top = (vc.join(best, "variable").where(F.col("count") == F.col("freq"))
+             .groupBy("variable", "freq").agg(F.min("value").alias("top")))
+    return base.join(top, "variable", "left").select("variable", "count", "unique", "top", "freq")
 
 
 def value_stats(df: DataFrame, col: str) -> DataFrame:

@@ -859,3 +859,56 @@ def q_tune_ridge(spark, d):
     src = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
     _, hist = tune.auto_optimize(src, "p_retailprice", "ridge", registry.REG, key="p_partkey")
     return hist.select("iteration")
+
+
+
+# ------------------------------------------------------------------ coverage additions
+@query("preview_orders")
+def q_preview(spark, d):
+    """A2/A3: first rows for display; the limit is the feature (rows only)."""
+    from statsmith.sources import preview
+    return preview(table(spark, d, "orders"), 20)
+
+
+@query("csv_roundtrip_supplier", """
+SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey,
+       round(s_acctbal, 6) AS s_acctbal FROM supplier""")
+def q_csv_roundtrip(spark, d):
+    """A4 then A1: write the table as CSV into the checkpoint folder, read it
+    back with pandas-style inference."""
+    import uuid
+
+    from statsmith.session import checkpoint_dir
+    from statsmith.sources import read_table, write_csv
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    write_csv(table(spark, d, "supplier"), path)
+    return R(read_table(spark, path))
+
+
+@query("scree_part", """
+WITH r AS (SELECT count(*) AS n, corr(p_partkey, p_retailprice) AS rr FROM part)
+SELECT 'PC1' AS component, round(n / (n - 1.0) * (1 + abs(rr)), 6) AS eigenvalue, 1.0 AS reference FROM r
+UNION ALL SELECT 'PC2', round(n / (n - 1.0) * (1 - abs(rr)), 6), 1.0 FROM r""")
+def q_scree(spark, d):
+    res = reduce.pca(table(spark, d, "part"), ["p_partkey", "p_retailprice"], k=2)
+    return R(chartdata.scree_data(res.variance))
+
+
+@query("stats_beside_kruskal", """
+SELECT 'event_type' AS group_variable, event_type AS level, count(value) AS count, round(avg(value), 6) AS mean,
+       round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max
+FROM events GROUP BY event_type""")
+def q_stats_beside(spark, d):
+    return R(groups.stats_beside_test(table(spark, d, "events"), "kruskal", "event_type", "value"))
+
+
+@query("roc_from_margin_svm")
+def q_roc_margin(spark, d):
+    """A model without probabilities (linear SVM) ranked by its margin."""
+    lab = table(spark, d, "labels")
+    doc = table(spark, d, "documents").select("doc_id", "n_chars", "lang")
+    src = lab.join(doc, "doc_id").select("doc_id", "n_chars", "lang", "quality")
+    tm = registry.train_model(src, "quality", "support vector machine", registry.CLS,
+                              features=["n_chars", "lang"], params={"kernel": "linear"}, key="doc_id")
+    scored = evaluate.score_column(tm.predictions)
+    return evaluate.roc_auc_frame(scored.withColumn("y", F.col("label").cast("int")), label="y")
