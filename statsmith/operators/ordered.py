@@ -21,6 +21,7 @@ holds a third of the rows simply spans many range partitions.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,19 +37,28 @@ def _parts(df: DataFrame, num_partitions: int | None) -> int:
     return num_partitions or shuffle_partitions(df.sparkSession)
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once through a reliable ``checkpoint()`` (the folder named
+    by ``spark.checkpoint.dir``) and return the stored copy.  The frame is
+    persisted while the checkpoint is written so the write reads cached blocks
+    instead of recomputing them, then released."""
+    checkpoint_dir(df.sparkSession)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
+
+
 def _range_tagged(df: DataFrame, sort_cols: list[str], P: int) -> DataFrame:
-    """Range-partition by ``sort_cols`` and store each row's partition index.
-
-    The index is written through a reliable ``checkpoint()`` (the folder named
-    by ``spark.checkpoint.dir``).  Two plans that each range-partition the same
-    input sample their boundaries independently, so partition ids are only
-    comparable across the per-partition summary and the rows when both read
-    one stored copy; the checkpoint also cuts lineage so a lost executor never
-    re-derives different ids.
+    """Range-partition by ``sort_cols`` and tag each row with its partition.
+
+    Two plans that each range-partition the same input sample their
+    boundaries independently, so partition ids are only comparable between
+    the per-partition summary and the rows when both read one stored copy:
+    callers materialise the tagged frame (``_materialize``) before branching,
+    which also cuts lineage so a lost executor never re-derives other ids.
     """
-    checkpoint_dir(df.sparkSession)
-    tagged = df.repartitionByRange(P, *sort_cols).withColumn(_PID, F.spark_partition_id())
-    return tagged.checkpoint(eager=True)
+    return df.repartitionByRange(P, *sort_cols).withColumn(_PID, F.spark_partition_id())
 
 
 def _join_small(big: DataFrame, small: DataFrame, on: list[str], bounded: bool) -> DataFrame:
@@ -85,7 +95,7 @@ def ranked_values(df: DataFrame, value: str, keys: list[str] | tuple = (),
             .agg(F.count(F.lit(1)).alias("cnt"),
                  *[F.sum(c).alias(n) for n, c in weights.items()]))
     wnames = ["cnt"] + list(weights)
-    r = _range_tagged(vt, [*keys, value], P)
+    r = _materialize(_range_tagged(vt, [*keys, value], P))
     tot = r.groupBy(*keys, _PID).agg(*[F.sum(w).alias(TMP + "t_" + w) for w in wnames])
     wk = Window.partitionBy(*keys).orderBy(_PID)
     off = tot.select(
@@ -109,18 +119,93 @@ def _unpivot(df: DataFrame, cols: list[str], keys: list[str] = ()) -> DataFrame:
     return df.select(*keys, F.inline(items))
 
 
+BRACKET_ACCURACY = 100_000
+# Below this many (row, column) values one full value-table shuffle is cheaper
+# than the extra passes of the bracket method.
+FULL_PATH_MAX_VALUES = 20_000_000
+
+
+def _interp(lo: Column, hi: Column, fr: Column) -> Column:
+    return lo + (hi - lo) * fr
+
+
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], keys: list[str] = (),
-              num_partitions: int | None = None) -> DataFrame:
+              num_partitions: int | None = None, method: str = "auto") -> DataFrame:
     """Exact quantiles with linear interpolation (the pandas / ``percentile`` /
     ``quantile_cont`` definition) for several columns in one job.
 
     Output: ``keys..., variable, q_0, q_1, ...`` (one column per prob, in order).
     h = (n - 1) p; result = x[floor h] + (x[ceil h] - x[floor h]) (h - floor h).
+
+    ``method="bracket"`` first brackets every target rank with
+    ``percentile_approx`` (rank error <= n / accuracy; the bracket is widened
+    to twice that), counts the rows below each bracket and ranks only the rows
+    inside it, so the exact step touches ~4 n / accuracy rows per quantile
+    instead of the whole column.  Every bracket is verified to contain its
+    target ranks; if any does not, the result comes from ``method="full"``
+    (the ranked value table over all rows).  ``method="auto"`` uses the full
+    path while rows x columns <= ``FULL_PATH_MAX_VALUES`` and brackets above.
     """
     require_numeric(df, cols)
     keys = list(keys)
-    rv = ranked_values(_unpivot(df, cols, keys), "value", [*keys, "variable"],
-                       num_partitions=num_partitions)
+    long = _unpivot(df, cols, keys).where(F.col("value").isNotNull())
+    gk = [*keys, "variable"]
+    if method == "auto":
+        method = "full" if df.count() * len(cols) <= FULL_PATH_MAX_VALUES else "bracket"
+    if method == "full":
+        return _quantiles_full(long, gk, probs, num_partitions)
+    A = BRACKET_ACCURACY
+    d = 2.0 / A
+    ext = []
+    for p in probs:
+        ext += [max(0.0, p - d), min(1.0, p + d)]
+    approx = (long.groupBy(*gk)
+                  .agg(F.count(F.lit(1)).alias("n"),
+                       F.percentile_approx("value", F.array(*[F.lit(float(e)) for e in ext]), A).alias("b"))
+                  .checkpoint(eager=True))            # one row per (key, column)
+    # rows inside any bracket, tagged with the quantile(s) they can serve
+    j = long.join(F.broadcast(approx) if not keys else approx, gk)
+    tags = F.array(*[F.when((F.col("value") >= F.col("b")[2 * i]) & (F.col("value") <= F.col("b")[2 * i + 1]),
+                            F.lit(i)) for i in range(len(probs))])
+    below = j.groupBy(*gk).agg(*[F.count(F.when(F.col("value") < F.col("b")[2 * i], 1)).alias(f"below{i}")
+                                 for i in range(len(probs))],
+                               *[F.count(F.when((F.col("value") >= F.col("b")[2 * i]) &
+                                                (F.col("value") <= F.col("b")[2 * i + 1]), 1)).alias(f"inb{i}")
+                                 for i in range(len(probs))])
+    inside = (j.select(*gk, "value", F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("qi")))
+    rv = ranked_values(inside, "value", [*gk, "qi"], num_partitions=num_partitions)
+    meta = approx.select(*gk, "n").join(below, gk)
+    r = rv.join(meta, gk)
+    h = {i: (F.col("n") - 1).cast("double") * F.lit(float(p)) for i, p in enumerate(probs)}
+    aggs, checks = [], []
+    for i in range(len(probs)):
+        lo_t = F.floor(h[i]) - F.col(f"below{i}")
+        hi_t = F.ceil(h[i]) - F.col(f"below{i}")
+        mine = F.col("qi") == i
+        inside_k = lambda k: mine & (F.col("cum_before") <= k) & (k < F.col("cum_before") + F.col("cnt"))
+        aggs += [F.max(F.when(inside_k(lo_t), F.col("value"))).alias(f"{TMP}lo{i}"),
+                 F.max(F.when(inside_k(hi_t), F.col("value"))).alias(f"{TMP}hi{i}"),
+                 F.max(h[i] - F.floor(h[i])).alias(f"{TMP}fr{i}")]
+    res = meta.join(r.groupBy(*gk).agg(*aggs), gk, "left").checkpoint(eager=True)  # one row per group
+    found = _all([F.col(f"{TMP}lo{i}").isNotNull() & F.col(f"{TMP}hi{i}").isNotNull()
+                  for i in range(len(probs))])
+    ok = res.agg(F.count(F.lit(1)).alias("groups"), F.count(F.when(found, 1)).alias("good")).first()
+    if ok["groups"] != ok["good"]:
+        return _quantiles_full(long, gk, probs, num_partitions)
+    return res.select(*gk, *[_interp(F.col(f"{TMP}lo{i}"), F.col(f"{TMP}hi{i}"), F.col(f"{TMP}fr{i}"))
+                             .alias(f"q_{i}") for i in range(len(probs))])
+
+
+def _all(conds: list[Column]) -> Column:
+    out = conds[0]
+    for c in conds[1:]:
+        out = out & c
+    return out
+
+
+def _quantiles_full(long: DataFrame, gk: list[str], probs: list[float],
+                    num_partitions: int | None) -> DataFrame:
+    rv = ranked_values(long, "value", gk, num_partitions=num_partitions)
     pos = []
     for i, p in enumerate(probs):
         h = (F.col("total") - 1).cast("double") * F.lit(float(p))
@@ -129,10 +214,9 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], keys: list[str
         pos += [F.max(F.when(inside(lo), F.col("value"))).alias(f"{TMP}lo{i}"),
                 F.max(F.when(inside(hi), F.col("value"))).alias(f"{TMP}hi{i}"),
                 F.max(h - lo).alias(f"{TMP}fr{i}")]
-    agg = rv.groupBy(*keys, "variable").agg(*pos)
-    return agg.select(*keys, "variable", *[
-        (F.col(f"{TMP}lo{i}") + (F.col(f"{TMP}hi{i}") - F.col(f"{TMP}lo{i}")) * F.col(f"{TMP}fr{i}"))
-        .alias(f"q_{i}") for i in range(len(probs))])
+    agg = rv.groupBy(*gk).agg(*pos)
+    return agg.select(*gk, *[_interp(F.col(f"{TMP}lo{i}"), F.col(f"{TMP}hi{i}"), F.col(f"{TMP}fr{i}"))
+                             .alias(f"q_{i}") for i in range(len(probs))])
 
 
 def quantile_values(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
@@ -183,6 +267,9 @@ def neighbours(df: DataFrame, col: str, order_by: list[str] | str,
     pair_next = F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("a"), F.col(kn).alias("b")))
     r = (r.withColumn(TMP + "lp", F.last(pair_prev, True).over(w.rowsBetween(_UNB, -1)))
           .withColumn(TMP + "ln", F.last(pair_next, True).over(wr.rowsBetween(_UNB, -1))))
+    # one job computes partition ids and all window columns; both branches
+    # below (per-partition summary and row lookups) read the stored result
+    r = _materialize(r)
 
     # One row per (key, partition): size, last two and first two known rows.
     known_rn = F.when(F.col(k).isNotNull(), F.col(rn))

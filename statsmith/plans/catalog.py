@@ -912,3 +912,16 @@ def q_roc_margin(spark, d):
                               features=["n_chars", "lang"], params={"kernel": "linear"}, key="doc_id")
     scored = evaluate.score_column(tm.predictions)
     return evaluate.roc_auc_frame(scored.withColumn("y", F.col("label").cast("int")), label="y")
+
+
+@query("quantiles_bracket_lineitem", " UNION ALL ".join(
+    f"SELECT '{c}' AS variable, " + ", ".join(
+        f"round(quantile_cont(CAST({c} AS DOUBLE), {p}), 6) AS q_{i}"
+        for i, p in enumerate([0.01, 0.25, 0.5, 0.75, 0.99])) + " FROM lineitem"
+    for c in ["l_quantity", "l_extendedprice", "l_discount"]))
+def q_quantiles_bracket(spark, d):
+    """Exact quantiles through the approximate-bracket path (the large-data
+    method), checked against exact SQL."""
+    li = table(spark, d, "lineitem")
+    return R(ordered.quantiles(li, ["l_quantity", "l_extendedprice", "l_discount"],
+                               [0.01, 0.25, 0.5, 0.75, 0.99], method="bracket"))

@@ -70,3 +70,19 @@ def test_quantiles_match_pandas(spark):
         exp = pdf[c].quantile(probs).to_numpy()
         got = [q[c][f"q_{i}"] for i in range(len(probs))]
         assert np.allclose(got, exp, rtol=1e-12)
+
+
+def test_bracket_quantiles_equal_full_path(spark):
+    rng = np.random.default_rng(31)
+    n = 20000
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 7, n).astype(float),
+                        "g": rng.choice(["x", "y"], n)})
+    pdf.loc[: n // 3, "a"] = 1.25                        # a hot value: a third of the rows
+    df = spark.createDataFrame(pdf)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    fast = ordered.quantiles(df, ["a", "b"], probs, keys=["g"], method="bracket").toPandas().sort_values(["g", "variable"])
+    full = ordered.quantiles(df, ["a", "b"], probs, keys=["g"], method="full").toPandas().sort_values(["g", "variable"])
+    assert np.allclose(fast.filter(like="q_").to_numpy(), full.filter(like="q_").to_numpy(), rtol=0, atol=0)
+    exp = pdf.groupby("g")["a"].quantile(probs).to_numpy()
+    got = fast[fast.variable == "a"].filter(like="q_").to_numpy().ravel()
+    assert np.allclose(got, exp, rtol=1e-12)
