@@ -70,7 +70,7 @@ BOOST_DEFAULTS = {"gradient boosting": (100, 3, 0.1, 32), "xgboost": (100, 6, 0.
 MAX_DEPTH = 30
 # Deep trees: keep each row's node id (no re-walk of the tree per level),
 # split more nodes per pass over the data, and cut the node-id lineage.
-_TREE_SPEED = dict(cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
+_TREE_SPEED = dict(cacheNodeIds=True, maxMemoryInMB=512, checkpointInterval=10)
 
 
 @dataclass

@@ -39,8 +39,12 @@ def _check(df: DataFrame, cols: list[str], k: int) -> None:
 
 
 def _fix_signs(L: np.ndarray) -> np.ndarray:
-    """Make the largest-magnitude loading of every column positive."""
-    idx = np.argmax(np.abs(L), axis=0)
+    """Make the largest-magnitude loading of every column positive; among
+    loadings equal in magnitude up to rounding (1e-12) the first one wins, so
+    the rule does not depend on floating-point noise."""
+    A = np.abs(L)
+    near = A >= A.max(axis=0) - 1e-12
+    idx = np.argmax(near, axis=0)
     s = np.sign(L[idx, np.arange(L.shape[1])])
     s[s == 0] = 1.0
     return L * s

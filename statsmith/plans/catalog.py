@@ -925,3 +925,28 @@ def q_quantiles_bracket(spark, d):
     li = table(spark, d, "lineitem")
     return R(ordered.quantiles(li, ["l_quantity", "l_extendedprice", "l_discount"],
                                [0.01, 0.25, 0.5, 0.75, 0.99], method="bracket"))
+
+
+@query("pca_loadings_part", """
+WITH r AS (SELECT corr(p_partkey, p_retailprice) AS rr FROM part)
+SELECT 'p_partkey' AS variable, round(sqrt(0.5), 6) AS PC1, round(sqrt(0.5), 6) AS PC2 FROM r
+UNION ALL
+SELECT 'p_retailprice', round(CASE WHEN rr > 0 THEN sqrt(0.5) ELSE -sqrt(0.5) END, 6),
+       round(CASE WHEN rr > 0 THEN -sqrt(0.5) ELSE sqrt(0.5) END, 6) FROM r""")
+def q_pca_loadings(spark, d):
+    """H6: for two standardised variables the unit eigenvectors are
+    (1, +-1)/sqrt(2); the sign rule makes the largest loading positive, the
+    first one on ties, so both first-variable loadings are positive."""
+    return R(reduce.pca(table(spark, d, "part"), ["p_partkey", "p_retailprice"], k=2).loadings)
+
+
+def _emb_all(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+
+
+@query("pca_embeddings_64")
+def q_pca_emb64(spark, d):
+    """PCA over all 64 embedding dimensions: the wide Gram path (mapInArrow
+    partial X^T X) - explained variance table, rows only."""
+    return R(reduce.pca(_emb_all(spark, d), [f"e{i}" for i in range(64)], k=10).variance)

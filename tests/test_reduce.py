@@ -68,3 +68,15 @@ def test_pca_rejects_bad_k(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
     with pytest.raises(ValueError):
         reduce.pca(df, ["a", "b"], 3)
+
+
+def test_wide_gram_matches_numpy(spark):
+    from statsmith.operators.gram import WIDE, gram
+    rng = np.random.default_rng(15)
+    p = WIDE + 5
+    X = rng.normal(size=(700, p)) * rng.uniform(0.5, 3, p) + rng.normal(0, 50, p)
+    names = [f"c{i}" for i in range(p)]
+    g = gram(_frame(spark, X, names).repartition(5), names)
+    assert g.n == 700
+    assert np.allclose(g.mean, X.mean(0), rtol=1e-10)
+    assert np.allclose(g.cov, np.cov(X, rowvar=False, ddof=0), rtol=1e-9, atol=1e-9)
