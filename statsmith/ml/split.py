@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from statsmith.functions.columns import TMP, require_columns
 from statsmith.operators import ordered
-from statsmith.session import checkpoint_dir
+from statsmith.session import stored
 
 _H = TMP + "h"
 
@@ -25,10 +25,9 @@ _H = TMP + "h"
 def _take_exact(tie: DataFrame, need: int) -> tuple[DataFrame, DataFrame]:
     """Split ``tie`` into exactly ``need`` rows and the rest, spreading the
     work over partitions (quota per partition from a prefix of counts)."""
-    checkpoint_dir(tie.sparkSession)
     pid = TMP + "tp"
     P = tie.sparkSession.sparkContext.defaultParallelism
-    tagged = tie.repartition(max(P, 1)).withColumn(pid, F.spark_partition_id()).checkpoint(eager=True)
+    tagged = stored(tie.repartition(max(P, 1)).withColumn(pid, F.spark_partition_id()))
     counts = sorted((r[0], r[1]) for r in tagged.groupBy(pid).count().collect())  # <= P rows
     quota, left = {}, need
     for p, c in counts:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from statsmith.ml import evaluate, registry
 from statsmith.ml.split import hash_folds, train_test_split
+from statsmith.session import stored
 
 CLS, REG = registry.CLS, registry.REG
 
@@ -114,7 +115,7 @@ def auto_optimize(df: DataFrame, target: str, model: str, task: str, features=No
     prep = registry.prepare(df, target, task, features, keep=keys)
     split_key = keys or [*prep.feature_names, target]
     train, _ = train_test_split(prep.frame, test_size, seed, key=split_key)
-    train = train.checkpoint(eager=True)       # read by every fold of every evaluation
+    train = stored(train)       # read by every fold of every evaluation
     names = list(bounds)
     lo = np.array([bounds[k][0] for k in names], dtype=float)
     hi = np.array([bounds[k][1] for k in names], dtype=float)

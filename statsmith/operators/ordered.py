@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statsmith.functions.columns import TMP, dbl, require_columns, require_numeric
-from statsmith.session import checkpoint_dir, shuffle_partitions
+from statsmith.session import shuffle_partitions, stored
 
 _PID = TMP + "pid"
 _UNB = Window.unboundedPreceding
@@ -42,9 +42,8 @@ def _materialize(df: DataFrame) -> DataFrame:
     by ``spark.checkpoint.dir``) and return the stored copy.  The frame is
     persisted while the checkpoint is written so the write reads cached blocks
     instead of recomputing them, then released."""
-    checkpoint_dir(df.sparkSession)
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = df.checkpoint(eager=True)
+    out = stored(df)
     df.unpersist()
     return out
 
@@ -162,7 +161,8 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], keys: list[str
     approx = (long.groupBy(*gk)
                   .agg(F.count(F.lit(1)).alias("n"),
                        F.percentile_approx("value", F.array(*[F.lit(float(e)) for e in ext]), A).alias("b"))
-                  .checkpoint(eager=True))            # one row per (key, column)
+                  )
+    approx = stored(approx)            # one row per (key, column)
     # rows inside any bracket, tagged with the quantile(s) they can serve
     j = long.join(F.broadcast(approx) if not keys else approx, gk)
     tags = F.array(*[F.when((F.col("value") >= F.col("b")[2 * i]) & (F.col("value") <= F.col("b")[2 * i + 1]),
@@ -186,7 +186,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], keys: list[str
         aggs += [F.max(F.when(inside_k(lo_t), F.col("value"))).alias(f"{TMP}lo{i}"),
                  F.max(F.when(inside_k(hi_t), F.col("value"))).alias(f"{TMP}hi{i}"),
                  F.max(h[i] - F.floor(h[i])).alias(f"{TMP}fr{i}")]
-    res = meta.join(r.groupBy(*gk).agg(*aggs), gk, "left").checkpoint(eager=True)  # one row per group
+    res = stored(meta.join(r.groupBy(*gk).agg(*aggs), gk, "left"))  # one row per group
     found = _all([F.col(f"{TMP}lo{i}").isNotNull() & F.col(f"{TMP}hi{i}").isNotNull()
                   for i in range(len(probs))])
     ok = res.agg(F.count(F.lit(1)).alias("groups"), F.count(F.when(found, 1)).alias("good")).first()

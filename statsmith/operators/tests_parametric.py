@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from statsmith.functions import dist
 from statsmith.functions.columns import TMP, dbl, require_columns, require_numeric
 from statsmith.operators.groups import crosstab
+from statsmith.session import stored
 
 ALPHA = 0.05
 
@@ -100,7 +101,7 @@ def anova_oneway(df: DataFrame, group: str, value: str) -> DataFrame:
     gs = (df.where(F.col(group).isNotNull() & x.isNotNull())
             .groupBy(group).agg(F.count(x).alias("n"), F.avg(x).alias("m"),
                                 F.var_samp(x).alias("v"), F.sum(x).alias("s")))
-    gs = gs.checkpoint(eager=True)    # one row per group, read twice below
+    gs = stored(gs)    # one row per group, read twice below
     tot = gs.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"), F.sum("s").alias("S")).first()
     k, N = tot["k"], tot["N"]
     if k is None or k < 2:
@@ -133,9 +134,9 @@ def anova_twoway_table(df: DataFrame, f1: str, f2: str, value: str) -> DataFrame
     x = dbl(value)
     clean = df.where(F.col(f1).isNotNull() & F.col(f2).isNotNull() & x.isNotNull())
     gid = TMP + "gid"
-    cube = (clean.cube(f1, f2).agg(F.count(x).alias("n"), F.avg(x).alias("m"),
-                                   F.var_pop(x).alias("vp"), F.grouping_id().alias(gid))
-                 .checkpoint(eager=True))       # margins: bounded by the number of cells
+    cube = stored(clean.cube(f1, f2).agg(F.count(x).alias("n"), F.avg(x).alias("m"),
+                                         F.var_pop(x).alias("vp"), F.grouping_id().alias(gid)))
+    # margins: bounded by the number of cells
     grand = cube.where(F.col(gid) == 3).first()
     if grand is None:
         raise ValueError("two-way ANOVA needs complete rows")
@@ -192,7 +193,7 @@ def chi_square_detail(df: DataFrame, a: str, b: str) -> DataFrame:
     """G5/G6 detail: ``a, b, observed, expected, contribution`` per cell
     (zero cells included).  Yates' correction (|O - E| reduced by
     min(0.5, |O - E|)) applies when the table has one degree of freedom."""
-    cells = crosstab(df, a, b).checkpoint(eager=True)   # r x c cells, read three times
+    cells = stored(crosstab(df, a, b))   # r x c cells, read three times
     shape = cells.agg(F.sum("count").alias("N"), F.count_distinct(a).alias("r"),
                       F.count_distinct(b).alias("c")).first()
     N, dof = shape["N"], (shape["r"] - 1) * (shape["c"] - 1)

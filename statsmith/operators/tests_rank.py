@@ -18,6 +18,7 @@ from statsmith.functions import dist
 from statsmith.functions.columns import TMP, dbl, ndtri, require_columns, require_numeric
 from statsmith.operators import ordered
 from statsmith.operators.tests_parametric import ALPHA, _fnan, _frame
+from statsmith.session import stored
 
 
 def rank_sums(df: DataFrame, group: str, value: str) -> tuple[DataFrame, float, int]:
@@ -30,7 +31,7 @@ def rank_sums(df: DataFrame, group: str, value: str) -> tuple[DataFrame, float,
         F.col(group).alias(TMP + "g"), x.alias(TMP + "x"))
     gv = clean.groupBy(TMP + "g", TMP + "x").agg(F.count(F.lit(1)).alias(TMP + "n"))
     rv = _weighted_ranks(gv)
-    rv = rv.checkpoint(eager=True)     # distinct values with ranks, read twice
+    rv = stored(rv)     # distinct values with ranks, read twice
     tie = rv.agg(F.sum(F.col("cnt").cast("double") ** 3 - F.col("cnt").cast("double")).alias("tie"),
                  F.sum("cnt").alias("N")).first()
     sums = (gv.join(rv.select(TMP + "x", "avg_rank"), TMP + "x")

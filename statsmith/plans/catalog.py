@@ -568,11 +568,49 @@ def q_kruskal(spark, d):
     return R(tests_rank.kruskal(table(spark, d, "events"), "event_type", "value").drop("p_value", "significant"))
 
 
-@query("shapiro_acctbal")
+def _horner_sql(coeffs, x: str) -> str:
+    acc = repr(coeffs[0])
+    for c in coeffs[1:]:
+        acc = f"({acc} * {x} + {c!r})"
+    return acc
+
+
+def _ndtri_sql(p: str) -> str:
+    """AS 241 written out in SQL from the same fixed coefficients."""
+    from statsmith.functions import columns as C
+    q = f"({p} - 0.5)"
+    rc = f"(0.180625 - {q} * {q})"
+    r = f"sqrt(-ln(CASE WHEN {q} <= 0 THEN {p} ELSE 1 - {p} END))"
+    rm, rt = f"({r} - 1.6)", f"({r} - 5.0)"
+    central = f"{q} * {_horner_sql(C.AS241_CENTRAL_NUM, rc)} / {_horner_sql(C.AS241_CENTRAL_DEN, rc)}"
+    mag = (f"CASE WHEN {r} <= 5.0 THEN {_horner_sql(C.AS241_MID_NUM, rm)} / {_horner_sql(C.AS241_MID_DEN, rm)} "
+           f"ELSE {_horner_sql(C.AS241_TAIL_NUM, rt)} / {_horner_sql(C.AS241_TAIL_DEN, rt)} END")
+    return f"(CASE WHEN abs({q}) <= 0.425 THEN {central} ELSE (CASE WHEN {q} < 0 THEN -1 ELSE 1 END) * ({mag}) END)"
+
+
+def _poly_sql(coeffs, x: str) -> str:
+    return " + ".join(f"{c!r} * pow({x}, {i})" for i, c in enumerate(coeffs))
+
+
+@query("shapiro_acctbal", f"""
+WITH o AS (SELECT s_acctbal AS v, row_number() OVER (ORDER BY s_acctbal) AS i, count(*) OVER () AS n
+           FROM supplier WHERE s_acctbal IS NOT NULL),
+m AS (SELECT v, i, n, {_ndtri_sql("((i - 0.375) / (n + 0.25))")} AS mi FROM o),
+g AS (SELECT max(n) AS n, sum(mi * mi) AS S, sum(CASE WHEN i > 2 AND i < n - 1 THEN mi * v END) AS mid,
+             max(CASE WHEN i = 1 THEN v END) AS x1, max(CASE WHEN i = 2 THEN v END) AS x2,
+             max(CASE WHEN i = n - 1 THEN v END) AS xn1, max(CASE WHEN i = n THEN v END) AS xn,
+             max(CASE WHEN i = n THEN mi END) AS mn, max(CASE WHEN i = n - 1 THEN mi END) AS mn1,
+             var_pop(v) * count(*) AS ssq FROM m),
+a AS (SELECT *, mn / sqrt(S) + ({_poly_sql(tests_rank.SW_AN, "1 / sqrt(n)")}) AS an,
+                mn1 / sqrt(S) + ({_poly_sql(tests_rank.SW_AN1, "1 / sqrt(n)")}) AS an1 FROM g),
+f AS (SELECT *, (S - 2 * mn * mn - 2 * mn1 * mn1) / (1 - 2 * an * an - 2 * an1 * an1) AS phi FROM a)
+SELECT CAST(n AS BIGINT) AS n,
+       round(least(1.0, pow(an * (xn - x1) + an1 * (xn1 - x2) + mid / sqrt(phi), 2) / ssq), 6) AS w_statistic
+FROM f""")
 def q_shapiro(spark, d):
-    """Rows-only check here; W and p are verified against published values in
-    the unit tests."""
-    return R(tests_rank.shapiro(table(spark, d, "supplier"), "s_acctbal"))
+    """W against SQL (n > 5 here); the p-value is verified against published
+    values in the unit tests."""
+    return R(tests_rank.shapiro(table(spark, d, "supplier"), "s_acctbal").select("n", "w_statistic"))
 
 
 @query("cronbach", """

@@ -60,6 +60,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def stored(df):
+    """Reliable checkpoint of ``df`` (eager) in the folder named by
+    ``spark.checkpoint.dir``: cuts lineage, and every later read sees the same
+    rows even if executors are lost.  Never a local checkpoint."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
