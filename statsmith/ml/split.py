@@ -1,9 +1,9 @@
 """Exact, repeatable train/test split.
 
 Rows are ordered by ``xxhash64(key, seed)``; the test part is the
-ceil(n * test_size) rows with the smallest hashes.  The threshold hash comes
-from the ranked value table (``ordered.ranked_values``), so no task sorts all
-rows, and the result does not depend on how the frame is partitioned.  When
+ceil(n * test_size) rows with the smallest hashes.  The threshold hash is an exact order statistic (``ordered.order_statistic``:
+approximate bracket, exact ranking inside it), so no task sorts all rows, and
+the result does not depend on how the frame is partitioned.  When
 several rows share the threshold hash (duplicate keys), exactly the missing
 number of them is taken by per-partition quotas.
 """
@@ -54,9 +54,9 @@ def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42,
     k = math.ceil(n * test_size)
     if k == 0:
         return df, df.where(F.lit(False))
-    rv = ordered.ranked_values(h.select(_H), _H)
-    hit = rv.where((F.col("cum_before") < k) & (F.col("cum_before") + F.col("cnt") >= k)).first()
-    thr, need, cnt = hit[_H], k - hit["cum_before"], hit["cnt"]
+    # the k-th smallest hash (0-based rank k - 1), exact, without sorting all rows
+    thr, cnt, before = ordered.order_statistic(h.select(_H), _H, k - 1, n)
+    need = k - before
     cols = df.columns
     below = h.where(F.col(_H) < thr).select(cols)
     above = h.where(F.col(_H) > thr).select(cols)

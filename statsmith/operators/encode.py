@@ -102,7 +102,7 @@ def scale(df: DataFrame, method: str = "standard", target: str | None = None,
 def one_vs_rest(df: DataFrame, label: str, classes: list | None = None) -> DataFrame:
     """One 0/1 indicator column ``<label>_is_<k>`` per class."""
     if classes is None:
-        classes = [r[0] for r in df.where(F.col(label).isNotNull())
-                   .select(label).distinct().orderBy(label).collect()]
+        from statsmith.operators.groups import small_levels
+        classes = small_levels(df, label)          # one output column per class: bounded
     return df.withColumns({f"{label}_is_{k}": (F.col(label) == F.lit(k)).cast("int")
                            for k in classes})

@@ -219,6 +219,38 @@ def _quantiles_full(long: DataFrame, gk: list[str], probs: list[float],
                              .alias(f"q_{i}") for i in range(len(probs))])
 
 
+def order_statistic(df: DataFrame, col: str, k: int, n: int | None = None,
+                    method: str = "auto") -> tuple[object, int, int]:
+    """The value at 0-based rank ``k`` among the non-NULL values of ``col``,
+    with its tie count and the number of values below it: (value, cnt,
+    cum_before).  Large inputs use the approximate bracket (approximate
+    percentile around k/n, exact counting below it, exact ranking of the rows
+    inside it); small ones rank the whole value table."""
+    x = df.where(F.col(col).isNotNull()).select(F.col(col).alias("value"))
+    n = x.count() if n is None else n
+    if not 0 <= k < n:
+        raise ValueError("rank out of range")
+    if method == "auto":
+        method = "full" if n <= FULL_PATH_MAX_VALUES else "bracket"
+    if method == "bracket":
+        d = 2.0 / BRACKET_ACCURACY
+        p = k / max(n - 1, 1)
+        lo_p, hi_p = max(0.0, p - d), min(1.0, p + d)
+        a_lo, a_hi = x.agg(F.percentile_approx("value", F.array(F.lit(lo_p), F.lit(hi_p)),
+                                               BRACKET_ACCURACY)).first()[0]
+        inb = (F.col("value") >= F.lit(a_lo)) & (F.col("value") <= F.lit(a_hi))
+        below = x.agg(F.count(F.when(F.col("value") < F.lit(a_lo), 1))).first()[0]
+        if below <= k:
+            rv = ranked_values(x.where(inb), "value")
+            hit = rv.where((F.col("cum_before") <= k - below) &
+                           (F.col("cum_before") + F.col("cnt") > k - below)).first()
+            if hit is not None:
+                return hit["value"], hit["cnt"], below + hit["cum_before"]
+    rv = ranked_values(x, "value")
+    hit = rv.where((F.col("cum_before") <= k) & (F.col("cum_before") + F.col("cnt") > k)).first()
+    return hit["value"], hit["cnt"], hit["cum_before"]
+
+
 def quantile_values(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
     """Driver-side scalars: exact quantiles of one column (a one-row result)."""
     row = quantiles(df, [col], probs).first()

@@ -160,3 +160,15 @@ def test_tuning_runs_small_budget(spark):
     df, _, _ = _reg_data(spark, n=200)
     best, hist = tune.auto_optimize(df, "y", "ridge", "regression", init_points=2, n_iter=2)
     assert 0.01 <= best["alpha"] <= 100 and hist.count() == 4
+
+
+def test_order_statistic_bracket_equals_full(spark):
+    from statsmith.operators import ordered
+    rng = np.random.default_rng(41)
+    vals = np.concatenate([np.full(3000, 0.5), rng.normal(size=6000)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    srt = np.sort(vals)
+    for k in (0, 1500, 2999, 4500, 8999):
+        a = ordered.order_statistic(df, "x", k, method="bracket")
+        b = ordered.order_statistic(df, "x", k, method="full")
+        assert a == b and a[0] == srt[k]
