@@ -105,12 +105,17 @@ def line_points(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None, exclude=None) -> DataFrame:
     """Pairwise-complete Pearson correlation of every pair of numeric
-    columns, long form ``var1, var2, corr``, in one aggregate.  A constant
-    column gives NULL (undefined)."""
+    columns, long form ``var1, var2, corr``.  A constant column gives NULL
+    (undefined).  Up to ``gram.WIDE`` columns: one aggregate of masked
+    ``covar_samp``/``stddev_samp``; wider: masked matrix products per Arrow
+    batch (see ``_pairwise_wide``)."""
+    from statsmith.operators.gram import WIDE
     cols = cols or numeric_columns(df, exclude=exclude)
     require_numeric(df, cols)
     if len(cols) < 2:
         raise ValueError("correlation needs at least two numeric columns")
+    if len(cols) > WIDE:
+        return _pairwise_wide(df, cols)
     aggs = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
@@ -130,6 +135,55 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None, exclude=Non
     return one.select(F.inline(F.array(*items)))
 
 
+def _pairwise_wide(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pairwise-complete sums for many columns: with M the not-NULL mask and X
+    the pilot-centred values (0 where NULL), per batch n = M'M, Sx = X'M,
+    Sxx = (X*X)'M, Sxy = X'X; partials are summed by a groupBy over cells
+    (p^2 rows per partition at most), the p x p result is finished on the
+    driver and returned as a long frame."""
+    import numpy as np
+    import pyarrow as pa
+
+    p = len(cols)
+    x = df.select([dbl(c).alias(f"x{i}") for i, c in enumerate(cols)])
+    pilot = x.agg(*[F.avg(f"x{i}") for i in range(p)]).first()
+    mu = np.array([v if v is not None else 0.0 for v in pilot], dtype=float)
+
+    def partial(batches):
+        acc = np.zeros((4, p, p))
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            X = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(float)
+                                 for i in range(p)])
+            M = (~np.isnan(X)).astype(float)
+            Xc = np.where(M > 0, X - mu, 0.0)
+            acc[0] += M.T @ M
+            acc[1] += Xc.T @ M
+            acc[2] += (Xc * Xc).T @ M
+            acc[3] += Xc.T @ Xc
+        idx = np.indices((4, p, p)).reshape(3, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(idx[0], pa.int8()), pa.array(idx[1], pa.int32()),
+                                          pa.array(idx[2], pa.int32()), pa.array(acc.ravel())],
+                                         names=["s", "i", "j", "v"])
+
+    cells = (x.mapInArrow(partial, "s byte, i int, j int, v double")
+              .groupBy("s", "i", "j").agg(F.sum("v").alias("v")).collect())   # 4 p^2 rows
+    S = np.zeros((4, p, p))
+    for r in cells:
+        S[r["s"], r["i"], r["j"]] = r["v"]
+    n, sx, sxx, sxy = S
+    sy, syy = sx.T, sxx.T                      # sums of x_j over rows where x_i is present
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cov = sxy - sx * sy / n
+        var_x, var_y = sxx - sx * sx / n, syy - sy * sy / n
+        R = cov / np.sqrt(var_x * var_y)
+    R[(n < 2) | ~np.isfinite(R) | (var_x <= 0) | (var_y <= 0)] = np.nan
+    rows = [(a, b, None if np.isnan(R[i, j]) else float(R[i, j]))
+            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "var1 string, var2 string, corr double")
+
+
 def scree_data(variance: DataFrame) -> DataFrame:
     """Component number vs eigenvalue, with the reference line at 1."""
     return variance.select("component", "eigenvalue", F.lit(1.0).alias("reference"))

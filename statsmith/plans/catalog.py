@@ -988,3 +988,12 @@ def q_pca_emb64(spark, d):
     """PCA over all 64 embedding dimensions: the wide Gram path (mapInArrow
     partial X^T X) - explained variance table, rows only."""
     return R(reduce.pca(_emb_all(spark, d), [f"e{i}" for i in range(64)], k=10).variance)
+
+
+@query("corr_matrix_embeddings_64", """
+WITH e AS (SELECT vec_id, u.i - 1 AS i, CAST(u.v AS DOUBLE) AS v FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(v, i)),
+p AS (SELECT a.i AS i, b.i AS j, corr(a.v, b.v) AS r FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY a.i, b.i)
+SELECT 'e' || CAST(i AS VARCHAR) AS var1, 'e' || CAST(j AS VARCHAR) AS var2, round(r, 6) AS corr FROM p""")
+def q_corr_wide(spark, d):
+    """E7 over all 64 embedding dimensions (the wide, batch-matrix path)."""
+    return R(chartdata.correlation_matrix(_emb_all(spark, d), [f"e{i}" for i in range(64)]))

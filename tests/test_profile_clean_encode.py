@@ -124,3 +124,24 @@ def test_group_stats_multiple_variables_one_pass(spark):
     assert r[("h", "y")]["count"] == 2 and r[("h", "y")]["mean"] == pytest.approx(3.5)
     ct = {(x["g"], x["h"]): x["count"] for x in groups.crosstab(df, "g", "h").collect()}
     assert ct == {("a", "x"): 1, ("a", "y"): 1, ("b", "x"): 1, ("b", "y"): 0}
+
+
+def test_wide_correlation_matches_pandas_pairwise(spark):
+    from statsmith.operators.gram import WIDE
+    rng = np.random.default_rng(17)
+    p = WIDE + 3
+    X = rng.normal(size=(300, p)) @ rng.normal(size=(p, p)) + 100
+    X[rng.random(X.shape) < 0.1] = np.nan
+    X[:, 5] = 7.0                                   # constant column
+    pdf = pd.DataFrame(X, columns=[f"c{i}" for i in range(p)])
+    df = spark.createDataFrame(pdf).repartition(4)
+    got = {(r["var1"], r["var2"]): r["corr"] for r in chartdata.correlation_matrix(df).collect()}
+    exp = pdf.corr()
+    for a in ("c0", "c5", "c17"):
+        for b in ("c1", "c5", "c30", "c0"):
+            e = exp.loc[a, b]
+            g = got[(a, b)]
+            if np.isnan(e):
+                assert g is None
+            else:
+                assert g == pytest.approx(e, rel=1e-9, abs=1e-12)
