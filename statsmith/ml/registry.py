@@ -27,6 +27,7 @@ from statsmith.ml.features import RandomFourier, Standardizer, with_rff
 from statsmith.ml.sgd import fit_sgd
 from statsmith.ml.split import train_test_split
 from statsmith.operators.encode import encode_strings
+from statsmith.session import stored
 
 CLS, REG = "classification", "regression"
 
@@ -129,7 +130,12 @@ def prepare(df: DataFrame, target: str, task: str, features: list[str] | None =
     else:
         enc = enc.withColumn("label", F.col(target).cast("double"))
     va = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="error")
-    return Prepared(va.transform(enc), feats, task, classes)
+    out = va.transform(enc)
+    if textual:
+        # the label-encoding joins would otherwise rerun for every consumer
+        # (row count, split threshold, train part, test part): store once
+        out = stored(out)
+    return Prepared(out, feats, task, classes)
 
 
 class _RFFModel:
