@@ -1025,3 +1025,40 @@ SELECT 'e' || CAST(i AS VARCHAR) AS var1, 'e' || CAST(j AS VARCHAR) AS var2, rou
 def q_corr_wide(spark, d):
     """E7 over all 64 embedding dimensions (the wide, batch-matrix path)."""
     return R(chartdata.correlation_matrix(_emb_all(spark, d), [f"e{i}" for i in range(64)]))
+
+
+from statsmith.operators import testing  # noqa: E402
+
+
+@query("tests_by_group_anova", """
+WITH g AS (SELECT 'l_returnflag' AS gv, l_returnflag AS lv, l_quantity AS x FROM lineitem
+           UNION ALL SELECT 'l_linestatus', l_linestatus, l_quantity FROM lineitem),
+s AS (SELECT gv, lv, count(x) AS n, avg(x) AS m, var_samp(x) AS v FROM g GROUP BY gv, lv),
+t AS (SELECT gv, count(*) AS k, sum(n) AS nn, sum(n * m) / sum(n) AS gm FROM s GROUP BY gv),
+w AS (SELECT s.gv, sum(n * (m - gm) * (m - gm)) AS ssb, sum((n - 1) * coalesce(v, 0)) AS ssw FROM s JOIN t USING (gv) GROUP BY s.gv)
+SELECT t.gv AS group_variable, k, CAST(nn AS BIGINT) AS n, round(ssb, 6) AS ss_between, round(ssw, 6) AS ss_within,
+       CAST(k - 1 AS DOUBLE) AS df_between, CAST(nn - k AS DOUBLE) AS df_within,
+       round((ssb / (k - 1)) / (ssw / (nn - k)), 6) AS f_statistic, CAST(NULL AS VARCHAR) AS error
+FROM t JOIN w USING (gv)""")
+def q_tests_by_group_anova(spark, d):
+    """One-way ANOVA of quantity for each of two group variables (stacked)."""
+    r = testing.run_test(table(spark, d, "lineitem"), "anova", ["l_returnflag", "l_linestatus"], "l_quantity")
+    return R(r.drop("p_value", "significant"))
+
+
+@query("tests_by_group_ttest", """
+WITH g AS (SELECT l_linestatus AS grp, count(l_extendedprice) AS n, avg(l_extendedprice) AS m,
+                  var_samp(l_extendedprice) AS v FROM lineitem GROUP BY l_linestatus),
+a AS (SELECT * FROM g WHERE grp = (SELECT min(grp) FROM g)), b AS (SELECT * FROM g WHERE grp = (SELECT max(grp) FROM g))
+SELECT 'l_linestatus' AS group_variable, a.grp AS group1, b.grp AS group2,
+       round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)), 6)
+         AS t_statistic, CAST(NULL AS VARCHAR) AS error FROM a, b
+UNION ALL
+SELECT 'l_returnflag', NULL, NULL, NULL,
+       'ValueError: l_returnflag must have exactly 2 levels (found 3+)'""")
+def q_tests_by_group_ttest(spark, d):
+    """t test per group variable: a variable without exactly two levels gives
+    an error row, the others still run (as in the reference)."""
+    r = testing.run_test(table(spark, d, "lineitem"), "ttest", ["l_linestatus", "l_returnflag"],
+                         "l_extendedprice")
+    return R(r.select("group_variable", "group1", "group2", "t_statistic", "error"))

@@ -154,3 +154,19 @@ def test_cronbach_bartlett_kmo(spark):
     got = {r["variable"]: r["msa"] for r in multivariate.kmo(df, ["a", "b", "c"]).collect()}
     assert got["__overall__"] == pytest.approx(overall, rel=1e-9)
     assert 0 < overall < 1
+
+
+def test_run_test_dispatch_and_per_test_errors(spark):
+    from statsmith.operators import testing
+    rows = [("a", "x", "p", 1.0), ("b", "y", "p", 2.0), ("a", "z", "q", 3.5), ("b", "x", "q", 0.5),
+            ("a", "y", "p", 2.5), ("b", "z", "q", 4.0)]
+    df = spark.createDataFrame(rows, "g2 string, g3 string, h string, v double")
+    r = {x["group_variable"]: x for x in testing.run_test(df, "ttest", ["g2", "g3"], "v").collect()}
+    assert r["g2"]["error"] is None and r["g2"]["t_statistic"] is not None
+    assert "exactly 2 levels" in r["g3"]["error"]
+    k = testing.run_test(df, "kruskal", ["g3", "h"], "v").collect()
+    assert len(k) == 2 and all(x["error"] is None for x in k)
+    two = testing.run_test(df, "anova_two", ["g2", "h"], "v").collect()
+    assert len(two) == 4
+    with pytest.raises(ValueError):
+        testing.run_test(df, "nonsense", ["g2"], "v")
