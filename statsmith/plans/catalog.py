@@ -1062,3 +1062,13 @@ def q_tests_by_group_ttest(spark, d):
     r = testing.run_test(table(spark, d, "lineitem"), "ttest", ["l_linestatus", "l_returnflag"],
                          "l_extendedprice")
     return R(r.select("group_variable", "group1", "group2", "t_statistic", "error"))
+
+
+@query("label_encode_discount", """
+SELECT l_orderkey, l_linenumber,
+       CAST(dense_rank() OVER (ORDER BY CAST(l_discount AS VARCHAR)) - 1 AS BIGINT) AS l_discount FROM lineitem""")
+def q_label_encode_float(spark, d):
+    """D1 on a float column: classes are Python-style texts ('0.0', '0.01',
+    ..., '0.1') ordered as text, as label encoding of ``astype(str)`` does."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
+    return encode.label_encode(li, "l_discount")[0]

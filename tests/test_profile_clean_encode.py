@@ -145,3 +145,11 @@ def test_wide_correlation_matches_pandas_pairwise(spark):
                 assert g is None
             else:
                 assert g == pytest.approx(e, rel=1e-9, abs=1e-12)
+
+
+def test_float_text_matches_python_str(spark):
+    vals = [10000000.0, 0.0001, 1e16, 1.5e-05, 123.25, -2.5, 0.1, 1e-300, -1e22, 3.0, 0.0, -0.0,
+            float("inf"), 1234567890123.5, 2.5e-4]
+    df = spark.createDataFrame([(v,) for v in vals], "d double")
+    got = [r[0] for r in df.select(encode.as_text(df, "d")).collect()]
+    assert got == [str(v) for v in vals]
