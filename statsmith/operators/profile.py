@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statsmith.functions.columns import (TMP, dbl, numeric_columns, require_columns,
-                                         require_numeric, safe_div, string_columns)
+from statsmith.functions.columns import (TMP, dbl, numeric_columns, require_numeric, safe_div,
+                                         string_columns)
 from statsmith.operators.ordered import quantiles
 
 
@@ -119,7 +119,3 @@ def value_stats(df: DataFrame, col: str) -> DataFrame:
     x = dbl(col)
     return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
                   F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
-
-
-def columns_present(df: DataFrame, cols) -> None:
-    require_columns(df, cols)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -72,7 +71,3 @@ def stored(df):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def local_master() -> str:
-    return f"local[{os.environ.get('BENCH_CPUS', '8')}]"

@@ -1,8 +1,6 @@
 """Ordered operators: hand-worked vectors, skewed ties and partition invariance."""
 import numpy as np
 import pandas as pd
-import pytest
-from pyspark.sql import functions as F
 
 from statsmith.operators import ordered
 
