@@ -792,7 +792,7 @@ w AS (SELECT mx, my, sign(c) * greatest(abs(c) - {_LASSO_ALPHA}, 0) / v AS slope
 SELECT round(my - slope * mx, 6) AS intercept, round(slope, 6) AS slope FROM w""")
 def q_lasso(spark, d):
     prep = registry.prepare(_part_reg(spark, d), "p_retailprice", registry.REG, ["p_partkey"])
-    m = registry.fit(prep.frame, "lasso", registry.REG, {"alpha": _LASSO_ALPHA})
+    m = registry.fit(prep.frame, "lasso", registry.REG, {"alpha": _LASSO_ALPHA, "tol": 1e-12})
     return R(_coef_frame(spark, m))
 
 
