@@ -75,3 +75,20 @@ def hash_folds(df: DataFrame, k: int = 3, seed: int = 42, key: str | list[str] |
     keys = [key] if isinstance(key, str) else list(key or df.columns)
     return df.withColumn(name, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in keys], F.lit(seed + 1)),
                                       F.lit(k)).cast("int"))
+
+
+def stratified_folds(df: DataFrame, label: str, k: int = 3, seed: int = 42,
+                     key: str | list[str] | None = None, name: str = "fold") -> DataFrame:
+    """I18 for classifiers: fold id 0..k-1 with every class spread evenly
+    (per-class fold sizes differ by at most one, like stratified k-fold).
+
+    Rows are ordered inside their class by a hash of ``key``; the position in
+    that order (from the ranked value table keyed by class, so a class holding
+    a third of the rows spans many range partitions) modulo k is the fold.
+    Rows sharing a key hash share a fold."""
+    keys = [key] if isinstance(key, str) else list(key or [c for c in df.columns if c != label])
+    h = TMP + "fh"
+    hashed = df.withColumn(h, F.xxhash64(*[F.col(f"`{c}`") for c in keys], F.lit(seed + 2)))
+    rv = ordered.ranked_values(hashed.select(label, h), h, [label])
+    folds = rv.select(label, h, F.pmod(F.col("cum_before"), F.lit(k)).cast("int").alias(name))
+    return hashed.join(folds, [label, h]).drop(h)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statsmith.ml import evaluate, registry
-from statsmith.ml.split import hash_folds, train_test_split
+from statsmith.ml.split import hash_folds, stratified_folds, train_test_split
 from statsmith.session import stored
 
 CLS, REG = registry.CLS, registry.REG
@@ -59,8 +59,14 @@ def convert(raw: dict) -> dict:
 
 def cv_score(prepared: DataFrame, model: str, task: str, params: dict, folds: int = 3,
              seed: int = 42, key=None) -> float:
-    """Mean k-fold score (accuracy for classification, R^2 for regression)."""
-    f = hash_folds(prepared, folds, seed, key=key, name="__fold")
+    """Mean k-fold score (accuracy for classification, R^2 for regression).
+    Classifier folds are stratified by class; regressor folds come from a
+    hash of the key (the reference's unshuffled contiguous blocks assume a
+    row order a distributed frame does not have)."""
+    if task == CLS:        # stratified, as k-fold scoring of a classifier is
+        f = stratified_folds(prepared, "label", folds, seed, key=key, name="__fold")
+    else:
+        f = hash_folds(prepared, folds, seed, key=key, name="__fold")
     scores = []
     for i in range(folds):
         tr, te = f.where(F.col("__fold") != i), f.where(F.col("__fold") == i)

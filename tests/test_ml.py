@@ -172,3 +172,19 @@ def test_order_statistic_bracket_equals_full(spark):
         a = ordered.order_statistic(df, "x", k, method="bracket")
         b = ordered.order_statistic(df, "x", k, method="full")
         assert a == b and a[0] == srt[k]
+
+
+def test_stratified_folds_balance_each_class(spark):
+    rows = [(i, "a" if i % 10 < 7 else ("b" if i % 10 < 9 else "c")) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, y string")
+    f = split.stratified_folds(df, "y", 3, key="id").groupBy("y", "fold").count().toPandas()
+    for _, g in f.groupby("y"):
+        assert len(g) == 3 and g["count"].max() - g["count"].min() <= 1
+    assert f["count"].sum() == 1000
+
+
+def test_tuning_classifier_uses_stratified_folds(spark):
+    df = _cls_data(spark, n=300)
+    best, hist = tune.auto_optimize(df, "y", "decision tree", "classification", features=["a", "b", "c"],
+                                    init_points=2, n_iter=1, key="id")
+    assert 3 <= best["max_depth"] <= 20 and hist.count() == 3
