@@ -69,6 +69,8 @@ ALLOWED = {
 BOOST_DEFAULTS = {"gradient boosting": (100, 3, 0.1, 32), "xgboost": (100, 6, 0.3, 32),
                   "lgbm": (100, 5, 0.1, 255)}
 MAX_DEPTH = 30
+# The models whose feature importances are reported.
+IMPORTANCE_MODELS = ("random forest", "gradient boosting", "xgboost", "lgbm")
 # Deep trees: keep each row's node id (no re-walk of the tree per level),
 # split more nodes per pass over the data, and cut the node-id lineage.
 _TREE_SPEED = dict(cacheNodeIds=True, maxMemoryInMB=512, checkpointInterval=10)
@@ -94,6 +96,10 @@ class TrainedModel:
     params: dict = field(default_factory=dict)
 
     def feature_importance(self, top: int = 20):
+        """Top-``top`` importances for the ensemble models the reference
+        reports them for; None for every other model."""
+        if self.name not in IMPORTANCE_MODELS:
+            return None
         inner = getattr(self.model, "inner", self.model)
         return evaluate.feature_importance(inner, self.feature_names, top)
 
