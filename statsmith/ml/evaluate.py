@@ -113,11 +113,19 @@ def multiclass_roc_auc(pred: DataFrame, label: str = "label", probability: str =
 
 
 def feature_importance(model, names: list[str], top: int = 20):
-    """Top-``top`` feature importances (tree ensembles only), descending."""
+    """Top-``top`` feature importances (tree ensembles only), descending;
+    a one-vs-rest ensemble reports the mean over its per-class models."""
     imp = getattr(model, "featureImportances", None)
-    if imp is None:
+    subs = getattr(model, "models", None)           # one-vs-rest: average the class models
+    if imp is None and subs:
+        parts = [m.featureImportances.toArray() for m in subs if hasattr(m, "featureImportances")]
+        if not parts:
+            return None
+        vals = sum(parts) / len(parts)
+    elif imp is None:
         return None
-    vals = imp.toArray()
+    else:
+        vals = imp.toArray()
     pairs = sorted(zip(names, [float(v) for v in vals]), key=lambda t: (-t[1], t[0]))[:min(top, len(names))]
     return pairs
 
