@@ -122,6 +122,9 @@ BRACKET_ACCURACY = 100_000
 # Below this many (row, column) values one full value-table shuffle is cheaper
 # than the extra passes of the bracket method.
 FULL_PATH_MAX_VALUES = 20_000_000
+# Up to this many values Spark's exact ``percentile`` aggregate (one job; its
+# per-group value map is bounded by this size) is the cheapest exact method.
+AGG_PATH_MAX_VALUES = 2_000_000
 
 
 def _interp(lo: Column, hi: Column, fr: Column) -> Column:
@@ -143,14 +146,22 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], keys: list[str
     instead of the whole column.  Every bracket is verified to contain its
     target ranks; if any does not, the result comes from ``method="full"``
     (the ranked value table over all rows).  ``method="auto"`` uses the full
-    path while rows x columns <= ``FULL_PATH_MAX_VALUES`` and brackets above.
+    path while rows x columns <= ``FULL_PATH_MAX_VALUES`` and brackets above;
+    below ``AGG_PATH_MAX_VALUES`` it uses Spark's exact ``percentile``
+    aggregate (``method="aggregate"``), whose value map is then small.
     """
     require_numeric(df, cols)
     keys = list(keys)
     long = _unpivot(df, cols, keys).where(F.col("value").isNotNull())
     gk = [*keys, "variable"]
     if method == "auto":
-        method = "full" if df.count() * len(cols) <= FULL_PATH_MAX_VALUES else "bracket"
+        total = df.count() * len(cols)
+        method = ("aggregate" if total <= AGG_PATH_MAX_VALUES else
+                  "full" if total <= FULL_PATH_MAX_VALUES else "bracket")
+    if method == "aggregate":
+        pct = F.percentile("value", F.array(*[F.lit(float(p)) for p in probs])).alias(TMP + "p")
+        agg = long.groupBy(*gk).agg(pct)
+        return agg.select(*gk, *[F.col(TMP + "p")[i].alias(f"q_{i}") for i in range(len(probs))])
     if method == "full":
         return _quantiles_full(long, gk, probs, num_partitions)
     A = BRACKET_ACCURACY

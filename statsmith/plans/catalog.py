@@ -1078,3 +1078,16 @@ def q_label_encode_float(spark, d):
     ..., '0.1') ordered as text, as label encoding of ``astype(str)`` does."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
     return encode.label_encode(li, "l_discount")[0]
+
+
+@query("quantiles_full_lineitem", " UNION ALL ".join(
+    f"SELECT '{c}' AS variable, " + ", ".join(
+        f"round(quantile_cont(CAST({c} AS DOUBLE), {p}), 6) AS q_{i}"
+        for i, p in enumerate([0.01, 0.25, 0.5, 0.75, 0.99])) + " FROM lineitem"
+    for c in ["l_quantity", "l_extendedprice", "l_discount"]))
+def q_quantiles_full(spark, d):
+    """Exact quantiles through the ranked value table over all values (the
+    mid-size method), checked against exact SQL."""
+    li = table(spark, d, "lineitem")
+    return R(ordered.quantiles(li, ["l_quantity", "l_extendedprice", "l_discount"],
+                               [0.01, 0.25, 0.5, 0.75, 0.99], method="full"))

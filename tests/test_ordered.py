@@ -84,3 +84,13 @@ def test_bracket_quantiles_equal_full_path(spark):
     exp = pdf.groupby("g")["a"].quantile(probs).to_numpy()
     got = fast[fast.variable == "a"].filter(like="q_").to_numpy().ravel()
     assert np.allclose(got, exp, rtol=1e-12)
+
+
+def test_three_quantile_methods_agree(spark):
+    rng = np.random.default_rng(33)
+    pdf = pd.DataFrame({"a": np.round(rng.normal(size=3000), 2), "g": rng.choice(["x", "y", "z"], 3000)})
+    df = spark.createDataFrame(pdf)
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    res = [ordered.quantiles(df, ["a"], probs, keys=["g"], method=m).toPandas().sort_values("g")
+           .filter(like="q_").to_numpy() for m in ("aggregate", "full", "bracket")]
+    assert np.allclose(res[0], res[1], rtol=0, atol=1e-12) and np.allclose(res[1], res[2], rtol=0, atol=0)
