@@ -122,9 +122,12 @@ BRACKET_ACCURACY = 100_000
 # Below this many (row, column) values one full value-table shuffle is cheaper
 # than the extra passes of the bracket method.
 FULL_PATH_MAX_VALUES = 20_000_000
-# Up to this many values Spark's exact ``percentile`` aggregate (one job; its
-# per-group value map is bounded by this size) is the cheapest exact method.
-AGG_PATH_MAX_VALUES = 2_000_000
+# Spark's exact ``percentile`` aggregate (one job) keeps a value map per group
+# in its final task: used while every group has at most AGG_PATH_MAX_ROWS rows
+# (a group never exceeds the row count) and all groups together at most
+# AGG_PATH_MAX_VALUES values (several groups may share a reducer).
+AGG_PATH_MAX_ROWS = 2_000_000
+AGG_PATH_MAX_VALUES = 8_000_000
 
 
 def _interp(lo: Column, hi: Column, fr: Column) -> Column:
@@ -147,16 +150,18 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], keys: list[str
     target ranks; if any does not, the result comes from ``method="full"``
     (the ranked value table over all rows).  ``method="auto"`` uses the full
     path while rows x columns <= ``FULL_PATH_MAX_VALUES`` and brackets above;
-    below ``AGG_PATH_MAX_VALUES`` it uses Spark's exact ``percentile``
-    aggregate (``method="aggregate"``), whose value map is then small.
+    below ``AGG_PATH_MAX_ROWS`` rows / ``AGG_PATH_MAX_VALUES`` values it uses
+    Spark's exact ``percentile`` aggregate (``method="aggregate"``), whose
+    per-group value maps are then small.
     """
     require_numeric(df, cols)
     keys = list(keys)
     long = _unpivot(df, cols, keys).where(F.col("value").isNotNull())
     gk = [*keys, "variable"]
     if method == "auto":
-        total = df.count() * len(cols)
-        method = ("aggregate" if total <= AGG_PATH_MAX_VALUES else
+        rows = df.count()
+        total = rows * len(cols)
+        method = ("aggregate" if rows <= AGG_PATH_MAX_ROWS and total <= AGG_PATH_MAX_VALUES else
                   "full" if total <= FULL_PATH_MAX_VALUES else "bracket")
     if method == "aggregate":
         pct = F.percentile("value", F.array(*[F.lit(float(p)) for p in probs])).alias(TMP + "p")
