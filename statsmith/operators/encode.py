@@ -55,22 +55,40 @@ def _python_float_text(col: str) -> Column:
              .otherwise(exp_txt))
 
 
-def label_mapping(df: DataFrame, col: str) -> DataFrame:
-    """Classes of ``col`` as text, sorted by code point, with code = position:
-    ``class, code``.  Codes come from the range-partitioned prefix count over
-    the distinct classes, so no single task sorts them all."""
+# Class sets up to this size are sorted on the driver and broadcast.
+SMALL_CLASS_SET = 10_000
+
+
+def _mapping(df: DataFrame, col: str) -> tuple[DataFrame, bool]:
     require_columns(df, [col])
     classes = df.select(as_text(df, col).alias("class")).distinct()
+    few = [r[0] for r in classes.limit(SMALL_CLASS_SET + 1).collect()]   # bounded probe
+    if len(few) <= SMALL_CLASS_SET:
+        # code-point order (Python) equals Spark's binary UTF-8 string order
+        return df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(sorted(few))],
+                                               "class string, code long"), True
     rv = ordered.ranked_values(classes, "class")
-    return rv.select("class", F.col("cum_before").cast("long").alias("code"))
+    return rv.select("class", F.col("cum_before").cast("long").alias("code")), False
+
+
+def label_mapping(df: DataFrame, col: str) -> DataFrame:
+    """Classes of ``col`` as text, sorted by code point, with code = position:
+    ``class, code``.  Up to ``SMALL_CLASS_SET`` classes (checked with a bounded
+    probe) are sorted on the driver; larger sets get their codes from the
+    range-partitioned prefix count over the distinct classes, so no single
+    task sorts them all."""
+    return _mapping(df, col)[0]
 
 
 def label_encode(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
-    """Replace ``col`` by its integer code; returns (encoded, mapping)."""
-    mapping = label_mapping(df, col)
+    """Replace ``col`` by its integer code; returns (encoded, mapping).
+    A mapping of at most ``SMALL_CLASS_SET`` classes is broadcast; a larger
+    one is joined as the planner decides (AQE: by measured size, with skew
+    splitting for a class holding many rows)."""
+    mapping, small = _mapping(df, col)
     key = TMP + "cls"
-    j = df.withColumn(key, as_text(df, col)).join(
-        mapping.withColumnRenamed("class", key), on=key, how="left")
+    m = mapping.withColumnRenamed("class", key)
+    j = df.withColumn(key, as_text(df, col)).join(F.broadcast(m) if small else m, on=key, how="left")
     out = j.select(*[F.col("code").alias(c) if c == col else F.col(f"`{c}`") for c in df.columns])
     return out, mapping
 

@@ -153,3 +153,12 @@ def test_float_text_matches_python_str(spark):
     df = spark.createDataFrame([(v,) for v in vals], "d double")
     got = [r[0] for r in df.select(encode.as_text(df, "d")).collect()]
     assert got == [str(v) for v in vals]
+
+
+def test_label_mapping_large_class_set_uses_distributed_path(spark, monkeypatch):
+    monkeypatch.setattr(encode, "SMALL_CLASS_SET", 3)
+    df = spark.createDataFrame([(s,) for s in ["b", "a", "é", "Z", "a", "10", "9"]], "s string")
+    enc, m = encode.label_encode(df, "s")
+    got = {r["class"]: r["code"] for r in m.collect()}
+    assert got == {c: i for i, c in enumerate(sorted(["b", "a", "é", "Z", "10", "9"]))}
+    assert sorted(r[0] for r in enc.collect()) == sorted(got[c] for c in ["b", "a", "é", "Z", "a", "10", "9"])
