@@ -16,7 +16,27 @@ def safe_div(num: Column, den: Column) -> Column:
 
 
 def dbl(c: str | Column) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("double")
+    """The column as double with NaN read as missing (NULL)."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(F.isnan(x), F.lit(None)).otherwise(x)
+
+
+def _floating(df: DataFrame, c: str) -> bool:
+    return isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+
+
+def present(df: DataFrame, c: str) -> Column:
+    """True where ``c`` holds a value: not NULL and, for float columns, not NaN.
+    Sources keep NaN as stored (so filters on raw columns still push down to
+    parquet); every operator reads missingness through this test."""
+    col = F.col(f"`{c}`")
+    return col.isNotNull() & ~F.isnan(col) if _floating(df, c) else col.isNotNull()
+
+
+def value(df: DataFrame, c: str) -> Column:
+    """``c`` with NaN turned into NULL for float columns (any type)."""
+    col = F.col(f"`{c}`")
+    return F.when(F.isnan(col), F.lit(None)).otherwise(col) if _floating(df, c) else col
 
 
 def is_numeric(dt: T.DataType) -> bool:
@@ -49,11 +69,6 @@ def require_numeric(df: DataFrame, cols) -> None:
         raise ValueError(f"column(s) must be numeric: {bad}")
 
 
-def nan_to_null(c: str | Column) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return F.when(F.isnan(col), F.lit(None)).otherwise(col)
-
-
 # Wichura (1988), Algorithm AS 241 (PPND16), coefficients of the
 # rational approximations to the inverse normal CDF, highest power first.
 AS241_CENTRAL_NUM = [2509.0809287301226727, 33430.575583588128105, 67265.770927008700853,

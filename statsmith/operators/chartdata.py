@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statsmith.functions.columns import (TMP, dbl, numeric_columns, require_columns,
+from statsmith.functions.columns import (TMP, dbl, numeric_columns, present, require_columns,
                                          require_numeric, safe_div)
 from statsmith.operators import ordered
 
@@ -78,13 +78,13 @@ def boxplot_fliers(df: DataFrame, col: str, whis: float = 1.5) -> DataFrame:
 def bar_counts(df: DataFrame, col: str) -> DataFrame:
     """Value counts without NULL, ordered by value."""
     require_columns(df, [col])
-    return df.where(F.col(col).isNotNull()).groupBy(col).count().orderBy(col)
+    return df.where(present(df, col)).groupBy(col).count().orderBy(col)
 
 
 def pie_shares(df: DataFrame, col: str) -> DataFrame:
     """Counts (descending, ties by value) and percentage of the total."""
     require_columns(df, [col])
-    nn = df.where(F.col(col).isNotNull())
+    nn = df.where(present(df, col))
     total = nn.count()
     return (nn.groupBy(col).count()
               .withColumn("percentage", safe_div(F.col("count") * 100.0, F.lit(total)))

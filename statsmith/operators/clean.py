@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statsmith.functions.columns import dbl, require_columns, require_numeric, safe_div
+from statsmith.functions.columns import dbl, present, require_columns, require_numeric, safe_div, value
 from statsmith.operators import ordered
 
 FILL_METHODS = ("drop", "mean", "median", "mode", "ffill", "bfill",
@@ -47,7 +47,7 @@ def column_mode(df: DataFrame, col: str):
 
     Counted with a partially aggregated ``groupBy`` and reduced by a top-1
     (per-partition best, then merge), so no task ever holds all values."""
-    top = (df.where(F.col(col).isNotNull()).groupBy(col).count()
+    top = (df.where(present(df, col)).groupBy(col).count()
              .orderBy(F.desc("count"), F.asc(col)).limit(1).collect())
     return top[0][0] if top else None
 
@@ -76,7 +76,7 @@ def fill_missing(df: DataFrame, col: str, method: str, order_by=None, partition_
         v = column_mode(df, col)
         if v is None:
             return df
-        return _replace(df, col, F.coalesce(F.col(col), F.lit(v)))
+        return _replace(df, col, F.coalesce(value(df, col), F.lit(v)))
     if order_by is None:
         raise ValueError(f"{method} needs order_by (a column that orders the rows)")
     fn = {"ffill": ordered.fill_forward, "bfill": ordered.fill_backward,
@@ -115,10 +115,30 @@ def _keep_expr(col: str, bounds: tuple) -> Column:
     return F.coalesce(z <= F.lit(3.0), F.lit(False))
 
 
+def _scan_range(col: str, bounds: tuple) -> Column | None:
+    """A plain range on the raw column implied by the exact rule, so parquet
+    can skip row groups (NaN compares above every value, so it fails the upper
+    bound just as the exact rule drops it).  The z-score range is widened by
+    a relative 1e-9 because it only pre-filters; the exact rule decides."""
+    kind, a, b = bounds
+    if a is None or (kind == "zscore" and not b):
+        return None
+    lo, hi = (a, b) if kind == "IQR" else (a - 3 * b, a + 3 * b)
+    if kind == "zscore":
+        eps = 1e-9 * (abs(a) + 3 * abs(b))
+        lo, hi = lo - eps, hi + eps
+    return (F.col(col) >= F.lit(float(lo))) & (F.col(col) <= F.lit(float(hi)))
+
+
 def remove_outliers(df: DataFrame, col: str, method: str = "IQR") -> DataFrame:
-    """Keep rows inside the bounds.  NULL rows are removed too, and a
-    constant column under ``zscore`` (std 0, z undefined) keeps no row."""
-    return df.where(_keep_expr(col, outlier_bounds(df, col, method)))
+    """Keep rows inside the bounds.  NULL (and NaN) rows are removed
+    too, and a constant column under ``zscore`` (std 0, z undefined) keeps no
+    row.  The filter carries an implied raw-column range that reaches the
+    parquet scan."""
+    bounds = outlier_bounds(df, col, method)
+    keep = _keep_expr(col, bounds)
+    pre = _scan_range(col, bounds)
+    return df.where(keep if pre is None else pre & keep)
 
 
 def outlier_report(df: DataFrame, col: str, method: str = "IQR") -> DataFrame:
@@ -134,6 +154,6 @@ def append_derived(df: DataFrame, exprs: dict[str, Column], required: list[str])
     ``required`` (no join: the expression is evaluated row by row)."""
     ok = None
     for c in required:
-        ok = F.col(c).isNotNull() if ok is None else ok & F.col(c).isNotNull()
+        ok = present(df, c) if ok is None else ok & present(df, c)
     cols = {k: F.when(ok, v) for k, v in exprs.items()}
     return df.withColumns(cols)

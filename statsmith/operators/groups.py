@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statsmith.functions.columns import TMP, dbl, require_columns, require_numeric
+from statsmith.functions.columns import TMP, dbl, present, require_columns, require_numeric
 
 
 def _moments(x):
@@ -29,7 +29,7 @@ def group_stats(df: DataFrame, groups: list[str] | str, value: str) -> DataFrame
     x = dbl(value)
     if len(groups) == 1:
         g = groups[0]
-        return (df.where(F.col(g).isNotNull()).groupBy(g).agg(*_moments(x))
+        return (df.where(present(df, g)).groupBy(g).agg(*_moments(x))
                   .select(F.lit(g).alias("group_variable"), F.col(g).cast("string").alias("level"),
                           "count", "mean", "std", "min", "max"))
     sets = [[F.col(g)] for g in groups]
@@ -52,18 +52,18 @@ def group_stats_2way(df: DataFrame, f1: str, f2: str, value: str) -> DataFrame:
     """statistics per (f1, f2) cell, NULL keys dropped."""
     require_columns(df, [f1, f2])
     require_numeric(df, [value])
-    return (df.where(F.col(f1).isNotNull() & F.col(f2).isNotNull())
+    return (df.where(present(df, f1) & present(df, f2))
               .groupBy(f1, f2).agg(*_moments(dbl(value))))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """counts per non-NULL value."""
-    return df.where(F.col(col).isNotNull()).groupBy(col).count()
+    return df.where(present(df, col)).groupBy(col).count()
 
 
 def distinct_levels(df: DataFrame, col: str) -> DataFrame:
     """distinct non-NULL levels (NULL is not a level here: documented fix)."""
-    return df.where(F.col(col).isNotNull()).select(col).distinct()
+    return df.where(present(df, col)).select(col).distinct()
 
 
 def small_levels(df: DataFrame, col: str, limit: int = 10_000) -> list:
@@ -81,7 +81,7 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     zero cells come from pivoting on the levels of ``b`` and unpivoting back
     (no cross join)."""
     require_columns(df, [a, b])
-    nn = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    nn = df.where(present(df, a) & present(df, b))
     lb = small_levels(nn, b)
     wide = nn.groupBy(a).pivot(b, lb).count().na.fill(0, subset=[str(v) for v in lb]) \
         if lb else nn.groupBy(a).count().where(F.lit(False))

@@ -25,7 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statsmith.functions.columns import TMP, dbl, require_columns, require_numeric
+from statsmith.functions.columns import TMP, dbl, present, require_columns, require_numeric, value
 from statsmith.session import shuffle_partitions, stored
 
 _PID = TMP + "pid"
@@ -89,7 +89,7 @@ def ranked_values(df: DataFrame, value: str, keys: list[str] | tuple = (),
     keys = list(keys)
     weights = weights or {}
     P = _parts(df, num_partitions)
-    vt = (df.where(F.col(value).isNotNull())
+    vt = (df.where(present(df, value))
             .groupBy(*keys, value)
             .agg(F.count(F.lit(1)).alias("cnt"),
                  *[F.sum(c).alias(n) for n, c in weights.items()]))
@@ -242,7 +242,7 @@ def order_statistic(df: DataFrame, col: str, k: int, n: int | None = None,
     cum_before).  Large inputs use the approximate bracket (approximate
     percentile around k/n, exact counting below it, exact ranking of the rows
     inside it); small ones rank the whole value table."""
-    x = df.where(F.col(col).isNotNull()).select(F.col(col).alias("value"))
+    x = df.where(present(df, col)).select(F.col(col).alias("value"))
     n = x.count() if n is None else n
     if not 0 <= k < n:
         raise ValueError("rank out of range")
@@ -308,7 +308,7 @@ def neighbours(df: DataFrame, col: str, order_by: list[str] | str,
     wr = Window.partitionBy(*keys, _PID).orderBy(*[F.col(c).desc() for c in order_by])
     rn, k, kp, kn = (TMP + "rn", TMP + "k", TMP + "kp", TMP + "kn")
     r = r.withColumn(rn, F.row_number().over(w))
-    r = r.withColumn(k, F.when(F.col(col).isNotNull(), _k(F.col(rn), F.col(col))))
+    r = r.withColumn(k, F.when(present(df, col), _k(F.col(rn), F.col(col))))
     r = (r.withColumn(kp, F.last(k, True).over(w.rowsBetween(_UNB, -1)))
           .withColumn(kn, F.last(k, True).over(wr.rowsBetween(_UNB, -1))))
     pair_prev = F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("a"), F.col(kp).alias("b")))
@@ -371,13 +371,13 @@ def _finish(nb: DataFrame, col: str, expr: Column, cols: list[str]) -> DataFrame
 def fill_forward(df: DataFrame, col: str, order_by, partition_by=(), num_partitions=None) -> DataFrame:
     """Last known value in row order (leading gaps stay NULL)."""
     nb = neighbours(df, col, order_by, partition_by, num_partitions)
-    return _finish(nb, col, F.coalesce(F.col(col), F.col(TMP + "p1.v")), df.columns)
+    return _finish(nb, col, F.coalesce(value(df, col), F.col(TMP + "p1.v")), df.columns)
 
 
 def fill_backward(df: DataFrame, col: str, order_by, partition_by=(), num_partitions=None) -> DataFrame:
     """Next known value in row order (trailing gaps stay NULL)."""
     nb = neighbours(df, col, order_by, partition_by, num_partitions)
-    return _finish(nb, col, F.coalesce(F.col(col), F.col(TMP + "n1.v")), df.columns)
+    return _finish(nb, col, F.coalesce(value(df, col), F.col(TMP + "n1.v")), df.columns)
 
 
 def _linear(pos: Column, a: Column, b: Column) -> Column:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statsmith.functions.columns import (TMP, dbl, numeric_columns, require_numeric, safe_div,
-                                         string_columns)
+from statsmith.functions.columns import (TMP, dbl, numeric_columns, present, require_numeric,
+                                         safe_div, string_columns, value)
 from statsmith.operators.ordered import quantiles
 
 
 def info(df: DataFrame) -> DataFrame:
     """B1: one row per column: position, column, non_null, dtype, n_rows."""
     aggs = [F.count(F.lit(1)).alias(TMP + "n")] + \
-           [F.count(F.col(f"`{c}`")).alias(f"{TMP}{i}") for i, c in enumerate(df.columns)]
+           [F.count(value(df, c)).alias(f"{TMP}{i}") for i, c in enumerate(df.columns)]
     one = df.agg(*aggs)
     items = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
@@ -27,7 +27,7 @@ def missing_summary(df: DataFrame) -> DataFrame:
     """Columns with at least one missing value: column, missing_count,
     percentage (= missing / rows * 100, kept at full precision)."""
     aggs = [F.count(F.lit(1)).alias(TMP + "n")] + \
-           [F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"{TMP}{i}")
+           [F.count(F.when(~present(df, c), 1)).alias(f"{TMP}{i}")
             for i, c in enumerate(df.columns)]
     one = df.agg(*aggs)
     items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{TMP}{i}").alias("missing_count"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statsmith.functions import dist
-from statsmith.functions.columns import TMP, dbl, require_columns, require_numeric
+from statsmith.functions.columns import TMP, dbl, present, require_columns, require_numeric
 from statsmith.operators.groups import crosstab
 from statsmith.session import stored
 
@@ -30,7 +30,7 @@ def _two_group_moments(df: DataFrame, group: str, value: str):
     require_columns(df, [group])
     require_numeric(df, [value])
     x = dbl(value)
-    rows = (df.where(F.col(group).isNotNull() & x.isNotNull())
+    rows = (df.where(present(df, group) & x.isNotNull())
               .groupBy(group).agg(F.count(x).alias("n"), F.avg(x).alias("m"),
                                   F.var_samp(x).alias("v"))
               .orderBy(group).limit(3).collect())
@@ -64,7 +64,7 @@ def ttest_rel(df: DataFrame, group: str, value: str, pair_key: str) -> DataFrame
     out.  d = value(group 1) - value(group 2), group 1 = smaller level."""
     require_columns(df, [group, pair_key])
     require_numeric(df, [value])
-    levels = [r[0] for r in df.where(F.col(group).isNotNull()).select(group).distinct()
+    levels = [r[0] for r in df.where(present(df, group)).select(group).distinct()
               .orderBy(group).limit(3).collect()]
     if len(levels) != 2:
         raise ValueError(f"{group} must have exactly 2 levels")
@@ -98,7 +98,7 @@ def anova_oneway(df: DataFrame, group: str, value: str) -> DataFrame:
     require_columns(df, [group])
     require_numeric(df, [value])
     x = dbl(value)
-    gs = (df.where(F.col(group).isNotNull() & x.isNotNull())
+    gs = (df.where(present(df, group) & x.isNotNull())
             .groupBy(group).agg(F.count(x).alias("n"), F.avg(x).alias("m"),
                                 F.var_samp(x).alias("v"), F.sum(x).alias("s")))
     gs = stored(gs)    # one row per group, read twice below
@@ -132,7 +132,7 @@ def anova_twoway_table(df: DataFrame, f1: str, f2: str, value: str) -> DataFrame
     require_columns(df, [f1, f2])
     require_numeric(df, [value])
     x = dbl(value)
-    clean = df.where(F.col(f1).isNotNull() & F.col(f2).isNotNull() & x.isNotNull())
+    clean = df.where(present(df, f1) & present(df, f2) & x.isNotNull())
     gid = TMP + "gid"
     cube = stored(clean.cube(f1, f2).agg(F.count(x).alias("n"), F.avg(x).alias("m"),
                                          F.var_pop(x).alias("vp"), F.grouping_id().alias(gid)))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statsmith.functions import dist
-from statsmith.functions.columns import TMP, dbl, ndtri, require_columns, require_numeric
+from statsmith.functions.columns import TMP, dbl, ndtri, present, require_columns, require_numeric
 from statsmith.operators import ordered
 from statsmith.operators.tests_parametric import ALPHA, _fnan, _frame
 from statsmith.session import stored
@@ -27,7 +27,7 @@ def rank_sums(df: DataFrame, group: str, value: str) -> tuple[DataFrame, float,
     require_columns(df, [group])
     require_numeric(df, [value])
     x = dbl(value)
-    clean = df.where(F.col(group).isNotNull() & x.isNotNull()).select(
+    clean = df.where(present(df, group) & x.isNotNull()).select(
         F.col(group).alias(TMP + "g"), x.alias(TMP + "x"))
     gv = clean.groupBy(TMP + "g", TMP + "x").agg(F.count(F.lit(1)).alias(TMP + "n"))
     rv = _weighted_ranks(gv)

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statsmith.functions.columns import nan_to_null
 
 # The strings pandas.read_csv treats as missing by default.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -92,12 +91,13 @@ def _infer_types(df: DataFrame) -> dict[str, str]:
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet as stored.  NaN in float columns is left in place so filters on
+    the raw columns still reach the scan (row-group skipping); every operator
+    reads missingness through ``functions.columns.present`` / ``dbl``, which
+    treat NaN as missing."""
     df = spark.read.parquet(path)
     _check_names(df.columns)
-    fl = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    if not fl:
-        return df
-    return df.select([nan_to_null(c).alias(c) if c in fl else F.col(c) for c in df.columns])
+    return df
 
 
 def preview(df: DataFrame, n: int = 20) -> DataFrame:

@@ -51,13 +51,32 @@ def test_wrong_group_counts_raise(spark, nulls):
         clean.fill_missing(one, "v", "ffill")          # no order given
 
 
-def test_nan_is_missing_on_load(spark, tmp_path):
+def test_nan_is_missing_everywhere(spark, tmp_path):
+    import math
     from statsmith.sources import read_parquet
     p = str(tmp_path / "nan.parquet")
-    spark.createDataFrame([(1.0,), (float("nan"),), (3.0,)], "x double").write.parquet(p)
+    nan = float("nan")
+    spark.createDataFrame([(1, 1.0, "a"), (2, nan, "b"), (3, 3.0, None), (4, nan, "a"), (5, 5.0, "a")],
+                          "k long, x double, s string").write.parquet(p)
     df = read_parquet(spark, p)
-    assert df.where(F.col("x").isNull()).count() == 1
-    assert df.agg(F.avg("x")).first()[0] == pytest.approx(2.0)
+    info = {r["column"]: r["non_null"] for r in profile.info(df).collect()}
+    assert info["x"] == 3
+    ms = {r["column"]: r["missing_count"] for r in profile.missing_summary(df).collect()}
+    assert ms["x"] == 2
+    t = profile.describe_transposed(df, ["x"]).first()
+    assert t["count"] == 3 and t["mean"] == pytest.approx(3.0) and t["q50"] == pytest.approx(3.0)
+    ff = [r["x"] for r in clean.fill_missing(df, "x", "ffill", order_by="k").orderBy("k").collect()]
+    assert ff == [1.0, 1.0, 3.0, 3.0, 5.0]
+    mean = [r["x"] for r in clean.fill_missing(df, "x", "mean").orderBy("k").collect()]
+    assert mean == [1.0, 3.0, 3.0, 3.0, 5.0]
+    assert sorted(r["x"] for r in chartdata.bar_counts(df, "x").collect()) == [1.0, 3.0, 5.0]
+    g = {r["level"]: r["count"] for r in groups.group_stats(df, "s", "x").collect()}
+    assert g == {"a": 2, "b": 0}
+    kept = clean.remove_outliers(df, "x", "IQR")
+    assert sorted(r["x"] for r in kept.collect()) == [1.0, 3.0, 5.0]
+    assert not any(math.isnan(r["x"]) for r in kept.collect())
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(x" in plan and "LessThanOrEqual(x" in plan    # reaches the scan
 
 
 def test_paired_duplicate_key_raises(spark):
