@@ -40,7 +40,7 @@ def main():
          groups.group_stats(li, ["l_returnflag", "l_linestatus"], "l_quantity")),
         ("two-group filter pushed to the scan, partial aggregation before the shuffle",
          ev.where(F.col("event_type").isin("view", "purchase")).groupBy("event_type").agg(F.avg("value"))),
-        ("outlier filter: literal bounds, two-column ReadSchema",
+        ("outlier filter: literal bounds pushed to the parquet scan, two-column ReadSchema",
          clean.remove_outliers(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"),
                                "o_totalprice", "IQR")),
         ("histogram: bounded broadcast of <= 30 bin counts",
