@@ -314,17 +314,24 @@ def neighbours(df: DataFrame, col: str, order_by: list[str] | str,
     pair_prev = F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("a"), F.col(kp).alias("b")))
     pair_next = F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("a"), F.col(kn).alias("b")))
     r = (r.withColumn(TMP + "lp", F.last(pair_prev, True).over(w.rowsBetween(_UNB, -1)))
-          .withColumn(TMP + "ln", F.last(pair_next, True).over(wr.rowsBetween(_UNB, -1))))
+          .withColumn(TMP + "ln", F.last(pair_next, True).over(wr.rowsBetween(_UNB, -1)))
+          .withColumn(TMP + "np", F.count(F.lit(1)).over(Window.partitionBy(*keys, _PID))))
+    # The partition's last two known rows are read off its last row (itself
+    # and its previous known, or the last pair before it); the first two off
+    # its first row.  So the summary needs only 2 rows per partition.
+    is_last, is_first = F.col(rn) == F.col(TMP + "np"), F.col(rn) == 1
+    r = (r.withColumn(TMP + "e_last", F.when(is_last, F.coalesce(pair_prev, F.col(TMP + "lp"))))
+          .withColumn(TMP + "e_first", F.when(is_first, F.coalesce(pair_next, F.col(TMP + "ln")))))
     # one job computes partition ids and all window columns; both branches
     # below (per-partition summary and row lookups) read the stored result
     r = _materialize(r)
 
-    # One row per (key, partition): size, last two and first two known rows.
-    known_rn = F.when(F.col(k).isNotNull(), F.col(rn))
-    meta = r.groupBy(*keys, _PID).agg(
-        F.count(F.lit(1)).alias(TMP + "n"),
-        F.max_by(pair_prev, known_rn).alias(TMP + "last2"),
-        F.min_by(pair_next, known_rn).alias(TMP + "first2"))
+    # One row per (key, partition): size, last two and first two known rows,
+    # aggregated from the (at most) two edge rows of each partition.
+    meta = (r.where(is_last | is_first).groupBy(*keys, _PID)
+             .agg(F.max(TMP + "np").alias(TMP + "n"),
+                  F.first(TMP + "e_last", True).alias(TMP + "last2"),
+                  F.first(TMP + "e_first", True).alias(TMP + "first2")))
     wk = Window.partitionBy(*keys).orderBy(_PID)
     wkr = Window.partitionBy(*keys).orderBy(F.col(_PID).desc())
     off = F.coalesce(F.sum(TMP + "n").over(wk.rowsBetween(_UNB, -1)), F.lit(0))
