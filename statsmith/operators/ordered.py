@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statsmith.functions.columns import TMP, dbl, present, require_columns, require_numeric, value
 from statsmith.session import shuffle_partitions, stored
@@ -287,14 +288,16 @@ def _k(pos: Column, val: Column) -> Column:
 
 
 def neighbours(df: DataFrame, col: str, order_by: list[str] | str,
-               partition_by: list[str] | str = (), num_partitions: int | None = None) -> DataFrame:
+               partition_by: list[str] | str = (), num_partitions: int | None = None,
+               sides: tuple = ("prev", "next")) -> DataFrame:
     """Add, for every row, its global 1-based position ``__sm_pos`` inside its
     partition key and structs ``(p, v)`` for the previous two and next two
     rows holding a non-NULL ``col`` (``__sm_p1, __sm_p2, __sm_n1, __sm_n2``).
 
     Rows are ordered by ``order_by`` (make it unique: ties have no defined
     order).  Work per range partition, plus a carry frame with one row per
-    (key, partition).
+    (key, partition).  ``sides`` limits the lookups to "prev" or "next" (the
+    other side's columns are NULL), saving the corresponding window sort.
     """
     order_by = [order_by] if isinstance(order_by, str) else list(order_by)
     keys = [partition_by] if isinstance(partition_by, str) else list(partition_by)
@@ -309,12 +312,17 @@ def neighbours(df: DataFrame, col: str, order_by: list[str] | str,
     rn, k, kp, kn = (TMP + "rn", TMP + "k", TMP + "kp", TMP + "kn")
     r = r.withColumn(rn, F.row_number().over(w))
     r = r.withColumn(k, F.when(present(df, col), _k(F.col(rn), F.col(col))))
-    r = (r.withColumn(kp, F.last(k, True).over(w.rowsBetween(_UNB, -1)))
-          .withColumn(kn, F.last(k, True).over(wr.rowsBetween(_UNB, -1))))
+    kt = r.schema[k].dataType
+    none_k = F.lit(None).cast(kt)
+    r = (r.withColumn(kp, F.last(k, True).over(w.rowsBetween(_UNB, -1)) if "prev" in sides else none_k)
+          .withColumn(kn, F.last(k, True).over(wr.rowsBetween(_UNB, -1)) if "next" in sides else none_k))
     pair_prev = F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("a"), F.col(kp).alias("b")))
     pair_next = F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("a"), F.col(kn).alias("b")))
-    r = (r.withColumn(TMP + "lp", F.last(pair_prev, True).over(w.rowsBetween(_UNB, -1)))
-          .withColumn(TMP + "ln", F.last(pair_next, True).over(wr.rowsBetween(_UNB, -1)))
+    none_pair = F.lit(None).cast(T.StructType([T.StructField("a", kt), T.StructField("b", kt)]))
+    r = (r.withColumn(TMP + "lp", F.last(pair_prev, True).over(w.rowsBetween(_UNB, -1))
+                      if "prev" in sides else none_pair)
+          .withColumn(TMP + "ln", F.last(pair_next, True).over(wr.rowsBetween(_UNB, -1))
+                      if "next" in sides else none_pair)
           .withColumn(TMP + "np", F.count(F.lit(1)).over(Window.partitionBy(*keys, _PID))))
     # The partition's last two known rows are read off its last row (itself
     # and its previous known, or the last pair before it); the first two off
@@ -377,7 +385,7 @@ def _finish(nb: DataFrame, col: str, expr: Column, cols: list[str]) -> DataFrame
 
 def fill_forward(df: DataFrame, col: str, order_by, partition_by=(), num_partitions=None) -> DataFrame:
     """Last known value in row order (leading gaps stay NULL)."""
-    nb = neighbours(df, col, order_by, partition_by, num_partitions)
+    nb = neighbours(df, col, order_by, partition_by, num_partitions, sides=("prev",))
     return _finish(nb, col, F.coalesce(value(df, col), F.col(TMP + "p1.v")), df.columns)
 
 
