@@ -94,3 +94,15 @@ def test_three_quantile_methods_agree(spark):
     res = [ordered.quantiles(df, ["a"], probs, keys=["g"], method=m).toPandas().sort_values("g")
            .filter(like="q_").to_numpy() for m in ("aggregate", "full", "bracket")]
     assert np.allclose(res[0], res[1], rtol=0, atol=1e-12) and np.allclose(res[1], res[2], rtol=0, atol=0)
+
+
+def test_one_sided_lookups_and_null_key_bfill(spark):
+    pdf = pd.DataFrame({"k": range(8), "g": ["a", None, "a", None, "a", None, "a", None],
+                        "v": [None, 1.0, 2.0, None, None, 5.0, None, None]})
+    df = spark.createDataFrame(pdf, "k long, g string, v double")
+    nb = ordered.neighbours(df, "v", "k", sides=("prev",), num_partitions=3).orderBy("k").toPandas()
+    # previous known row strictly before each row: none for rows 0 and 1
+    assert nb["__sm_n1"].isna().all() and nb["__sm_p1"].notna().sum() == 6
+    got = ordered.fill_backward(df, "v", "k", partition_by="g", num_partitions=3).orderBy("k").toPandas().v
+    exp = pdf.groupby("g", dropna=False)["v"].transform(lambda s: s.bfill())
+    assert np.allclose(got.to_numpy(float), exp.to_numpy(float), equal_nan=True)
