@@ -40,10 +40,11 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     if fmt == "parquet":
         return read_parquet(spark, path)
-    header = spark.read.option("header", False).csv(path).first()   # one row
+    # quotes inside quoted fields are doubled ("") as in pandas / RFC 4180
+    header = spark.read.option("header", False).option("escape", '"').csv(path).first()   # one row
     if header is not None:
         _check_names([str(v) for v in header])   # Spark would silently rename duplicates
-    raw = (spark.read.option("header", True).option("inferSchema", False)
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
            .option("mode", "PERMISSIVE").option("nullValue", None).csv(path))
     tokens = F.array(*[F.lit(t) for t in NA_TOKENS])
     cleaned = raw.select([
@@ -107,5 +108,5 @@ def preview(df: DataFrame, n: int = 20) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV sink (A4): header, no index, missing written as an empty field."""
-    (df.write.mode(mode).option("header", True).option("nullValue", "")
+    (df.write.mode(mode).option("header", True).option("nullValue", "").option("escape", '"')
        .option("emptyValue", "\"\"").csv(path))

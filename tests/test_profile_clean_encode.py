@@ -162,3 +162,27 @@ def test_label_mapping_large_class_set_uses_distributed_path(spark, monkeypatch)
     got = {r["class"]: r["code"] for r in m.collect()}
     assert got == {c: i for i, c in enumerate(sorted(["b", "a", "é", "Z", "10", "9"]))}
     assert sorted(r[0] for r in enc.collect()) == sorted(got[c] for c in ["b", "a", "é", "Z", "a", "10", "9"])
+
+
+def test_describe_matches_pandas_layout(spark):
+    rng = np.random.default_rng(19)
+    pdf = pd.DataFrame({"a": rng.normal(size=97), "b": rng.integers(0, 9, 97).astype(np.int64),
+                        "s": rng.choice(["u", "v"], 97)})
+    pdf.loc[::7, "a"] = np.nan
+    got = profile.describe(spark.createDataFrame(pdf)).toPandas().set_index("stat")
+    exp = pdf.describe()
+    names = {"count": "count", "mean": "mean", "std": "std", "min": "min", "q25": "25%", "q50": "50%",
+             "q75": "75%", "max": "max"}
+    for ours, theirs in names.items():
+        for c in ("a", "b"):
+            assert got.loc[ours, c] == pytest.approx(exp.loc[theirs, c], rel=1e-12)
+
+
+def test_read_table_quoted_fields(spark):
+    d = tempfile.mkdtemp(prefix="statsmith-csv-")
+    p = os.path.join(d, "q.csv")
+    with open(p, "w") as f:
+        f.write('name,note,n\n"Smith, J","said ""hi""",3\n"Lee",,4\n')
+    rows = read_table(spark, p).orderBy("n").collect()
+    assert rows[0]["name"] == "Smith, J" and rows[0]["note"] == 'said "hi"' and rows[0]["n"] == 3
+    assert rows[1]["note"] is None
