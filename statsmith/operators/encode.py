@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statsmith.functions.columns import TMP, dbl, numeric_columns, require_columns
+from statsmith.functions.columns import TMP, dbl, numeric_columns, python_float_text, require_columns
 from statsmith.operators import ordered
 
 
@@ -24,37 +24,12 @@ def as_text(df: DataFrame, col: str) -> Column:
     if isinstance(dt, T.BooleanType):
         txt = F.when(c, F.lit("True")).otherwise(F.lit("False"))
     elif isinstance(dt, (T.DoubleType, T.FloatType)):
-        txt = _python_float_text(col)
+        txt = python_float_text(col)
     else:
         txt = c.cast("string")
     return F.coalesce(txt, F.lit("nan"))
 
 
-def _python_float_text(col: str) -> Column:
-    """Python's ``str(float)``: plain decimals for 1e-4 <= |x| < 1e16 (at
-    least one decimal), otherwise ``<mantissa>e<sign><2+ digit exponent>``,
-    e.g. 10000000.0, 0.0001, 1e+16, 1.5e-05, inf, nan, -0.0.  Built from
-    Spark's own shortest digits (its ``1.5E-5`` form), not a fixed scale."""
-    c = F.col(f"`{col}`").cast("double")
-    a = F.abs(c)
-    sci = c.cast("string")                                    # e.g. 1.5E-5, 1.0E16, 123.25, -0.0
-    pat = r"^(-?[0-9.]+)(E(-?[0-9]+))?$"
-    mant = F.regexp_replace(F.regexp_extract(sci, pat, 1), r"\.0$", "")
-    expo = F.regexp_extract(sci, pat, 3)
-    e = F.when(expo == "", F.lit(0)).otherwise(expo.cast("int"))
-    exp_txt = F.concat(mant, F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")),
-                       F.when(F.abs(e) < 10, F.concat(F.lit("0"), F.abs(e).cast("string")))
-                        .otherwise(F.abs(e).cast("string")))
-    plain = F.regexp_replace(F.expr(f"try_cast(abs(CAST(`{col}` AS DOUBLE)) AS DECIMAL(38, 20))")
-                             .cast("string"), r"0+$", "")
-    plain = F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), F.regexp_replace(plain, r"\.$", ".0"))
-    return (F.when(F.isnan(c), F.lit("nan"))
-             .when(c == float("inf"), F.lit("inf")).when(c == float("-inf"), F.lit("-inf"))
-             .when(a == 0, sci)
-             .when((a >= 1e-4) & (a < 1e16), plain)
-             .otherwise(exp_txt))
-
-
 # Class sets up to this size are sorted on the driver and broadcast.
 SMALL_CLASS_SET = 10_000
 

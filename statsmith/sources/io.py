@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statsmith.functions.columns import python_float_text
+
 
 # The strings pandas.read_csv treats as missing by default.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -107,6 +109,21 @@ def preview(df: DataFrame, n: int = 20) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV sink (A4): header, no index, missing written as an empty field."""
-    (df.write.mode(mode).option("header", True).option("nullValue", "").option("escape", '"')
-       .option("emptyValue", "\"\"").csv(path))
+    """CSV sink (A4): header, no index, missing (NULL or NaN) written as an
+    empty field, and values in pandas' text forms: floats as Python prints
+    them (10000000.0, 1e-05), booleans True/False, timestamps
+    'yyyy-MM-dd HH:mm:ss'."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            out.append(F.when(c.isNull() | F.isnan(c), F.lit(None))
+                        .otherwise(python_float_text(f.name)).alias(f.name))
+        elif isinstance(f.dataType, T.BooleanType):
+            out.append(F.when(c, F.lit("True")).when(~c, F.lit("False")).alias(f.name))
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            out.append(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(f.name))
+        else:
+            out.append(c)
+    (df.select(out).write.mode(mode).option("header", True).option("nullValue", "")
+       .option("escape", '"').option("emptyValue", "\"\"").csv(path))

@@ -186,3 +186,15 @@ def test_read_table_quoted_fields(spark):
     rows = read_table(spark, p).orderBy("n").collect()
     assert rows[0]["name"] == "Smith, J" and rows[0]["note"] == 'said "hi"' and rows[0]["n"] == 3
     assert rows[1]["note"] is None
+
+
+def test_write_csv_uses_pandas_text_forms(spark):
+    import datetime as dt
+    d = tempfile.mkdtemp(prefix="statsmith-csv-")
+    df = spark.createDataFrame([(1e7, True, dt.datetime(2020, 1, 2, 3, 4, 5), "x"),
+                                (float("nan"), False, None, None)],
+                               "d double, b boolean, t timestamp, s string")
+    out = os.path.join(d, "o")
+    write_csv(df.coalesce(1), out)
+    text = "".join(open(os.path.join(out, f)).read() for f in sorted(os.listdir(out)) if f.endswith(".csv"))
+    assert text.splitlines() == ["d,b,t,s", "10000000.0,True,2020-01-02 03:04:05,x", ",False,,"]
