@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statsmith.llm import exact_dedup, sentencepiece_bpe
+from statsmith.llm import arrow_sequences, exact_dedup, packing, sentencepiece_bpe, warc
+from statsmith.llm.common import fresh_dir
 
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
@@ -21,15 +22,38 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir), keep="largest", normalise=exact_dedup.lower_ascii)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    files = warc.write_archives(warc.plan_records(pages, min_bytes=0), fresh_dir(spark, "warc"))
+    paths = [r["path"] for r in files.select("path").collect()]        # one row per file
+    return warc.resolve(warc.read_archives(spark, paths))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf_dir), WORD_FILE)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
+def op9_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = arrow_sequences.write_sequences(documents(spark, sf_dir), WORD_FILE, fresh_dir(spark, "sequences"))
+    return arrow_sequences.read_documents(spark, manifest).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(documents(spark, sf_dir), PIECE_FILE, digests=True)
 
 
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_warc": op6_warc,
+    "op8_packing": op8_packing,
+    "op9_arrow_sequences": op9_arrow_sequences,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op6_warc": warc.ORACLE,
 }
