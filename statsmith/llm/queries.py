@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statsmith.llm import arrow_sequences, exact_dedup, packing, sentencepiece_bpe, warc
+from statsmith.llm import arrow_sequences, exact_dedup, packing, sentencepiece_bpe, suffix_dedup, warc
 from statsmith.llm.common import fresh_dir
 
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), width=50)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir), keep="largest", normalise=exact_dedup.lower_ascii)
 
@@ -46,6 +50,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc": op6_warc,
     "op8_packing": op8_packing,
