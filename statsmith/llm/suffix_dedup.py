@@ -277,8 +277,8 @@ def compare_bucket(table, width: int):
 def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text",
                    texts: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans,
-    kept_sha256`` and, with ``texts``, ``kept_text`` (bytes of a character cut
-    apart become U+FFFD there).
+    kept_sha256`` and, with ``texts``, ``kept_text`` (without the bytes of a
+    character that was cut apart) and ``input_sha256``.
 
     Removes each byte covered by a string of ``width`` bytes that starts in a
     document with a smaller id too; overlaps count, matches never cross
@@ -338,7 +338,7 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
         return _rows(_ITEMS, out)
 
     result = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-              ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * texts
+              ("kept_sha256", pa.string())] + [("kept_text", pa.string()), ("input_sha256", pa.string())] * texts
 
     def finish(key, left, right):
         s = Slice(left, width)
@@ -368,7 +368,7 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
             kept = t if not n else np.frombuffer(t, np.uint8)[~g].tobytes()
             spans = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if n else 0
             rows.append((s.ids[i], len(t), n, spans, hashlib.sha256(kept).hexdigest(),
-                         *[kept.decode("utf-8", "replace")] * texts))
+                         *([kept.decode("utf-8", "ignore"), hashlib.sha256(t).hexdigest()] if texts else [])))
         return _rows(pa.schema(result), rows)
 
     by_slice = sliced.groupBy("slice")
