@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statsmith.llm.common import id_text
-from statsmith.session import shuffle_partitions
 
 K = 20                                # bytes of an anchor
 CHUNK = 4 << 20                       # bytes of text worked on at a time
+SLICE = 4 << 20                       # bytes of text of a slice, on average
 LEAD = 16                             # bytes of a suffix that splitters compare
 SAMPLE = 100                          # one document in so many gives splitters
 U = np.uint64
@@ -275,7 +275,7 @@ def compare_bucket(table, width: int):
 
 
 def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text",
-                   texts: bool = False) -> DataFrame:
+                   texts: bool = False, slice_bytes: int = SLICE) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans,
     kept_sha256`` and, with ``texts``, ``kept_text`` (without the bytes of a
     character that was cut apart) and ``input_sha256``.
@@ -284,15 +284,16 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     document with a smaller id too; overlaps count, matches never cross
     documents.  Null and empty texts have no bytes.  Rows that share an id are
     one document here: they do not remove from one another.  A null id is
-    smaller than any other.  ``width`` is from 28 to 100.  An empty table
+    smaller than any other.  ``width`` is from 28 to 100.  ``slice_bytes`` of
+    text make a slice; a task holds one slice or one bucket at a time.  An empty table
     gives an empty result.
     """
     if not 28 <= width <= 100:
         raise ValueError("width must be from 28 to 100")
-    spark = df.sparkSession
-    pieces = 4 * shuffle_partitions(spark)                       # slices, hash ranges and buckets
-    bits = max(1, (pieces - 1).bit_length())
     docs = id_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    pieces = size // slice_bytes + 1                             # slices, hash ranges and buckets
+    bits = max(1, (pieces - 1).bit_length())
     sliced = docs.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(pieces)))
 
     def leads(batches):
