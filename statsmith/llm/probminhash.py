@@ -243,10 +243,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, hashes binary, counts binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Links among the pairs (``a, b``): only texts of the pairs are read."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"))
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links among the pairs (``a, b``) by their exact shingle sets."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
 
@@ -306,13 +304,17 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     star = places.join(pivot.select("bucket", "pivot"), "bucket").filter("node <> pivot").select(
         F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     tested = stored_table(matching(star, nodes), "pairs")
-    links = stored_table(verified(tested, named, threshold), "links")
+    # shingle sets of all documents that share a bucket: their texts move once, to where their ids
+    # (a set that grows with the input, so never broadcast) are hashed
+    ids = places.join(pivot.select("bucket"), "bucket", "left_semi").select(F.col("node").alias("doc_id")).distinct()
+    sets = stored_table(shingle_sets(named.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")), "sets")
+    links = stored_table(verified(tested, sets, threshold), "links")
     labels = components(links)
     for best in (True, False):
         pairs = bucket_pairs(places, nodes, labels, best)
         pairs = stored_table(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
-        links = links.unionByName(stored_table(verified(pairs, named, threshold), "links"))
+        links = links.unionByName(stored_table(verified(pairs, sets, threshold), "links"))
         labels = components(links)
     member = worded.select("doc_id", "words").distinct().join(nodes.select("words", "node"), "words").select("doc_id", "node")
     # a repeated id whose texts differ joins their nodes
