@@ -67,16 +67,17 @@ def _roc_table(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 def roc_curve(pred: DataFrame, label: str = "label", score: str = "score", positive=1) -> DataFrame:
     """ROC points ``threshold, fpr, tpr`` at every distinct score
-    (threshold = score; points ordered by decreasing threshold), from a
-    ranked value table with positive/negative weights."""
+    (threshold = score), from a ranked value table with positive/negative
+    weights, and the origin (0, 0) at an infinite threshold."""
     s = pred.select((F.col(label) == F.lit(positive)).cast("int").alias(TMP + "y"),
                     dbl(score).alias(TMP + "s")).where(F.col(TMP + "s").isNotNull())
     rt = _roc_table(s, [])
     tot = s.agg(F.sum(TMP + "y").alias("P"), F.count(F.lit(1)).alias("N")).first()
     P, N = tot["P"] or 0, tot["N"] - (tot["P"] or 0)
-    return rt.select("threshold",
-                     safe_div((F.col("fp_before") + F.col("neg")).cast("double"), F.lit(float(N))).alias("fpr"),
-                     safe_div((F.col("tp_before") + F.col("pos")).cast("double"), F.lit(float(P))).alias("tpr"))
+    origin = pred.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double")
+    return origin.unionByName(rt.select(
+        "threshold", safe_div((F.col("fp_before") + F.col("neg")).cast("double"), F.lit(float(N))).alias("fpr"),
+                     safe_div((F.col("tp_before") + F.col("pos")).cast("double"), F.lit(float(P))).alias("tpr")))
 
 
 def _auc_expr() -> F.Column:
@@ -102,13 +103,13 @@ def roc_auc_frame(pred: DataFrame, label: str = "label", score: str = "score", p
 
 def multiclass_roc_auc(pred: DataFrame, label: str = "label", probability: str = "probability") -> DataFrame:
     """One-vs-rest AUC per class index from the probability (or raw
-    score) vector: ``class, auc``."""
+    score) vector: ``class, auc`` (NULL for a class without rows of its own)."""
     arr = vector_to_array(F.col(probability)) if dict(pred.dtypes)[probability] != "array<double>" \
         else F.col(probability)
     s = pred.select(dbl(label).alias(TMP + "lab"), F.posexplode(arr).alias("class", TMP + "s"))
     s = s.withColumn(TMP + "y", (F.col(TMP + "lab") == F.col("class").cast("double")).cast("int"))
     rt = _roc_table(s, ["class"])
-    return (rt.groupBy("class").agg((F.sum(_auc_expr()) / (2.0 * F.sum("pos") * F.sum("neg"))).alias("auc"))
+    return (rt.groupBy("class").agg(safe_div(F.sum(_auc_expr()).cast("double"), 2.0 * F.sum("pos") * F.sum("neg")).alias("auc"))
               .orderBy("class"))
 
 

@@ -69,6 +69,15 @@ ALLOWED = {
 BOOST_DEFAULTS = {"gradient boosting": (100, 3, 0.1, 32), "xgboost": (100, 6, 0.3, 32),
                   "lgbm": (100, 5, 0.1, 255)}
 MAX_DEPTH = 30
+
+
+def _depth(depth) -> int:
+    """The tree depth asked for; a deeper tree than Spark grows is refused."""
+    if int(depth) > MAX_DEPTH:
+        raise ValueError(f"max_depth can be {MAX_DEPTH} at most")
+    return int(depth)
+
+
 # The models whose feature importances are reported.
 IMPORTANCE_MODELS = ("random forest", "gradient boosting", "xgboost", "lgbm")
 # Deep trees: keep each row's node id (no re-walk of the tree per level),
@@ -180,19 +189,22 @@ def _convert(name: str, task: str, params: dict, train: DataFrame, n_classes: in
         n = train.count()
         pen = params.get("penalty", "l2")
         C = float(params.get("C", 1.0))
-        enet = {"l2": 0.0, "l1": 1.0, "elasticnet": float(params.get("l1_ratio", 0.5))}.get(pen, 0.0)
+        kinds = {"l2": 0.0, "l1": 1.0, "elasticnet": float(params.get("l1_ratio", 0.5)), None: 0.0, "None": 0.0}
+        if pen not in kinds:
+            raise ValueError(f"penalty must be one of {list(kinds)}")
+        enet = kinds[pen]
         reg = 0.0 if pen in (None, "None") else 1.0 / (C * n)
         est = LogisticRegression(regParam=reg, elasticNetParam=enet, standardization=False,
                                  maxIter=int(params.get("max_iter", 1000)), fitIntercept=fi,
                                  tol=float(params.get("tol", 1e-4)))
         return est.fit(train)
     if name == "decision tree":
-        depth = min(int(params.get("max_depth") or MAX_DEPTH), MAX_DEPTH)
+        depth = _depth(params.get("max_depth") or MAX_DEPTH)
         mins = max(1, int(params.get("min_samples_split", 2)) // 2)
         cls = DecisionTreeClassifier if task == CLS else DecisionTreeRegressor
         return cls(maxDepth=depth, minInstancesPerNode=mins, seed=seed, **_TREE_SPEED).fit(train)
     if name == "random forest":
-        depth = min(int(params.get("max_depth") or MAX_DEPTH), MAX_DEPTH)
+        depth = _depth(params.get("max_depth") or MAX_DEPTH)
         mins = max(1, int(params.get("min_samples_split", 2)) // 2)
         trees = int(params.get("n_estimators", 100))
         if task == CLS:
@@ -207,7 +219,7 @@ def _convert(name: str, task: str, params: dict, train: DataFrame, n_classes: in
     if name in BOOST_DEFAULTS:
         it, depth, rate, bins = BOOST_DEFAULTS[name]
         it = int(params.get("n_estimators", it))
-        depth = min(int(params.get("max_depth", depth)), MAX_DEPTH)
+        depth = _depth(params.get("max_depth", depth))
         rate = float(params.get("learning_rate", rate))
         if task == CLS:
             gbt = GBTClassifier(maxIter=it, maxDepth=depth, stepSize=rate, maxBins=bins, seed=seed)

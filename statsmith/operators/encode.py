@@ -117,9 +117,12 @@ def scale(df: DataFrame, method: str = "standard", target: str | None = None,
 
 
 def one_vs_rest(df: DataFrame, label: str, classes: list | None = None) -> DataFrame:
-    """One 0/1 indicator column ``<label>_is_<k>`` per class."""
+    """One 0/1 indicator column ``<label>_is_<k>`` per class.  Classes
+    that differ by case only get their position appended to the name."""
     if classes is None:
-        from statsmith.operators.groups import small_levels
-        classes = small_levels(df, label)          # one output column per class: bounded
-    return df.withColumns({f"{label}_is_{k}": (F.col(label) == F.lit(k)).cast("int")
-                           for k in classes})
+        from statsmith.operators.groups import distinct_levels
+        classes = [r[0] for r in distinct_levels(df, label).orderBy(label).collect()]   # one output column each
+    names = [f"{label}_is_{k}" for k in classes]
+    lower = [x.lower() for x in names]
+    names = [x if lower.count(x.lower()) == 1 else f"{x}_{i}" for i, x in enumerate(names)]
+    return df.withColumns({x: (F.col(label) == F.lit(k)).cast("int") for x, k in zip(names, classes, strict=True)})

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statsmith.functions.columns import TMP, dbl, present, require_columns, require_numeric
+from statsmith.session import stored
 
 
 def _moments(x):
@@ -66,30 +67,22 @@ def distinct_levels(df: DataFrame, col: str) -> DataFrame:
     return df.where(present(df, col)).select(col).distinct()
 
 
-def small_levels(df: DataFrame, col: str, limit: int = 10_000) -> list:
-    """Driver list of levels for operators whose output is one column/row per
-    level (pivot, exact-two-group tests).  Refuses above ``limit``."""
-    lv = [r[0] for r in distinct_levels(df, col).orderBy(col).limit(limit + 1).collect()]
-    if len(lv) > limit:
-        raise ValueError(f"{col} has more than {limit} levels")
-    return lv
-
-
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """contingency counts in long form ``a, b, count`` including zero
-    cells.  Counts come from one partially aggregated ``groupBy(a, b)``; the
-    zero cells come from pivoting on the levels of ``b`` and unpivoting back
-    (no cross join)."""
+    cells.  Each level of ``a`` gets the numbers of the levels of ``b``, which
+    join the numbered levels and then the observed counts: no pivot, so any
+    level text and any number of levels will do."""
     require_columns(df, [a, b])
     nn = df.where(present(df, a) & present(df, b))
-    lb = small_levels(nn, b)
-    wide = nn.groupBy(a).pivot(b, lb).count().na.fill(0, subset=[str(v) for v in lb]) \
-        if lb else nn.groupBy(a).count().where(F.lit(False))
-    if not lb:
-        return nn.select(a, b, F.lit(0).cast("long").alias("count")).where(F.lit(False))
-    items = F.array(*[F.struct(F.lit(v).alias(b), F.col(f"`{v}`").cast("long").alias("count"))
-                      for v in lb])
-    return wide.select(a, F.inline(items))
+    x, y, n = TMP + "a", TMP + "b", TMP + "n"
+    seen = stored(nn.groupBy(F.col(f"`{a}`").alias(x), F.col(f"`{b}`").alias(y)).agg(F.count(F.lit(1)).alias("count")))
+    lb = seen.select(y).distinct().withColumn(n, F.row_number().over(Window.orderBy(y)))
+    levels = lb.count()
+    if not levels:
+        return seen.select(F.col(x).alias(a), F.col(y).alias(b), "count")
+    every = seen.select(x).distinct().withColumn(n, F.explode(F.sequence(F.lit(1), F.lit(levels)))).join(lb, n)
+    return every.join(seen, [x, y], "left").select(
+        F.col(x).alias(a), F.col(y).alias(b), F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
 def stack(frames: list[DataFrame]) -> DataFrame:
@@ -111,7 +104,7 @@ def stats_beside_test(df: DataFrame, test: str, groups_: list[str] | str | None
         return describe_transposed(df, gl)
     if test == "shapiro":
         return value_stats(df, value)
-    if test == "anova_twoway":
+    if test in ("anova_two", "anova_twoway"):
         if len(gl) != 2:
             raise ValueError("two-way ANOVA needs exactly 2 group variables")
         return group_stats_2way(df, gl[0], gl[1], value)

@@ -19,9 +19,12 @@ def bartlett_sphericity(df: DataFrame, cols: list[str]) -> DataFrame:
     g = gram(df, cols)
     p, n = len(cols), g.n
     sign, logdet = np.linalg.slogdet(g.corr)
-    chi2 = -((n - 1) - (2 * p + 5) / 6.0) * logdet if sign > 0 else float("nan")
+    if np.isfinite(g.corr).all() and (sign <= 0 or np.linalg.matrix_rank(g.corr) < p):
+        chi2 = float("inf")                       # collinear variables: det R is 0, so ln det R has no bound
+    else:
+        chi2 = -((n - 1) - (2 * p + 5) / 6.0) * logdet if sign > 0 else float("nan")
     dof = p * (p - 1) / 2.0
-    pv = dist.chi2_sf(chi2, dof) if not math.isnan(chi2) else float("nan")
+    pv = 0.0 if math.isinf(chi2) else dist.chi2_sf(chi2, dof) if not math.isnan(chi2) else float("nan")
     sig = (pv < ALPHA) if not math.isnan(pv) else None
     verdict = ("correlations differ from identity: factor analysis is appropriate" if sig
                else "correlations do not differ from identity: factor analysis may not be appropriate")

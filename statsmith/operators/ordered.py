@@ -21,7 +21,6 @@ holds a third of the rows simply spans many range partitions.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,13 +39,8 @@ def _parts(df: DataFrame, num_partitions: int | None) -> int:
 
 def _materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once through a reliable ``checkpoint()`` (the folder named
-    by ``spark.checkpoint.dir``) and return the stored copy.  The frame is
-    persisted while the checkpoint is written so the write reads cached blocks
-    instead of recomputing them, then released."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = stored(df)
-    df.unpersist()
-    return out
+    by ``spark.checkpoint.dir``) and return the stored copy."""
+    return stored(df)
 
 
 def _range_tagged(df: DataFrame, sort_cols: list[str], P: int) -> DataFrame:
@@ -391,7 +385,7 @@ def fill_forward(df: DataFrame, col: str, order_by, partition_by=(), num_partiti
 
 def fill_backward(df: DataFrame, col: str, order_by, partition_by=(), num_partitions=None) -> DataFrame:
     """Next known value in row order (trailing gaps stay NULL)."""
-    nb = neighbours(df, col, order_by, partition_by, num_partitions)
+    nb = neighbours(df, col, order_by, partition_by, num_partitions, sides=("next",))
     return _finish(nb, col, F.coalesce(value(df, col), F.col(TMP + "n1.v")), df.columns)
 
 

@@ -74,7 +74,10 @@ def pca(df: DataFrame, cols: list[str], k: int = 2) -> Reduction:
     _check(df, cols, k)
     g = gram(df, cols)
     n, p = g.n, len(cols)
-    evals, evecs = np.linalg.eigh(g.corr)
+    corr = g.corr
+    flat = g.std == 0
+    corr[flat, :] = corr[:, flat] = 0.0               # a constant column scales to zeros
+    evals, evecs = np.linalg.eigh(corr)
     order = np.argsort(evals)[::-1]
     evals, evecs = evals[order], evecs[:, order]
     lam = evals * n / (n - 1)

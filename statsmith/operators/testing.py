@@ -10,12 +10,11 @@ the others.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statsmith.operators import multivariate, tests_parametric as TP, tests_rank as TR
+from statsmith.operators.groups import stack
 
 # The test names offered by the reference.
 TESTS = ("ttest", "ttest_paired", "anova", "anova_two", "chi_square", "mannwhitney", "kruskal",
@@ -66,7 +65,7 @@ def run_test(df: DataFrame, test: str, groups: list[str] | str, value: str | Non
         try:
             r = _one(df, test, g, value, pair_key)
             parts.append(r.withColumn("group_variable", F.lit(g)).withColumn("error", F.lit(None).cast("string")))
-        except Exception as e:  # noqa: BLE001 - per-test errors are results, as in the reference
+        except ValueError as e:             # refused inputs are results; failures are not
             parts.append(spark.createDataFrame([(g, f"{type(e).__name__}: {e}")],
                                                "group_variable string, error string"))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stack(parts)

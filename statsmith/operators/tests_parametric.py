@@ -209,11 +209,23 @@ def chi_square_detail(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson chi-square test of independence (one row)."""
-    r = chi_square_detail(df, a, b).agg(F.sum("contribution").alias("chi2"),
-                                         F.max("dof").alias("dof"),
-                                         F.sum("observed").alias("n")).first()
-    chi2, dof = r["chi2"], r["dof"]
+    """Pearson chi-square test of independence (one row).  From the
+    observed cells alone: chi2 = N (sum O^2 / (R C) - 1); a table with one
+    degree of freedom (four cells) goes through the detail for its correction."""
+    require_columns(df, [a, b])
+    nn = df.where(present(df, a) & present(df, b))
+    x, y = TMP + "a", TMP + "b"
+    cells = stored(nn.groupBy(F.col(f"`{a}`").alias(x), F.col(f"`{b}`").alias(y)).agg(F.count(F.lit(1)).alias("o")))
+    rt, ct = (cells.groupBy(c).agg(F.sum("o").alias(t)) for c, t in ((x, "rt"), (y, "ct")))
+    part = F.sum(F.col("o").cast("double") * F.col("o") / F.col("rt") / F.col("ct"))
+    r = cells.join(rt, x).join(ct, y).agg(
+        F.sum("o").alias("n"), part.alias("s"),
+        ((F.count_distinct(x) - 1) * (F.count_distinct(y) - 1)).alias("dof")).first()
+    dof = r["dof"] if r["n"] else 0
+    if dof == 1:
+        chi2 = chi_square_detail(df, a, b).agg(F.sum("contribution")).first()[0]
+    else:
+        chi2 = max(0.0, r["n"] * (r["s"] - 1.0)) if dof else 0.0
     p = 1.0 if not dof else dist.chi2_sf(chi2, dof)
     return _frame(df.sparkSession, dict(
         chi2=float(chi2 or 0.0), dof=int(dof or 0), n=r["n"], p_value=p,

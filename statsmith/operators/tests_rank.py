@@ -50,12 +50,6 @@ def _weighted_ranks(gv: DataFrame) -> DataFrame:
                      (F.col("cum_w") + (F.col("w") + 1) / 2.0).alias("avg_rank"))
 
 
-# The exact null distribution is an array of n1 * n2 + 1 counts on the driver;
-# beyond this size (e.g. 5 rows against a billion) the normal form is used and
-# reported in the ``method`` column.
-EXACT_MAX_CELLS = 20_000_000
-
-
 def _mwu_exact_sf(u: float, m: int, n: int) -> float:
     """P(U >= u) under H0 for sample sizes m, n without ties.  The counts are
     the coefficients of the Gaussian binomial [m+n choose m](q) = prod_{i=1..m}
@@ -78,11 +72,13 @@ def _mwu_exact_sf(u: float, m: int, n: int) -> float:
     return float(c[k:].sum() / total) if k < L else 0.0
 
 
-def mannwhitney(df: DataFrame, group: str, value: str) -> DataFrame:
+def mannwhitney(df: DataFrame, group: str, value: str, method: str = "auto") -> DataFrame:
     """Mann-Whitney U, two-sided.  U1 is the statistic of group 1 (the
-    smaller level).  Exact distribution when min(n1, n2) <= 8, there are no
-    ties and n1 * n2 <= ``EXACT_MAX_CELLS``; otherwise the normal
-    approximation with tie and continuity corrections."""
+    smaller level).  ``method``: "exact" (an array of n1 * n2 counts on the
+    driver), "asymptotic" (normal approximation with tie and continuity
+    corrections), or "auto": exact when min(n1, n2) <= 8 without ties."""
+    if method not in ("auto", "exact", "asymptotic"):
+        raise ValueError("method must be auto, exact or asymptotic")
     sums, tie, N = rank_sums(df, group, value)
     rows = sums.orderBy(group).limit(3).collect()
     if len(rows) != 2:
@@ -91,7 +87,7 @@ def mannwhitney(df: DataFrame, group: str, value: str) -> DataFrame:
     u1 = r1 - n1 * (n1 + 1) / 2.0
     u2 = n1 * n2 - u1
     umax = max(u1, u2)
-    if min(n1, n2) <= 8 and tie == 0 and n1 * n2 + 1 <= EXACT_MAX_CELLS:
+    if method == "exact" or (method == "auto" and min(n1, n2) <= 8 and tie == 0):
         method = "exact"
         p = min(1.0, 2.0 * _mwu_exact_sf(umax, n1, n2))
     else:

@@ -443,6 +443,25 @@ def q_group_stats_2way(spark, d):
     return R(groups.group_stats_2way(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity"))
 
 
+@query("crosstab_partkey", """
+WITH a AS (SELECT DISTINCT l_partkey FROM lineitem), b AS (SELECT DISTINCT l_returnflag FROM lineitem),
+c AS (SELECT l_partkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT l_partkey, l_returnflag, coalesce(n, 0) AS count
+FROM a CROSS JOIN b LEFT JOIN c USING (l_partkey, l_returnflag)""")
+def q_crosstab_partkey(spark, d):
+    return groups.crosstab(table(spark, d, "lineitem"), "l_partkey", "l_returnflag")
+
+
+@query("chi_square_partkey", """
+WITH c AS (SELECT l_partkey AS a, l_returnflag AS b, count(*) AS o FROM lineitem GROUP BY ALL),
+m AS (SELECT o, sum(o) OVER (PARTITION BY a) AS r, sum(o) OVER (PARTITION BY b) AS k, a, b FROM c)
+SELECT round(sum(o) * (sum(o * o / CAST(r AS DOUBLE) / k) - 1), 4) AS chi2,
+       (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof, CAST(sum(o) AS BIGINT) AS n FROM m""")
+def q_chi_square_partkey(spark, d):
+    r = tests_parametric.chi_square(table(spark, d, "lineitem"), "l_partkey", "l_returnflag")
+    return r.select(F.round("chi2", 4).alias("chi2"), "dof", "n")
+
+
 @query("crosstab_flags", """
 WITH a AS (SELECT DISTINCT l_returnflag FROM lineitem), b AS (SELECT DISTINCT l_linestatus FROM lineitem),
 c AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2)
@@ -711,39 +730,39 @@ def q_pca_scores(spark, d):
     return R(res.scores)
 
 
-def _emb8(spark, d):
+def _embeddings(spark, d):
     e = table(spark, d, "embeddings")
-    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
 
 
 @query("pca_embeddings_loadings")
 def q_pca_emb(spark, d):
-    return R(reduce.pca(_emb8(spark, d), [f"e{i}" for i in range(8)], k=3).loadings)
+    return R(reduce.pca(_embeddings(spark, d), [f"e{i}" for i in range(64)], k=3).loadings)
 
 
 @query("fa_varimax")
 def q_fa_varimax(spark, d):
-    return R(reduce.factor_analysis(_emb8(spark, d), [f"e{i}" for i in range(8)], 2, "varimax").loadings)
+    return R(reduce.factor_analysis(_embeddings(spark, d), [f"e{i}" for i in range(64)], 2, "varimax").loadings)
 
 
 @query("fa_quartimax")
 def q_fa_quartimax(spark, d):
-    return R(reduce.factor_analysis(_emb8(spark, d), [f"e{i}" for i in range(8)], 2, "quartimax").loadings)
+    return R(reduce.factor_analysis(_embeddings(spark, d), [f"e{i}" for i in range(64)], 2, "quartimax").loadings)
 
 
 @query("fa_promax")
 def q_fa_promax(spark, d):
-    return R(reduce.factor_analysis(_emb8(spark, d), [f"e{i}" for i in range(8)], 2, "promax").loadings)
+    return R(reduce.factor_analysis(_embeddings(spark, d), [f"e{i}" for i in range(64)], 2, "promax").loadings)
 
 
 @query("fa_variance")
 def q_fa_variance(spark, d):
-    return R(reduce.factor_analysis(_emb8(spark, d), [f"e{i}" for i in range(8)], 2, "varimax").variance)
+    return R(reduce.factor_analysis(_embeddings(spark, d), [f"e{i}" for i in range(64)], 2, "varimax").variance)
 
 
 @query("fa_scores")
 def q_fa_scores(spark, d):
-    return R(reduce.factor_analysis(_emb8(spark, d), [f"e{i}" for i in range(8)], 2, "varimax").scores)
+    return R(reduce.factor_analysis(_embeddings(spark, d), [f"e{i}" for i in range(64)], 2, "varimax").scores)
 
 
 # ------------------------------------------------------------------ modelling
@@ -870,7 +889,8 @@ t AS (SELECT sum(pos) AS P, sum(neg) AS N FROM g)
 SELECT round(x, 6) AS threshold,
        round(sum(neg) OVER (ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / N, 6) AS fpr,
        round(sum(pos) OVER (ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / P, 6) AS tpr
-FROM g, t""")
+FROM g, t
+UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 0.0""")
 def q_roc_curve(spark, d):
     return R(evaluate.roc_curve(_scored_docs(spark, d)))
 

@@ -48,16 +48,21 @@ def build_session(master: str | None = None, app_name: str = "statsmith",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets this to a shared file system.  Only when it is unset (local
-    tests) do we create a private folder so ``DataFrame.checkpoint()`` works.
+    A cluster sets this to a shared file system; without it this raises there.
+    On a local master a private folder is made, once.  A checkpoint folder
+    that the caller has set on the context is left as it is.
     """
+    context = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
+        d = context.getCheckpointDir()
     if not d:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="statsmith-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(d)
     return d
 
 

@@ -38,7 +38,8 @@ def _check_names(cols: list[str]) -> None:
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Load a table.  CSV gets pandas-compatible NA handling and type inference;
-    parquet keeps its own schema with NaN normalised to NULL."""
+    parquet keeps its own schema and values.  A CSV with line breaks inside
+    quoted fields is read file by file; any other is split."""
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     if fmt == "parquet":
         return read_parquet(spark, path)
@@ -46,7 +47,10 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     header = spark.read.option("header", False).option("escape", '"').csv(path).first()   # one row
     if header is not None:
         _check_names([str(v) for v in header])   # Spark would silently rename duplicates
+    # a line with an odd number of quotes opens or closes a field with a line break in it
+    broken = spark.read.text(path).filter(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1)
     raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+           .option("multiLine", not broken.isEmpty())
            .option("mode", "PERMISSIVE").option("nullValue", None).csv(path))
     tokens = F.array(*[F.lit(t) for t in NA_TOKENS])
     cleaned = raw.select([
@@ -68,13 +72,18 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     return cleaned.select(out)
 
 
+# numbers as pandas reads them: no type suffix such as 5D or 7f
+_INTEGER = r"^\s*[+-]?\d+\s*$"
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+
+
 def _infer_types(df: DataFrame) -> dict[str, str]:
     aggs = []
     for i, c in enumerate(df.columns):
         col = F.col(c)
         aggs += [F.count(col).alias(f"n{i}"),
-                 F.count(F.expr(f"try_cast(`{c}` AS BIGINT)")).alias(f"l{i}"),
-                 F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"d{i}"),
+                 F.count(F.when(col.rlike(_INTEGER), F.expr(f"try_cast(`{c}` AS BIGINT)"))).alias(f"l{i}"),
+                 F.count(F.when(col.rlike(_NUMBER), F.expr(f"try_cast(`{c}` AS DOUBLE)"))).alias(f"d{i}"),
                  F.count(F.when(col.isin(TRUE_TOKENS + FALSE_TOKENS), 1)).alias(f"b{i}")]
     row = df.agg(*aggs).first()
     types = {}
@@ -126,4 +135,5 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         else:
             out.append(c)
     (df.select(out).write.mode(mode).option("header", True).option("nullValue", "")
-       .option("escape", '"').option("emptyValue", "\"\"").csv(path))
+       .option("escape", '"').option("emptyValue", "\"\"")
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
