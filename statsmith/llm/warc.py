@@ -71,17 +71,20 @@ def payload_of(block: bytes) -> bytes:
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                  min_bytes: int = 0) -> DataFrame:
     """``page_id, url, payload, sha1, refers_to``: one row per page id (rows that
-    repeat an id are one page: the largest payload).  Payloads of at least
+    repeat an id are one page: that with the largest SHA-256).  Payloads of at least
     ``min_bytes`` that are equal (length and SHA-256) refer to the smallest
     page id among them; for a response ``refers_to`` is null, for a revisit the
     payload.  Null html is an empty payload, a null page id one page without
     an id, which nothing refers to if another page has the payload."""
     page = pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(url_col).cast("string").alias("url"),
                         F.encode(F.coalesce(quoted(html_col), F.lit("")), "UTF-8").alias("payload"))
-    page = page.groupBy("page_id").agg(F.max(F.struct("payload", "url")).alias("p")).select(
-        "page_id", "p.url", "p.payload")
-    keys = page.select("page_id", F.sha2("payload", 256).alias("k"), F.octet_length("payload").alias("n"))
+    page = page.withColumn("k", F.sha2("payload", 256))
+    # the keys come from the rows themselves, so that payloads are shuffled once
+    keys = page.select("page_id", "k", F.octet_length("payload").alias("n"))
+    keys = keys.groupBy("page_id").agg(F.max(F.struct("k", "n")).alias("p")).select("page_id", "p.k", "p.n")
     keys = keys.filter(F.col("n") >= min_bytes)
+    page = page.groupBy("page_id").agg(F.max(F.struct("k", "payload", "url")).alias("p")).select(
+        "page_id", "p.url", "p.payload")
     first = keys.groupBy("k", "n").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     later = keys.join(first.filter("copies > 1"), ["k", "n"]).filter("NOT page_id <=> first_id").select(
         F.col("page_id").alias("later_id"), F.col("first_id").alias("refers_to"))
