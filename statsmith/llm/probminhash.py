@@ -299,14 +299,15 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     worded = signed.filter("bands IS NOT NULL")
     nodes = stored_table(worded.groupBy("words").agg(
         F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
-    places = stored_table(nodes.select("node", F.explode("bands").alias("bucket")), "places")
+    places = nodes.select("node", F.explode("bands").alias("bucket"))
     pivot = places.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    star = places.join(pivot.select("bucket", "pivot"), "bucket").filter("node <> pivot").select(
-        F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    # from here on only the places in buckets of several nodes, which most buckets are not
+    places = stored_table(places.join(pivot.select("bucket", "pivot"), "bucket"), "places")
+    star = places.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     tested = stored_table(matching(star, nodes), "pairs")
     # shingle sets of all documents that share a bucket: their texts move once, to where their ids
     # (a set that grows with the input, so never broadcast) are hashed
-    ids = places.join(pivot.select("bucket"), "bucket", "left_semi").select(F.col("node").alias("doc_id")).distinct()
+    ids = places.select(F.col("node").alias("doc_id")).distinct()
     sets = stored_table(shingle_sets(named.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")), "sets")
     links = stored_table(verified(tested, sets, threshold), "links")
     labels = components(links)
@@ -314,8 +315,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
         pairs = bucket_pairs(places, nodes, labels, best)
         pairs = stored_table(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
-        links = links.unionByName(stored_table(verified(pairs, sets, threshold), "links"))
-        labels = components(links)
+        found = stored_table(verified(pairs, sets, threshold), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
     member = worded.select("doc_id", "words").distinct().join(nodes.select("words", "node"), "words").select("doc_id", "node")
     # a repeated id whose texts differ joins their nodes
     label = member.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
