@@ -225,22 +225,40 @@ def bucket_pairs(places: DataFrame, nodes: DataFrame, labels: DataFrame, best: b
     return dealt.groupBy("bucket", "b1", "b2").applyInArrow(run, "a long, b long").distinct()
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, hashes, counts`` as sorted little-endian blobs."""
+def compressed(docs: DataFrame) -> DataFrame:
+    """``doc_id, zipped``: whole texts as zstandard frames, for a shuffle."""
 
     def run(batches):
+        import zstandard
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in steps(texts):
-                doc, value, count, _ = shingles(texts[lo:hi])
-                cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo),
-                     pa.array([value[i:e].tobytes() for i, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-                     pa.array([count[i:e].astype(np.uint32).tobytes() for i, e in zip(cut[:-1], cut[1:], strict=True)],
-                              pa.binary())], names=["doc_id", "hashes", "counts"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([pack(t.encode()) for t in b.column(1).to_pylist()], pa.binary())],
+                names=["doc_id", "zipped"])
 
-    return docs.mapInArrow(run, "doc_id long, hashes binary, counts binary")
+    return docs.mapInArrow(run, "doc_id long, zipped binary")
+
+
+def shingle_sets(zipped: DataFrame) -> DataFrame:
+    """``doc_id, hashes, counts`` as sorted little-endian blobs, of ``compressed`` texts."""
+
+    def run(batches):
+        import zstandard
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            frames = b.column(1).to_pylist()
+            for at in range(0, len(frames), 500):
+                texts = [unpack(f).decode() for f in frames[at:at + 500]]
+                for lo, hi in steps(texts):
+                    doc, value, count, _ = shingles(texts[lo:hi])
+                    cut = np.searchsorted(doc, np.arange(hi - lo + 1))
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(at + lo, hi - lo),
+                         pa.array([value[i:e].tobytes() for i, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                         pa.array([count[i:e].astype(np.uint32).tobytes() for i, e in zip(cut[:-1], cut[1:], strict=True)],
+                                  pa.binary())], names=["doc_id", "hashes", "counts"])
+
+    return zipped.mapInArrow(run, "doc_id long, hashes binary, counts binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -283,6 +301,21 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further links: the classes that they join are
+    contracted, so a round costs as much as the new links."""
+    one = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    two = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    joined = stored_table(links.join(one, "a", "left").join(two, "b", "left").select(
+        "a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "links")
+    top = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    ends = joined.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("la").alias("label")),
+                                           F.struct(F.col("b").alias("node"), F.col("lb").alias("label")))).alias("e"))
+    every = labels.select("node", "label").unionByName(ends.select("e.*")).distinct()
+    top = top.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return stored_table(every.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: ``doc_id, class_id`` (smallest id of the class),
@@ -304,21 +337,20 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     # from here on only the places in buckets of several nodes, which most buckets are not
     places = stored_table(places.join(pivot.select("bucket", "pivot"), "bucket"), "places")
     star = places.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tested = stored_table(matching(star, nodes), "pairs")
+    ids = stored_table(places.select("node").distinct().join(nodes.select("node", "sig"), "node"), "shared")
+    tested = stored_table(matching(star, ids), "pairs")
     # shingle sets of all documents that share a bucket: their texts move once, to where their ids
     # (a set that grows with the input, so never broadcast) are hashed
-    ids = places.select(F.col("node").alias("doc_id")).distinct()
-    sets = stored_table(shingle_sets(named.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")), "sets")
-    links = stored_table(verified(tested, sets, threshold), "links")
-    labels = components(links)
+    wanted = ids.select(F.col("node").alias("doc_id")).hint("shuffle_hash")
+    sets = stored_table(shingle_sets(compressed(named).join(wanted, "doc_id", "left_semi")), "sets")
+    labels = components(stored_table(verified(tested, sets, threshold), "links"))
     for best in (True, False):
-        pairs = bucket_pairs(places, nodes, labels, best)
+        pairs = bucket_pairs(places, ids, labels, best)
         pairs = stored_table(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         found = stored_table(verified(pairs, sets, threshold), "links")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
+            labels = extended(labels, found)
     member = worded.select("doc_id", "words").distinct().join(nodes.select("words", "node"), "words").select("doc_id", "node")
     # a repeated id whose texts differ joins their nodes
     label = member.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
