@@ -16,8 +16,9 @@ bucket's smallest id.  In buckets that then still hold several classes, blocks
 of members compare their signatures in place: each member outside the largest
 class is paired with its best match in every other class, and after another
 round of classes with all remaining matches of other classes.  A pair counts
-as a match, and its texts are read, when at least ``FLOOR`` registers agree;
-at 0.8 that misses one pair in 100,000.  Pairs inside one class are never
+as a match, and its texts are read, when at least ``FLOOR`` registers agree,
+inside buckets also at least ``LONG_FLOOR`` of the bits of a longer signature
+(weighted or plain); at 0.8 each misses one pair in 100,000.  Pairs inside one class are never
 formed, and no bucket is cut off: a large one is worked off in pairs of blocks.
 """
 
@@ -37,6 +38,8 @@ U = np.uint64
 WORDS = 5                             # words of a shingle
 BANDS, ROWS = 26, 5                   # registers: 130; a pair at 0.8 is missed once in 30,000
 FLOOR = 0.646                         # least share of equal registers: 0.8 less 4.4 standard errors
+LONG = 1024                           # registers, a bit of each, of a node that shares a bucket
+LONG_FLOOR = 0.858                    # least share of equal bits: 0.9 (at 0.8) less 4.4 standard errors
 BLOCK = 2000                          # members of a bucket compared at a time
 CACHE_WORDS = 500_000
 
@@ -115,7 +118,8 @@ def signatures(docs: int, doc: np.ndarray, value: np.ndarray, count: np.ndarray,
         np.minimum.at(flat_time, at, arrival)
         won = flat_time[at] == arrival
         flat_who[at[won]] = value[won]
-        limit = time.max(axis=1)
+        left = doc[np.r_[True, doc[1:] != doc[:-1]][:len(doc)]]      # documents with shingles still arriving
+        limit[left] = time[left].max(axis=1)
     return who
 
 
@@ -127,6 +131,19 @@ def band_keys(who: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def long_signatures(docs: int, doc: np.ndarray, value: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(docs, 2, LONG / 8) bytes: a bit of each register of the weighted and
+    of the plain shingles."""
+    who = signatures(2 * docs, np.r_[doc, doc + docs], np.r_[value, value], np.r_[count, np.ones_like(count)], LONG)
+    bits = np.packbits((_mix(who) & U(1)).astype(np.uint8), axis=1)
+    return np.stack([bits[:docs], bits[docs:]], axis=1)
+
+
+def long_match(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The larger share of equal bits of rows of ``long_signatures``."""
+    return 1 - np.bitwise_count(x ^ y).sum(axis=2, dtype=np.int64).min(axis=1) / LONG
+
+
 def similarity(x, cx, y, cy) -> tuple[float, float]:
     """(probability Jaccard, plain Jaccard) of two weighted sets, given as
     sorted hashes and counts."""
@@ -181,10 +198,11 @@ def matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def block_pairs(node: np.ndarray, label: np.ndarray, sig: np.ndarray, block: np.ndarray, best: bool):
-    """Matching pairs of different labels: all, or for each member outside the
-    largest label its best match in every other label.  With two blocks only
-    pairs across them (those within are another task's)."""
+def block_pairs(node: np.ndarray, label: np.ndarray, sig: np.ndarray, long: np.ndarray, block: np.ndarray, best: bool):
+    """Pairs of different labels whose signatures match, short and long: all,
+    or for each member outside the largest label its best match in every other
+    label.  With two blocks only pairs across them (those within are another
+    task's)."""
     size = np.unique(label, return_counts=True)
     rows = np.flatnonzero(label != size[0][size[1].argmax()])
     two = len(np.unique(block)) > 1
@@ -196,30 +214,36 @@ def block_pairs(node: np.ndarray, label: np.ndarray, sig: np.ndarray, block: np.
         if two:
             ok &= block[r][:, None] != block[None]
         x, y = np.nonzero(ok)
+        near = np.concatenate([np.zeros(0), *(long_match(long[r[x[j:j + 50_000]]], long[y[j:j + 50_000]])
+                                              for j in range(0, len(x), 50_000))])
+        x, y, near = (v[near >= LONG_FLOOR] for v in (x, y, near))
         if best and len(x):
-            order = np.lexsort((node[y], -same[x, y], label[y], x))
+            order = np.lexsort((node[y], -near, label[y], x))
             x, y = x[order], y[order]
             first = np.r_[True, (x[1:] != x[:-1]) | (label[y][1:] != label[y][:-1])]
             x, y = x[first], y[first]
         yield from zip(np.minimum(node[r[x]], node[y]).tolist(), np.maximum(node[r[x]], node[y]).tolist(), strict=True)
 
 
-def bucket_pairs(places: DataFrame, nodes: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
+def bucket_pairs(places: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
     """Matching pairs across the classes of each bucket that holds several."""
     held = places.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     mixed = held.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2"),
                                        F.count(F.lit(1)).alias("n")).filter("l1 <> l2").select(
         "bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    some = held.join(mixed, "bucket").join(nodes.select("node", "sig"), "node")
+    # a repeated id has several sets and one node
+    long = sets.groupBy(F.col("doc_id").alias("node")).agg(F.first("long").alias("long"))
+    some = held.join(mixed, "bucket").join(nodes.select("node", "sig"), "node").join(long, "node")
     some = some.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = some.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", "node", "label", "sig", "block", F.least("block", "other").alias("b1"),
+    dealt = dealt.select("bucket", "node", "label", "sig", "long", "block", F.least("block", "other").alias("b1"),
                          F.greatest("block", "other").alias("b2"))
 
     def run(table):
         node, label, block = (table.column(c).to_numpy() for c in ("node", "label", "block"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
-        pairs = list(dict.fromkeys(block_pairs(node, label, sig, block, best)))
+        long = np.frombuffer(b"".join(table.column("long").to_pylist()), np.uint8).reshape(len(node), 2, -1)
+        pairs = list(dict.fromkeys(block_pairs(node, label, sig, long, block, best)))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
     return dealt.groupBy("bucket", "b1", "b2").applyInArrow(run, "a long, b long").distinct()
@@ -240,7 +264,8 @@ def compressed(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(zipped: DataFrame) -> DataFrame:
-    """``doc_id, hashes, counts`` as sorted little-endian blobs, of ``compressed`` texts."""
+    """``doc_id, hashes, counts`` (sorted little-endian blobs) and ``long``
+    (``long_signatures``) of ``compressed`` texts."""
 
     def run(batches):
         import zstandard
@@ -251,14 +276,16 @@ def shingle_sets(zipped: DataFrame) -> DataFrame:
                 texts = [unpack(f).decode() for f in frames[at:at + 500]]
                 for lo, hi in steps(texts):
                     doc, value, count, _ = shingles(texts[lo:hi])
+                    long = long_signatures(hi - lo, doc, value, count)
                     cut = np.searchsorted(doc, np.arange(hi - lo + 1))
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).slice(at + lo, hi - lo),
                          pa.array([value[i:e].tobytes() for i, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
                          pa.array([count[i:e].astype(np.uint32).tobytes() for i, e in zip(cut[:-1], cut[1:], strict=True)],
-                                  pa.binary())], names=["doc_id", "hashes", "counts"])
+                                  pa.binary()), pa.array([x.tobytes() for x in long], pa.binary())],
+                        names=["doc_id", "hashes", "counts", "long"])
 
-    return zipped.mapInArrow(run, "doc_id long, hashes binary, counts binary")
+    return zipped.mapInArrow(run, "doc_id long, hashes binary, counts binary, long binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -345,7 +372,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     sets = stored_table(shingle_sets(compressed(named).join(wanted, "doc_id", "left_semi")), "sets")
     labels = components(stored_table(verified(tested, sets, threshold), "links"))
     for best in (True, False):
-        pairs = bucket_pairs(places, ids, labels, best)
+        pairs = bucket_pairs(places, ids, sets, labels, best)
         pairs = stored_table(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         found = stored_table(verified(pairs, sets, threshold), "links")
