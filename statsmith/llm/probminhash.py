@@ -41,7 +41,7 @@ FLOOR = 0.646                         # least share of equal registers: 0.8 less
 LONG = 1024                           # registers, a bit of each, of a node that shares a bucket
 LONG_FLOOR = 0.858                    # least share of equal bits: 0.9 (at 0.8) less 4.4 standard errors
 BLOCK = 2000                          # members of a bucket compared at a time
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -198,15 +198,17 @@ def matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def block_pairs(node: np.ndarray, label: np.ndarray, sig: np.ndarray, long: np.ndarray, block: np.ndarray, best: bool):
-    """Pairs of different labels whose signatures match, short and long: all,
-    or for each member outside the largest label its best match in every other
-    label.  With two blocks only pairs across them (those within are another
-    task's)."""
+def block_pairs(bucket: int, node: np.ndarray, label: np.ndarray, sig: np.ndarray, long: np.ndarray, bands: np.ndarray,
+                block: np.ndarray, best: bool) -> np.ndarray:
+    """(pairs, 2) nodes of different labels whose signatures match, short and
+    long, and that share no band before this bucket's: all, or for each member
+    outside the largest label its best match in every other label.  With two
+    blocks only pairs across them (those within are another task's)."""
     size = np.unique(label, return_counts=True)
     rows = np.flatnonzero(label != size[0][size[1].argmax()])
     two = len(np.unique(block)) > 1
-    step = max(1, 40_000_000 // max(1, sig.size))
+    out = [np.zeros((0, 2), np.int64)]
+    step = max(1, 20_000_000 // max(1, sig.size))
     for i in range(0, len(rows), step):
         r = rows[i:i + step]
         same = (sig[r][:, None, :] == sig[None]).mean(axis=2)
@@ -214,15 +216,19 @@ def block_pairs(node: np.ndarray, label: np.ndarray, sig: np.ndarray, long: np.n
         if two:
             ok &= block[r][:, None] != block[None]
         x, y = np.nonzero(ok)
-        near = np.concatenate([np.zeros(0), *(long_match(long[r[x[j:j + 50_000]]], long[y[j:j + 50_000]])
-                                              for j in range(0, len(x), 50_000))])
+        x, near = r[x], np.zeros(len(y))
+        for j in range(0, len(x), 20_000):
+            p, q = x[j:j + 20_000], y[j:j + 20_000]
+            first = (bands[p] == bands[q]).argmax(axis=1)
+            near[j:j + 20_000] = np.where(bands[p, first] == bucket, long_match(long[p], long[q]), 0)
         x, y, near = (v[near >= LONG_FLOOR] for v in (x, y, near))
         if best and len(x):
             order = np.lexsort((node[y], -near, label[y], x))
             x, y = x[order], y[order]
             first = np.r_[True, (x[1:] != x[:-1]) | (label[y][1:] != label[y][:-1])]
             x, y = x[first], y[first]
-        yield from zip(np.minimum(node[r[x]], node[y]).tolist(), np.maximum(node[r[x]], node[y]).tolist(), strict=True)
+        out.append(np.sort(np.stack([node[x], node[y]], axis=1), axis=1))
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def bucket_pairs(places: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
@@ -233,18 +239,19 @@ def bucket_pairs(places: DataFrame, nodes: DataFrame, sets: DataFrame, labels: D
         "bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     # a repeated id has several sets and one node
     long = sets.groupBy(F.col("doc_id").alias("node")).agg(F.first("long").alias("long"))
-    some = held.join(mixed, "bucket").join(nodes.select("node", "sig"), "node").join(long, "node")
+    some = held.join(mixed, "bucket").join(nodes.select("node", "sig", "bands"), "node").join(long, "node")
     some = some.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = some.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", "node", "label", "sig", "long", "block", F.least("block", "other").alias("b1"),
+    dealt = dealt.select("bucket", "node", "label", "sig", "long", "bands", "block", F.least("block", "other").alias("b1"),
                          F.greatest("block", "other").alias("b2"))
 
     def run(table):
         node, label, block = (table.column(c).to_numpy() for c in ("node", "label", "block"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
         long = np.frombuffer(b"".join(table.column("long").to_pylist()), np.uint8).reshape(len(node), 2, -1)
-        pairs = list(dict.fromkeys(block_pairs(node, label, sig, long, block, best)))
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        pairs = block_pairs(table.column("bucket")[0].as_py(), node, label, sig, long, bands, block, best)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return dealt.groupBy("bucket", "b1", "b2").applyInArrow(run, "a long, b long").distinct()
 
@@ -364,7 +371,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     # from here on only the places in buckets of several nodes, which most buckets are not
     places = stored_table(places.join(pivot.select("bucket", "pivot"), "bucket"), "places")
     star = places.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    ids = stored_table(places.select("node").distinct().join(nodes.select("node", "sig"), "node"), "shared")
+    ids = stored_table(places.select("node").distinct().join(nodes.select("node", "bands", "sig"), "node"), "shared")
     tested = stored_table(matching(star, ids), "pairs")
     # shingle sets of all documents that share a bucket: their texts move once, to where their ids
     # (a set that grows with the input, so never broadcast) are hashed
