@@ -14,11 +14,12 @@ Texts with the same words are one node from the start.  Within a band's
 bucket nobody is paired with everybody: members are first paired with the
 bucket's smallest id.  In buckets that then still hold several classes, blocks
 of members compare their signatures in place: each member outside the largest
-class is paired with its best match in every other class, and after another
-round of classes with all remaining matches of other classes.  A pair counts
-as a match, and its texts are read, when at least ``FLOOR`` registers agree,
-inside buckets also at least ``LONG_FLOOR`` of the bits of a longer signature
-(weighted or plain); at 0.8 each misses one pair in 100,000.  Pairs inside one class are never
+class is paired with its best match in another class, and after another round
+of classes with all remaining matches of other classes, each pair in the first
+bucket that it shares.  A pair counts as a match, and its texts are read, when
+at least ``FLOOR`` registers agree, inside buckets also at least ``LONG_FLOOR``
+of the bits of a longer signature (weighted or plain); at 0.8 each misses one
+pair in 100,000.  Pairs inside one class are never
 formed, and no bucket is cut off: a large one is worked off in pairs of blocks.
 """
 
@@ -202,8 +203,8 @@ def block_pairs(bucket: int, node: np.ndarray, label: np.ndarray, sig: np.ndarra
                 block: np.ndarray, best: bool) -> np.ndarray:
     """(pairs, 2) nodes of different labels whose signatures match, short and
     long, and that share no band before this bucket's: all, or for each member
-    outside the largest label its best match in every other label.  With two
-    blocks only pairs across them (those within are another task's)."""
+    outside the largest label its best match.  With two blocks only pairs
+    across them (those within are another task's)."""
     size = np.unique(label, return_counts=True)
     rows = np.flatnonzero(label != size[0][size[1].argmax()])
     two = len(np.unique(block)) > 1
@@ -223,9 +224,9 @@ def block_pairs(bucket: int, node: np.ndarray, label: np.ndarray, sig: np.ndarra
             near[j:j + 20_000] = np.where(bands[p, first] == bucket, long_match(long[p], long[q]), 0)
         x, y, near = (v[near >= LONG_FLOOR] for v in (x, y, near))
         if best and len(x):
-            order = np.lexsort((node[y], -near, label[y], x))
+            order = np.lexsort((node[y], -near, x))
             x, y = x[order], y[order]
-            first = np.r_[True, (x[1:] != x[:-1]) | (label[y][1:] != label[y][:-1])]
+            first = np.r_[True, x[1:] != x[:-1]]
             x, y = x[first], y[first]
         out.append(np.sort(np.stack([node[x], node[y]], axis=1), axis=1))
     return np.unique(np.concatenate(out), axis=0)
