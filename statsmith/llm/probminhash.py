@@ -238,8 +238,8 @@ def bucket_pairs(places: DataFrame, nodes: DataFrame, sets: DataFrame, labels: D
     mixed = held.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2"),
                                        F.count(F.lit(1)).alias("n")).filter("l1 <> l2").select(
         "bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    # a repeated id has several sets and one node
-    long = sets.groupBy(F.col("doc_id").alias("node")).agg(F.first("long").alias("long"))
+    # a repeated id has the signatures of each of its texts: it matches by any of them
+    long = sets.select(F.col("doc_id").alias("node"), "long").distinct()
     some = held.join(mixed, "bucket").join(nodes.select("node", "sig", "bands"), "node").join(long, "node")
     some = some.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = some.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
