@@ -212,6 +212,42 @@ def test_near_duplicates(spark, none):
     assert probminhash.near_duplicates(none).count() == 0
 
 
+def near_classes(texts, threshold=0.8):
+    bags = []
+    for t in texts:
+        w = t.lower().split()
+        bags.append(collections.Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))))
+    label = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if bags[a].keys() & bags[b].keys() and naive_similarity(bags[a], bags[b]) >= threshold - 1e-12:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if x == old else x for x in label]
+    return label
+
+
+def test_near_duplicates_finds_short_pairs_in_buckets_of_several_classes(spark):
+    # 4 shared shingles and 1 more (0.8), behind many texts below 0.7 that hold the buckets' smallest ids
+    texts = []
+    for f in range(12):
+        w = [f"f{f}w{i}" for i in range(9)]
+        texts += [" ".join([*w[:8], f"f{f}a{k}", f"f{f}b{k}"]) for k in range(60)] + [" ".join(w[:8]), " ".join(w)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = by_id(probminhash.near_duplicates(docs))
+    assert [got[i]["class_id"] for i in range(len(texts))] == near_classes(texts)
+
+
+@pytest.mark.parametrize("shared", [4, 8, 16, 80])
+def test_long_signature_keeps_pairs_at_the_threshold(shared):
+    # pairs of texts whose union has a fourth of the shared shingles besides
+    r = np.random.default_rng(shared)
+    more = shared // 4
+    value = r.integers(0, 1 << 63, (400, shared + more)).astype(np.uint64)
+    doc = np.r_[np.repeat(np.arange(400), shared), np.repeat(np.arange(400, 800), shared + more)]
+    value = np.r_[value[:, :shared].ravel(), value.ravel()]
+    long = probminhash.long_signatures(800, doc, value, np.ones(len(doc), np.int64))
+    assert (probminhash.long_match(long[:400], long[400:]) >= probminhash.LONG_FLOOR).all()
+
+
 def test_probminhash_estimates_weighted_similarity():
     a, b = "a b c d e f g h i j k l m n o p q r s t " * 3, "a b c d e f g h i j k l m n o p x r s t " * 3
     doc, value, count, _ = probminhash.shingles([a, b])
