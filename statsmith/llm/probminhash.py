@@ -6,9 +6,10 @@ is a Poisson process with its weight as rate, whose arrivals fall on random
 registers; a register keeps the shingle that arrives first, and a shingle
 stops as soon as its next arrival is later than every register's.  Two
 documents agree in a register with probability equal to their probability
-Jaccard, so bands of registers give candidates.  Candidates are verified on
-the whole texts: a link is a probability Jaccard or a plain Jaccard of the
-shingles of at least the threshold.
+Jaccard, and in a register of their shingles without weights with their plain
+Jaccard, so bands of both kinds of registers give candidates.  Candidates are
+verified on the whole texts: a link is a probability Jaccard or a plain
+Jaccard of the shingles of at least the threshold.
 
 Texts with the same words are one node from the start.  Within a band's
 bucket nobody is paired with everybody: members are first paired with the
@@ -17,8 +18,8 @@ of members compare their signatures in place: each member outside the largest
 class is paired with its best match in another class, and after another round
 of classes with all remaining matches of other classes, each pair in the first
 bucket that it shares.  A pair counts as a match, and its texts are read, when
-at least ``FLOOR`` registers agree, inside buckets also at least ``LONG_FLOOR``
-of a longer signature (weighted or plain).  Registers are compared by a byte,
+at least ``FLOOR`` registers agree (weighted or plain), inside buckets also at
+least ``LONG_FLOOR`` of a longer signature (either kind).  Registers are compared by a byte,
 and no chance equality is reckoned with, so the floors hold for texts of any
 length: at 0.8 they miss 1.4 and 0.7 pairs in 100,000 (binomial tails).  Pairs
 inside one class are never formed, and no bucket is cut off: a large one is
@@ -39,7 +40,7 @@ from statsmith.llm.token_ids import steps
 
 U = np.uint64
 WORDS = 5                             # words of a shingle
-BANDS, ROWS = 26, 5                   # registers: 130; a pair at 0.8 is missed once in 30,000
+BANDS, ROWS = 26, 5                   # registers of a kind: 130; a pair at 0.8 is missed once in 30,000
 FLOOR = 0.646                         # least share of equal registers: 0.8 less 4.4 standard errors
 LONG = 512                            # registers, a byte of each, of a node that shares a bucket
 LONG_FLOOR = 0.72                     # least share of equal ones: 0.8 less 4.5 standard errors
@@ -189,15 +190,16 @@ def similarity(x, cx, y, cy) -> tuple[float, float]:
 
 def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, words`` (128-bit key of the word sequence), ``bands`` (null
-    for a text without words), ``sig`` (a byte of each register)."""
+    for a text without words; those of the weighted, then those of the plain
+    shingles), ``sig`` (a byte of each register, likewise)."""
 
     def run(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in steps(texts):
                 doc, value, count, keys = shingles(texts[lo:hi])
-                who = signatures(hi - lo, doc, value, count, bands * rows)
-                key = band_keys(who, bands, rows)
+                who = both_signatures(hi - lo, doc, value, count, bands * rows)
+                key = np.concatenate([band_keys(who[:, k], bands, rows) for k in (0, 1)], axis=1)
                 low = low_bytes(who)
                 some = np.zeros(hi - lo, bool)
                 some[doc] = True
@@ -210,13 +212,14 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 
 def matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (``a, b``) whose signatures agree in enough registers."""
+    """The pairs (``a, b``) whose signatures, weighted or plain, agree in
+    enough registers."""
 
     def run(batches):
         for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, -1)
-                    if t.num_rows else np.zeros((0, 1)) for c in ("sa", "sb"))
-            yield t.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= FLOOR, pa.bool_()))
+            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, 2, -1)
+                    if t.num_rows else np.zeros((0, 2, 1), np.uint8) for c in ("sa", "sb"))
+            yield t.select(["a", "b"]).filter(pa.array(equal_share(x, y).max(axis=1) >= FLOOR, pa.bool_()))
 
     left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
     right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
@@ -231,12 +234,16 @@ def block_pairs(bucket: int, node: np.ndarray, label: np.ndarray, sig: np.ndarra
     across them (those within are another task's)."""
     size = np.unique(label, return_counts=True)
     rows = np.flatnonzero(label != size[0][size[1].argmax()])
+    many = (sig[:, 0] != sig[:, 1]).any(axis=1)                    # the other texts have no repeated shingles
     two = len(np.unique(block)) > 1
     out = [np.zeros((0, 2), np.int64)]
     step = max(1, 20_000_000 // max(1, sig.size))
     for i in range(0, len(rows), step):
         r = rows[i:i + step]
-        same = (sig[r][:, None, :] == sig[None]).mean(axis=2)
+        same = equal_share(sig[r, None, 0], sig[None, :, 0])
+        own = many[r]
+        same[own] = np.maximum(same[own], equal_share(sig[r[own], None, 1], sig[None, :, 1]))
+        same[:, many] = np.maximum(same[:, many], equal_share(sig[r, None, 1], sig[None, many, 1]))
         ok = (label[r][:, None] != label[None]) & (same >= FLOOR)
         if two:
             ok &= block[r][:, None] != block[None]
@@ -272,7 +279,7 @@ def bucket_pairs(places: DataFrame, nodes: DataFrame, sets: DataFrame, labels: D
 
     def run(table):
         node, label, block = (table.column(c).to_numpy() for c in ("node", "label", "block"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(node), 2, -1)
         long = np.frombuffer(b"".join(table.column("long").to_pylist()), np.uint8).reshape(len(node), 2, -1)
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         pairs = block_pairs(table.column("bucket")[0].as_py(), node, label, sig, long, bands, block, best)
@@ -391,7 +398,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     worded = signed.filter("bands IS NOT NULL")
     nodes = stored_table(worded.groupBy("words").agg(
         F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
-    places = nodes.select("node", F.explode("bands").alias("bucket"))
+    places = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     pivot = places.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # from here on only the places in buckets of several nodes, which most buckets are not
     places = stored_table(places.join(pivot.select("bucket", "pivot"), "bucket"), "places")

@@ -236,6 +236,19 @@ def test_near_duplicates_finds_short_pairs_in_buckets_of_several_classes(spark):
     assert [got[i]["class_id"] for i in range(len(texts))] == near_classes(texts)
 
 
+def test_near_duplicates_links_equal_shingles_of_unequal_weight(spark):
+    # plain Jaccard 0.9 to 1, probability Jaccard far below the floor of the weighted registers
+    texts = []
+    for f in range(8):
+        text, line = " ".join(f"f{f}w{i}" for i in range(150)), " ".join(f"f{f}x{i}" for i in range(12))
+        texts += [text, " ".join([text, *[line] * 10]), " ".join([text, *[line] * 2]), " ".join([text, *[line] * 20])]
+        # behind others that hold the smallest id of buckets
+        texts += [" ".join([text[:len(text) * 7 // 10], *[line] * 15, f"f{f}y{k}"]) for k in range(3)]
+    docs = spark.createDataFrame([(len(texts) - i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = by_id(probminhash.near_duplicates(docs))
+    assert [got[i]["class_id"] - 1 for i in range(1, len(texts) + 1)] == near_classes(texts[::-1])
+
+
 @pytest.mark.parametrize("shared", [4, 8, 16, 80])
 def test_long_signature_keeps_pairs_at_the_threshold(shared):
     # pairs of texts whose union has a fourth of the shared shingles besides
