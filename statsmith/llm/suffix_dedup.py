@@ -13,7 +13,10 @@ anchors only.  The job:
    range-partitioned by the leading bytes of the anchored suffix, with
    splitters taken from a sample.  All splitters are anchor prefixes, so the
    suffixes on both sides of a bucket boundary differ within the anchor and no
-   window can have an equal one beyond it.
+   window can have an equal one beyond it.  Of an anchor that occurs more than
+   ``ANCHOR_ROWS`` times, each slice sends the distinct windows instead, each
+   to a bucket by a hash of all its bytes; a bucket then holds a window at
+   most once a slice.
 3. A bucket sorts its windows by multikey quicksort (8 bytes at a time, equal
    runs by the next 8 bytes) and compares neighbours: a run of equal windows
    has the smallest id of its documents.
@@ -39,6 +42,7 @@ K = 20                                # bytes of an anchor
 CHUNK = 4 << 20                       # bytes of text worked on at a time
 SLICE = 4 << 20                       # bytes of text of a slice, on average
 LEAD = 16                             # bytes of a suffix that splitters compare
+ANCHOR_ROWS = 50_000                  # occurrences of an anchor that one bucket compares in place
 SAMPLE = 100                          # one document in so many gives splitters
 U = np.uint64
 
@@ -150,7 +154,8 @@ class Slice:
             at = end
 
     def anchor_hashes(self):
-        """Distinct anchor hashes, and whether two ids of the slice have them."""
+        """Distinct anchor hashes, whether two ids of the slice have them, and
+        how often they occur."""
         hashes, docs = [], []
         for at, b, lengths in self.chunks():
             pos, h, _, _ = anchors(b, lengths, self.width)
@@ -161,13 +166,15 @@ class Slice:
         h, d = h[order], d[order]
         new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][:len(h)])
         if not len(new):
-            return h, np.zeros(0, bool)
-        return h[new], np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new)
+            return h, np.zeros(0, bool), np.zeros(0, np.uint32)
+        return h[new], np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new), \
+            np.diff(np.r_[new, len(h)]).astype(np.uint32)
 
-    def items(self, shared: np.ndarray):
+    def items(self, shared: np.ndarray, often: np.ndarray):
         """Windows around the shared anchors: ``text`` (n, side) with the
         anchor at column ``left``, zero outside the windows; offsets ``lo`` and
-        ``hi`` of the first and last window start; document number; start."""
+        ``hi`` of the first and last window start; document number; start;
+        whether the anchor is one of those that occur ``often``."""
         out = []
         for at, b, lengths in self.chunks():
             pos, h, first, last = anchors(b, lengths, self.width)
@@ -175,7 +182,8 @@ class Slice:
                 near = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
                 hit = shared[near] == h
             else:
-                hit = np.zeros(len(h), bool)
+                near, hit = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+            many = often[near[hit]] if len(shared) else np.zeros(0, bool)
             pos, first, last = pos[hit], first[hit], last[hit]
             lo, hi = self.left + first - pos, self.left + last - pos
             span = np.arange(self.side)
@@ -185,9 +193,9 @@ class Slice:
                 np.zeros((0, self.side), np.uint8)
             doc = at + np.searchsorted(np.cumsum(lengths), pos, "right")
             own = np.cumsum(lengths) - lengths
-            out.append((text, lo.astype(np.uint8), hi.astype(np.uint8), doc, first - own[doc - at]))
+            out.append((text, lo.astype(np.uint8), hi.astype(np.uint8), doc, first - own[doc - at], many))
         if not out:
-            return (np.zeros((0, self.side), np.uint8), *(np.zeros(0, np.int64),) * 4)
+            return (np.zeros((0, self.side), np.uint8), *(np.zeros(0, np.int64),) * 4, np.zeros(0, bool))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def distinct(self, text, lo, hi, doc):
@@ -203,6 +211,47 @@ class Slice:
         start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
         return group, order[start], np.minimum.reduceat(self.rank[doc[order]], start)
 
+    def windows(self, text, lo, hi, least, many):
+        """The windows of the groups (one member each, with the smallest id)
+        whose anchor occurs often: group, offset and number of each window;
+        bytes, offset and smallest id of each distinct one."""
+        g = np.flatnonzero(many)
+        count = hi[g].astype(np.int64) - lo[g] + 1
+        owner = np.repeat(np.arange(len(g)), count)
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + lo[g].astype(np.int64)[owner]
+        if not len(g):
+            none = np.zeros(0, np.int64)
+            return none, none, none, np.zeros((0, self.width), np.uint8), none, none
+        view = np.lib.stride_tricks.sliding_window_view(text[g], self.width, axis=1)[owner, offset]
+        order, run = multikey_sort(_words(np.concatenate([view, offset[:, None].astype(np.uint8)], axis=1)))
+        number = np.empty(len(owner), np.int64)
+        number[order] = run
+        start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        one = order[start]
+        return g[owner], offset, number, view[one], offset[one], np.minimum.reduceat(least[g[owner[order]]], start)
+
+    def sent(self, shared, often, cuts, pieces: int):
+        """What the slice sends: bucket, item number, ``text``, ``lo``, ``hi``
+        and smallest id of each row.  Windows are numbered behind the groups
+        and go to ``pieces`` buckets behind those of the splitters."""
+        text, lo, hi, doc, _, many = self.items(shared, often)
+        _, one, least = self.distinct(text, lo, hi, doc)
+        text, lo, hi, many = text[one], lo[one], hi[one], many[one]
+        lead = np.ascontiguousarray(text[:, self.left:self.left + LEAD]).view(f"S{LEAD}").ravel()
+        bucket = np.searchsorted(cuts, lead, "right")
+        _, _, _, view, offset, early = self.windows(text, lo, hi, least, many)
+        alone = np.zeros((len(view), self.side), np.uint8)
+        alone[np.arange(len(view))[:, None], offset[:, None] + np.arange(self.width)] = view
+        h = offset.astype(U)
+        for word in _words(view).T:
+            h = (h ^ word) * U(0x9E3779B97F4A7C15)
+            h ^= h >> U(29)
+        deal = len(cuts) + 1 + (h % U(pieces)).astype(np.int64)
+        item = np.r_[np.flatnonzero(~many), len(one) + np.arange(len(view))]
+        return (np.r_[bucket[~many], deal], item, np.concatenate([text[~many], alone]),
+                np.r_[lo[~many], offset].astype(np.uint8), np.r_[hi[~many], offset].astype(np.uint8),
+                np.r_[least[~many], early])
+
 
 def _concat(kind, blobs):
     return np.concatenate([np.frombuffer(x, kind) for x in blobs]) if blobs else np.zeros(0, kind)
@@ -213,7 +262,8 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-_ANCHORS = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary())])
+_ANCHORS = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary()),
+                     ("counts", pa.binary())])
 _SHARED = pa.schema([("slice", pa.int64()), ("kind", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 _ITEMS = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("item", pa.binary()), ("text", pa.binary()),
                     ("span", pa.binary()), ("first_id", pa.binary())])
@@ -223,8 +273,9 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {'long' if f.type == pa.int64() else 'binary'}" for f in schema)
 
 
-def find_shared(table):
-    """Of one hash range: per slice the hashes that two documents hold."""
+def find_shared(table, most: int):
+    """Of one hash range: per slice the hashes that two documents hold, and
+    whether they occur more than ``most`` times."""
     parts = [np.frombuffer(x, U) for x in table.column("hashes").to_pylist()]
     h = np.concatenate(parts)
     several = _concat(bool, table.column("several").to_pylist())
@@ -232,11 +283,13 @@ def find_shared(table):
     hs = h[order]
     run = np.cumsum(np.r_[True, hs[1:] != hs[:-1]][:len(hs)]) - 1
     hit = (np.bincount(run) > 1) | (np.bincount(run, weights=several[order]) > 0)
-    flag = np.empty(len(h), bool)
+    counts = _concat(np.uint32, table.column("counts").to_pylist())
+    flag, often = np.empty(len(h), bool), np.empty(len(h), bool)
     flag[order] = hit[run]
+    often[order] = (np.bincount(run, weights=counts[order]) > most)[run]
     cuts = np.cumsum([len(p) for p in parts])[:-1]
-    return _rows(_SHARED, [(s, 0, p[f].tobytes(), b"") for s, p, f in zip(
-        table.column("slice").to_pylist(), parts, np.split(flag, cuts), strict=True) if f.any()])
+    return _rows(_SHARED, [(s, 0, p[f].tobytes(), o[f].tobytes()) for s, p, f, o in zip(
+        table.column("slice").to_pylist(), parts, np.split(flag, cuts), np.split(often, cuts), strict=True) if f.any()])
 
 
 def compare_bucket(table, width: int):
@@ -275,7 +328,7 @@ def compare_bucket(table, width: int):
 
 
 def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text",
-                   texts: bool = False, slice_bytes: int = SLICE) -> DataFrame:
+                   texts: bool = False, slice_bytes: int = SLICE, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans,
     kept_sha256`` and, with ``texts``, ``kept_text`` (without the bytes of a
     character that was cut apart) and ``input_sha256``.
@@ -285,8 +338,9 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     documents.  Null and empty texts have no bytes.  Rows that share an id are
     one document here: they do not remove from one another.  A null id is
     smaller than any other.  ``width`` is from 28 to 100.  ``slice_bytes`` of
-    text make a slice; a task holds one slice or one bucket at a time.  An empty table
-    gives an empty result.
+    text make a slice; a task holds one slice or one bucket at a time.  The
+    windows of an anchor with more than ``anchor_rows`` occurrences are dealt
+    over many buckets.  An empty table gives an empty result.
     """
     if not 28 <= width <= 100:
         raise ValueError("width must be from 28 to 100")
@@ -309,33 +363,30 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     cuts = np.array(_splitters(found, pieces), f"S{LEAD}")
 
     def send_anchors(key, table):
-        h, several = Slice(table, width).anchor_hashes()
+        h, several, counts = Slice(table, width).anchor_hashes()
         bucket = (h >> U(64 - bits)).astype(np.int64)
         edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
         me = key[0].as_py()
-        return _rows(_ANCHORS, [(j, me, h[i:e].tobytes(), several[i:e].tobytes())
+        return _rows(_ANCHORS, [(j, me, h[i:e].tobytes(), several[i:e].tobytes(), counts[i:e].tobytes())
                                 for j, (i, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if e > i])
 
     def shared_of(table):
         kind = np.array(table.column("kind").to_pylist(), np.int64)
-        return np.sort(_concat(U, [a for a, k in zip(table.column("a").to_pylist(), kind, strict=True) if k == 0]))
+        h, often = (_concat(t, [x for x, k in zip(table.column(c).to_pylist(), kind, strict=True) if k == 0])
+                    for t, c in ((U, "a"), (bool, "b")))
+        order = np.argsort(h)
+        return h[order], often[order]
 
     def send_items(key, left, right):
         if not left.num_rows or not right.num_rows:
             return _rows(_ITEMS, [])
-        s = Slice(left, width)
-        text, lo, hi, doc, _ = s.items(shared_of(right))
-        _, one, least = s.distinct(text, lo, hi, doc)
-        if not len(one):
-            return _rows(_ITEMS, [])
-        lead = np.ascontiguousarray(text[one][:, s.left:s.left + LEAD]).view(f"S{LEAD}").ravel()
-        bucket = np.searchsorted(cuts, lead, "right")
+        bucket, item, text, lo, hi, least = Slice(left, width).sent(*shared_of(right), cuts, pieces)
         order = np.argsort(bucket, kind="stable")
         out, me = [], key[0].as_py()
         for j, i, e in _runs(bucket[order]):
             g = order[i:e]
-            out.append((int(j), me, g.astype(np.uint32).tobytes(), text[one[g]].tobytes(),
-                        np.stack([lo[one[g]], hi[one[g]]], 1).astype(np.uint8).tobytes(), least[g].tobytes()))
+            out.append((int(j), me, item[g].astype(np.uint32).tobytes(), text[g].tobytes(),
+                        np.stack([lo[g], hi[g]], 1).tobytes(), least[g].tobytes()))
         return _rows(_ITEMS, out)
 
     result = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
@@ -345,15 +396,19 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
         s = Slice(left, width)
         total = np.cumsum([0] + [len(t) for t in s.texts])
         cover = np.zeros(total[-1] + 1, np.int32)
-        text, lo, hi, doc, start = s.items(shared_of(right)) if right.num_rows else s.items(np.zeros(0, U))
+        shared, often = shared_of(right) if right.num_rows else (np.zeros(0, U), np.zeros(0, bool))
+        text, lo, hi, doc, start, many = s.items(shared, often)
         if len(doc):
             group, one, least = s.distinct(text, lo, hi, doc)
-            early = np.zeros((len(one), width - K + 1), bool)
+            owner, offset, number, view, _, lowest = s.windows(text[one], lo[one], hi[one], least, many[one])
+            early = np.zeros((len(one) + len(view), width - K + 1), bool)
             for kind, idx, mask in zip(*(right.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True):
                 if kind == 1:
                     idx = np.frombuffer(idx, np.uint32)
                     early[idx] = np.unpackbits(np.frombuffer(mask, np.uint8).reshape(len(idx), -1), axis=1,
                                                count=width - K + 1).astype(bool)
+            # a window sent alone: another slice has it earlier, or another group of this one
+            early[owner, offset] |= early[len(one) + number, offset] | (least[owner] > lowest[number])
             later = s.rank[doc] > least[group]                   # another document of the slice has it
             span = np.arange(width - K + 1)
             own = (span >= lo[:, None]) & (span <= hi[:, None])
@@ -372,9 +427,12 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
                          *([kept.decode("utf-8", "ignore"), hashlib.sha256(t).hexdigest()] if texts else [])))
         return _rows(pa.schema(result), rows)
 
+    def share(table):
+        return find_shared(table, anchor_rows)
+
     by_slice = sliced.groupBy("slice")
     hashes = by_slice.applyInArrow(send_anchors, _ddl(_ANCHORS))
-    shared = hashes.groupBy("bucket").applyInArrow(find_shared, _ddl(_SHARED))
+    shared = hashes.groupBy("bucket").applyInArrow(share, _ddl(_SHARED))
     items = by_slice.cogroup(shared.groupBy("slice")).applyInArrow(send_items, _ddl(_ITEMS))
 
     def compare(table):

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from statsmith.llm import (arrow_sequences, exact_dedup, importance, language_crf, packing, probminhash, quality_rules,
@@ -87,6 +88,32 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_splits_an_anchor_in_many_surroundings(spark):
+    r = random.Random(6)
+    noise = lambda n: "".join(r.choice("bcdfgh klmnpqrs") for _ in range(n))
+    passage = noise(130)
+    # the passage at both ends of many different texts, with some equal ends
+    texts = [noise(r.randint(0, 90)) + r.choice(["", "xy", "same before "]) + passage + r.choice(["", "zz", " same behind"])
+             + noise(r.randint(0, 90)) for _ in range(300)]
+    order = r.sample(range(300), 300)
+    docs = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").repartition(4)
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        gone = {p + j for p in range(len(t) - 49) if first.get(t[p:p + 50], i) != i for j in range(50)}
+        for p in range(len(t) - 49):
+            first.setdefault(t[p:p + 50], i)
+        want[i] = hashlib.sha256("".join(c for p, c in enumerate(t) if p not in gone).encode()).hexdigest()
+    for piece, most in ((4000, 20), (4000, 1), (4 << 20, 20)):
+        got = by_id(suffix_dedup.remove_repeats(docs, slice_bytes=piece, anchor_rows=most))
+        assert {i: x["kept_sha256"] for i, x in got.items()} == want
+    # what the slices send: an anchor's different surroundings do not meet in one bucket
+    slices = [suffix_dedup.Slice(pa.table({"doc_id": range(i, i + 30), "text": texts[i:i + 30]}), 50) for i in range(0, 300, 30)]
+    shared = np.unique(np.concatenate([s.anchor_hashes()[0] for s in slices]))
+    for often, least, most in ((False, 300, 10 ** 6), (True, 0, 100)):
+        sent = np.concatenate([s.sent(shared, np.full(len(shared), often), np.zeros(0, "S16"), 1000)[0] for s in slices])
+        assert least < np.bincount(sent).max() < most
+
+
 def test_multikey_sort():
     r = np.random.default_rng(1)
     w = r.integers(0, 3, (500, 4)).astype(np.uint64)
