@@ -1,6 +1,6 @@
 """WARC archives with segmented records: writing, reading, reassembly.
 
-The writer makes one record per page: ``response`` with the payload behind an
+The writer makes one record per input row: ``response`` with the payload behind an
 HTTP head in chunked transfer framing, or ``revisit`` without it where an
 earlier page has the same payload.  A block above ``segment_bytes`` becomes a
 first segment and ``continuation`` records, which may go on in the next file.
@@ -30,8 +30,8 @@ DATE = "2024-01-01T00:00:00Z"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page/{page_id}')}>"
+def record_id(name: str, number: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page/{name}/{number}')}>"
 
 
 def sha1_base32(data: bytes) -> str:
@@ -70,27 +70,36 @@ def payload_of(block: bytes) -> bytes:
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                  min_bytes: int = 0) -> DataFrame:
-    """``page_id, url, payload, sha1, refers_to``: one row per page id (rows that
-    repeat an id are one page: that with the largest SHA-256).  Payloads of at least
-    ``min_bytes`` that are equal (length and SHA-256) refer to the smallest
-    page id among them; for a response ``refers_to`` is null, for a revisit the
-    payload.  Null html is an empty payload, a null page id one page without
-    an id, which nothing refers to if another page has the payload."""
+    """``page_id, url, payload, sha1, refers_to, name, number, refers_name``:
+    one row per input row.  ``name`` stands for page id, payload and URL;
+    ``number`` counts the rows that are equal in all three.  Payloads of at
+    least ``min_bytes`` that are equal (length and SHA-256) refer to the
+    smallest page id among them, whose rows are all responses; for a response
+    ``refers_to`` is null, for a revisit the payload.  Null html is an empty
+    payload.  Where no row of a payload has a page id, one of them is the
+    response (the SQL calls all of them revisits, which no archive can hold)."""
     page = pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(url_col).cast("string").alias("url"),
                         F.encode(F.coalesce(quoted(html_col), F.lit("")), "UTF-8").alias("payload"))
     page = page.withColumn("k", F.sha2("payload", 256))
+    page = page.withColumn("name", F.sha2(F.concat_ws("/", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "k",
+                                                      F.concat(F.lit("url:"), F.col("url"))), 256))
     # the keys come from the rows themselves, so that payloads are shuffled once
-    keys = page.select("page_id", "k", F.octet_length("payload").alias("n"))
-    keys = keys.groupBy("page_id").agg(F.max(F.struct("k", "n")).alias("p")).select("page_id", "p.k", "p.n")
-    keys = keys.filter(F.col("n") >= min_bytes)
-    page = page.groupBy("page_id").agg(F.max(F.struct("k", "payload", "url")).alias("p")).select(
-        "page_id", "p.url", "p.payload")
-    first = keys.groupBy("k", "n").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    later = keys.join(first.filter("copies > 1"), ["k", "n"]).filter("NOT page_id <=> first_id").select(
-        F.col("page_id").alias("later_id"), F.col("first_id").alias("refers_to"))
-    return page.join(later, F.col("page_id").eqNullSafe(F.col("later_id")), "left").select(
-        "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"),
-        F.unhex(F.sha1("payload")).alias("sha1"), "refers_to")
+    keys = page.select("name", "page_id", "k", F.octet_length("payload").alias("n")).filter(F.col("n") >= min_bytes)
+    keys = keys.groupBy("name", "page_id", "k", "n").agg(F.count(F.lit(1)).alias("rows"))
+    none = F.col("page_id").isNull()
+    first = keys.groupBy("k", "n").agg(F.min(F.struct(none.alias("none"), "page_id", "name")).alias("first"),
+                                       F.sum("rows").alias("copies"))
+    later = keys.join(first.filter("copies > 1"), ["k", "n"]).filter(none | (F.col("page_id") != F.col("first.page_id")))
+    later = later.select("name", F.col("first.page_id").alias("first_id"), F.col("first.name").alias("first_name"))
+    rows = page.groupBy("name").agg(F.first("page_id").alias("page_id"), F.first("url").alias("url"),
+                                    F.first("payload").alias("payload"), F.count(F.lit(1)).alias("rows"))
+    each = rows.join(later, "name", "left").select(
+        "*", F.unhex(F.sha1("payload")).alias("sha1"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("number"))
+    again = F.col("first_name").isNotNull() & ((F.col("first_name") != F.col("name")) | (F.col("number") > 0))
+    return each.select("page_id", "url", F.when(~again, F.col("payload")).alias("payload"), "sha1",
+                       F.when(again, F.col("first_id")).alias("refers_to"), "name", "number",
+                       F.when(again, F.col("first_name")).alias("refers_name"))
 
 
 def _record(kind: str, rid: str, block: bytes, fields: dict) -> bytes:
@@ -99,14 +108,14 @@ def _record(kind: str, rid: str, block: bytes, fields: dict) -> bytes:
     return text.encode() + block + b"\r\n\r\n"
 
 
-def records_of(page_id, url, payload, sha1: bytes, refers_to, segment_bytes: int, chunk_bytes: int):
-    """Serialised records of one page."""
-    rid = record_id(page_id)
+def records_of(page_id, url, payload, sha1: bytes, name, number, refers_name, segment_bytes: int, chunk_bytes: int):
+    """Serialised records of one row of ``plan_records``."""
+    rid = record_id(name, number)
     uri = urllib.parse.quote(url, safe=":/?#[]@!$&'()*+,;=%") if url else f"urn:x-page:{page_id}"
     fields = {"WARC-Target-URI": uri, "WARC-Payload-Digest": "sha1:" + base64.b32encode(sha1).decode(),
               "X-Page-Id": page_id, "Content-Type": "application/http; msgtype=response"}
     if payload is None:
-        yield _record("revisit", rid, HEAD, {**fields, "WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to)})
+        yield _record("revisit", rid, HEAD, {**fields, "WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_name, 0)})
         return
     block = HEAD + frame(payload, chunk_bytes)
     if len(block) <= segment_bytes:
@@ -118,7 +127,7 @@ def records_of(page_id, url, payload, sha1: bytes, refers_to, segment_bytes: int
         if n == 1:
             yield _record("response", rid, part, {**fields, "WARC-Segment-Number": 1})
         else:
-            yield _record("continuation", f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page/{page_id}/{n}')}>", part,
+            yield _record("continuation", f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page/{name}/{number}/{n}')}>", part,
                           {"WARC-Target-URI": uri, "WARC-Segment-Origin-ID": rid, "WARC-Segment-Number": n,
                            "WARC-Segment-Total-Length": len(block) if n == len(cuts) else None})
 
@@ -128,6 +137,7 @@ def write_archives(records: DataFrame, folder: str, segment_bytes: int = 16_384,
     """Write ``plan_records`` rows as ``.warc.gz`` files (one gzip member per
     record) and return the stored list of files ``path, n_records``.  Files
     get their names by rename when complete, so a repeated task is harmless."""
+    fields = ["page_id", "url", "payload", "sha1", "name", "number", "refers_name"]
 
     def write(batches):
         fs, base = open_fs(folder)
@@ -141,8 +151,7 @@ def write_archives(records: DataFrame, folder: str, segment_bytes: int = 16_384,
             done.append((posixpath.join(folder, name), count))
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "refers_to")),
-                           strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in fields), strict=True):
                 for rec in records_of(*row, segment_bytes, chunk_bytes):
                     if sink is not None and sink.tell() >= file_bytes:
                         finish()
@@ -157,8 +166,7 @@ def write_archives(records: DataFrame, folder: str, segment_bytes: int = 16_384,
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()),
                                           pa.array([d[1] for d in done], pa.int64())], names=["path", "n_records"])
 
-    plan = records.select("page_id", "url", "payload", "sha1", "refers_to")
-    return stored_table(plan.mapInArrow(write, "path string, n_records long"), "archives")
+    return stored_table(records.select(fields).mapInArrow(write, "path string, n_records long"), "archives")
 
 
 RECORD = ("record_id string, type string, page_id long, refers_record string, digest string, "
@@ -279,7 +287,8 @@ def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
 def resolve(read: DataFrame) -> DataFrame:
     """Per record ``page_id, payload_bytes, payload_digest, record_type,
     refers_to``; a revisit takes bytes and digest from the response that it
-    refers to (null when the archives do not hold it)."""
+    refers to (null when the archives do not hold it).  ``refers_to`` is null
+    for a record without a page id, as in the SQL."""
     slim = stored_table(read.select("record_id", "type", "page_id", "refers_record", "payload_bytes",
                                     "payload_digest"), "records")
     target = slim.filter("type = 'response'").select(
@@ -287,7 +296,8 @@ def resolve(read: DataFrame) -> DataFrame:
         F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
     return slim.join(target, "refers_record", "left").select(
         "page_id", F.coalesce("payload_bytes", "b").alias("payload_bytes"),
-        F.coalesce("payload_digest", "d").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+        F.coalesce("payload_digest", "d").alias("payload_digest"), F.col("type").alias("record_type"),
+        F.when(F.col("page_id").isNotNull(), F.col("refers_to")).alias("refers_to"))
 
 
 ORACLE = """

@@ -208,6 +208,29 @@ def test_warc(spark):
     assert warc.unframe(warc.frame(b"abc" * 99, 10)) == b"abc" * 99
 
 
+def test_warc_keeps_rows_that_repeat_an_id_or_have_none(spark):
+    data = [(1, "u", "a" * 900), (1, "u", "b"), (1, "v", "b"), (1, "u", "b"), (2, "u", "b"), (None, "u", "b"), (None, None, "b"),
+            (None, "u", "c" * 900), (None, "u", "c" * 900), (None, "v", "c" * 900), (None, "u", "d"), (3, "u", None),
+            (3, "u", ""), (4, "u", "a" * 900), (None, None, None), (5, "u", "e"), (5, "u", "f")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    plan = warc.plan_records(pages)
+    files = warc.write_archives(plan, fresh_dir(spark, "test"), segment_bytes=300, chunk_bytes=100)
+    read = warc.read_archives(spark, [r["path"] for r in files.collect()])
+    assert read.select("record_id").distinct().count() == len(data) and read.filter("NOT valid").count() == 0
+    got = collections.Counter(tuple(r) for r in warc.resolve(read).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", data)
+    want = collections.Counter(con.execute(warc.ORACLE).fetchall())
+    # a payload that no page id has needs one response
+    for html in ("c" * 900, "d"):
+        own = (None, len(html), warc.sha1_base32(html.encode()))
+        want[(*own, "revisit", None)] -= 1
+        want[(*own, "response", None)] += 1
+    assert got == +want
+
+
 def naive_similarity(x, y):
     jp = sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
     return max(jp, len(x.keys() & y.keys()) / max(1, len(x.keys() | y.keys())))
