@@ -154,8 +154,9 @@ class Slice:
             at = end
 
     def anchor_hashes(self):
-        """Distinct anchor hashes, whether two ids of the slice have them, and
-        how often they occur."""
+        """Distinct anchor hashes, and a byte of each: whether two ids of the
+        slice have it, and twice the power of two that its occurrences reach at
+        most."""
         hashes, docs = [], []
         for at, b, lengths in self.chunks():
             pos, h, _, _ = anchors(b, lengths, self.width)
@@ -166,9 +167,9 @@ class Slice:
         h, d = h[order], d[order]
         new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][:len(h)])
         if not len(new):
-            return h, np.zeros(0, bool), np.zeros(0, np.uint32)
-        return h[new], np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new), \
-            np.diff(np.r_[new, len(h)]).astype(np.uint32)
+            return h, np.zeros(0, np.uint8)
+        several = np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new)
+        return h[new], (several + 2 * np.ceil(np.log2(np.diff(np.r_[new, len(h)])))).astype(np.uint8)
 
     def items(self, shared: np.ndarray, often: np.ndarray):
         """Windows around the shared anchors: ``text`` (n, side) with the
@@ -262,8 +263,7 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-_ANCHORS = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary()),
-                     ("counts", pa.binary())])
+_ANCHORS = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary())])
 _SHARED = pa.schema([("slice", pa.int64()), ("kind", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 _ITEMS = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("item", pa.binary()), ("text", pa.binary()),
                     ("span", pa.binary()), ("first_id", pa.binary())])
@@ -278,12 +278,12 @@ def find_shared(table, most: int):
     whether they occur more than ``most`` times."""
     parts = [np.frombuffer(x, U) for x in table.column("hashes").to_pylist()]
     h = np.concatenate(parts)
-    several = _concat(bool, table.column("several").to_pylist())
+    mark = _concat(np.uint8, table.column("several").to_pylist())
+    several, counts = mark & 1, np.int64(1) << (mark >> 1).astype(np.int64)
     order = np.argsort(h, kind="stable")
     hs = h[order]
     run = np.cumsum(np.r_[True, hs[1:] != hs[:-1]][:len(hs)]) - 1
     hit = (np.bincount(run) > 1) | (np.bincount(run, weights=several[order]) > 0)
-    counts = _concat(np.uint32, table.column("counts").to_pylist())
     flag, often = np.empty(len(h), bool), np.empty(len(h), bool)
     flag[order] = hit[run]
     often[order] = (np.bincount(run, weights=counts[order]) > most)[run]
@@ -363,11 +363,11 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     cuts = np.array(_splitters(found, pieces), f"S{LEAD}")
 
     def send_anchors(key, table):
-        h, several, counts = Slice(table, width).anchor_hashes()
+        h, several = Slice(table, width).anchor_hashes()
         bucket = (h >> U(64 - bits)).astype(np.int64)
         edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
         me = key[0].as_py()
-        return _rows(_ANCHORS, [(j, me, h[i:e].tobytes(), several[i:e].tobytes(), counts[i:e].tobytes())
+        return _rows(_ANCHORS, [(j, me, h[i:e].tobytes(), several[i:e].tobytes())
                                 for j, (i, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if e > i])
 
     def shared_of(table):
