@@ -32,6 +32,43 @@ CACHE_LENGTH = 48                     # longer segments go through the heap, afr
 NONE = np.int32(2**31 - 1)            # rank of a pair that is no piece
 
 
+def _fields(b: bytes):
+    """(number, value) of the fields of a serialised protocol buffer."""
+    i = 0
+
+    def number():
+        nonlocal i
+        v = shift = 0
+        while True:
+            c = b[i]
+            i, v, shift = i + 1, v | (c & 127) << shift, shift + 7
+            if c < 128:
+                return v
+
+    while i < len(b):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+            continue
+        n = {1: 8, 5: 4}.get(key & 7) or number()
+        yield key >> 3, b[i:i + n]
+        i += n
+
+
+def check_model(proto: bytes) -> None:
+    """Raises for a model that changes texts other than by a leading blank, or
+    that has user-defined pieces."""
+    spec = {}
+    for k, v in _fields(proto):
+        if k == 1 and dict(_fields(v)).get(3, 1) == 4:
+            raise ValueError(f"user-defined piece {dict(_fields(v))[1].decode()!r}")
+        if k == 3:
+            spec = dict(_fields(v))
+    # rules, leading blank, removal of blanks, blanks as marks
+    if spec.get(2) or spec.get(6) or (spec.get(3, 1), spec.get(4, 1), spec.get(5, 1)) != (1, 0, 1):
+        raise ValueError("the model's normaliser changes texts")
+
+
 class MergeModel:
     """Pieces and scores of a BPE model file, with the two directions."""
 
@@ -39,6 +76,7 @@ class MergeModel:
         import sentencepiece
         self.lib = sentencepiece.SentencePieceProcessor(model_file=model_file)
         lib, n = self.lib, self.lib.get_piece_size()
+        check_model(lib.serialized_model_proto())
         self.piece, self.rank, self.byte_id, self.id_byte = [], {}, {}, {}
         self.control = set()
         for i in range(n):
@@ -267,7 +305,7 @@ def batch_coder(model_file: str) -> BatchCoder:
 
 
 def encode_decode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text",
-                  verify_every: int = 32, digests: bool = False) -> DataFrame:
+                  verify_every: int = 1, digests: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, ids (decimal text), decoded``.
 
     With ``digests`` the two long columns are returned as their SHA-256 only

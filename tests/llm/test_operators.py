@@ -2,6 +2,7 @@
 nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 import collections
 import hashlib
+import inspect
 import itertools
 import random
 import re
@@ -123,6 +124,16 @@ def test_multikey_sort():
     assert run.tolist() == list(itertools.accumulate([0] + [a != b for a, b in itertools.pairwise(want)]))
 
 
+def test_sentencepiece_checks_every_slice_and_its_model():
+    import sentencepiece
+    assert inspect.signature(sentencepiece_bpe.encode_decode).parameters["verify_every"].default == 1
+    proto = sentencepiece.SentencePieceProcessor(model_file=PIECE_FILE).serialized_model_proto()
+    sentencepiece_bpe.check_model(proto)
+    for more in (b"\x0a\x05\x0a\x01x\x18\x04", b"\x1a\x05\x12\x01x\x20\x00", b"\x1a\x02\x20\x01"):
+        with pytest.raises(ValueError):
+            sentencepiece_bpe.check_model(proto + more)
+
+
 def test_sentencepiece(docs, none):
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE_FILE)
