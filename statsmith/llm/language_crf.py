@@ -8,8 +8,9 @@ Forward-backward gives each word's posterior, and a document's language is the
 one with the largest mean posterior.
 
 The model is fitted on a bounded sample of labelled rows (``per_language`` rows
-of each language, of at most ``max_chars`` characters each); word sequences
-joined from pieces of several languages teach it where text switches.
+of each language, a piece of at most ``max_chars`` characters of each,
+``total_chars`` characters in all); word sequences joined from pieces of
+several languages teach it where text switches.
 """
 
 from __future__ import annotations
@@ -24,24 +25,32 @@ from pyspark.sql import functions as F
 from statsmith.llm.common import quoted
 from statsmith.llm.token_ids import steps
 
-_WORD = re.compile(r"[^\W\d_]+")      # runs of letters
+_WORD = re.compile(r"[^\W\d_]+")      # runs of letters and of number characters such as the superscript two
 SLOTS = 1 << 16                       # hashed feature slots
 GRAMS = (2, 3, 4)
 WIDTH = 16                            # characters of a word that features look at
 CACHE_WORDS = 400_000
+SLICE = 1_000_000                     # characters whose words are worked on together
 UNDETERMINED = "und"
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters, in lower case; runs longer than ``WIDTH`` are cut into
+    successive pieces of it, so every letter is read."""
+    out = []
+    for w in _WORD.findall(text.lower()):
+        if len(w) <= WIDTH and w.isalpha():
+            out.append(w)
+            continue
+        for run in [w] if w.isalpha() else "".join([c if c.isalpha() else " " for c in w]).split():
+            out.extend(run[i:i + WIDTH] for i in range(0, len(run), WIDTH))
+    return out
 
 
 def features(words: list[str]) -> np.ndarray:
-    """Feature slots (words, features); slot 0 is none.  Words longer than
-    ``WIDTH`` keep their first and last halves."""
-    half = WIDTH // 2
-    cut = [w if len(w) <= WIDTH else w[:half] + w[-half:] for w in words]
-    code = np.array([f"<{w}>" for w in cut], f"<U{WIDTH + 2}").view(np.uint32).reshape(len(words), WIDTH + 2)
+    """Feature slots (words, features); slot 0 is none.  Words have at most
+    ``WIDTH`` characters."""
+    code = np.array([f"<{w}>" for w in words], f"<U{WIDTH + 2}").view(np.uint32).reshape(len(words), WIDTH + 2)
     code = code.astype(np.uint64)
     out = []
     for n in GRAMS:
@@ -153,16 +162,22 @@ def marginals(score: np.ndarray, lengths: np.ndarray, moves: np.ndarray):
     return post, moved
 
 
-def training_rows(df: DataFrame, per_language: int, max_chars: int, id_col: str, text_col: str, lang_col: str):
-    """A bounded number of labelled rows (language, text), chosen by id hash."""
+def training_rows(df: DataFrame, per_language: int, max_chars: int, total_chars: int, id_col: str, text_col: str,
+                  lang_col: str):
+    """A bounded number of labelled rows (language, text), chosen by the hash
+    of id and text; of a text over ``max_chars`` a piece that starts at a place
+    given by the hash.  Many languages share ``total_chars``: fewer rows each."""
     rows = df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang"))
-    rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.length("text") <= max_chars)
+    rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("draw", F.xxhash64("id", "text"))
     found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not found:
         return []
+    per_language = max(1, min(per_language, total_chars // (2 * max_chars * len(found))))
     share = F.create_map(*[x for k, n in found.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) / 1_000_000
-    some = rows.filter(draw < share[F.col("lang")]).orderBy(F.xxhash64("id", "text")).limit(2 * per_language * len(found))
+    some = rows.filter(F.pmod("draw", F.lit(1_000_000)) / 1_000_000 < share[F.col("lang")])
+    spare = F.greatest(F.length("text") - max_chars, F.lit(0)) + 1
+    piece = F.substring("text", (1 + F.pmod("draw", spare)).cast("int"), F.lit(max_chars))
+    some = some.select("lang", piece.alias("text"), "draw").orderBy("draw", "lang").limit(2 * per_language * len(found))
     return [(r["lang"], r["text"]) for r in some.select("lang", "text").collect()]
 
 
@@ -250,7 +265,7 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
         m = held.value
         for b in batches:
             texts = b.column(1).to_pylist()
-            for lo, hi in steps(texts, 10_000, 12_000_000):
+            for lo, hi in steps(texts, 10_000, SLICE):
                 got = m.predict(texts[lo:hi]) if m.labels else [(UNDETERMINED, 0.0)] * (hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array([g[0] for g in got], pa.string()),
@@ -259,13 +274,35 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
     return docs.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def keep_identified(df: DataFrame, model: LanguageModel, min_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, whose text has letters and a
+    language with a mean posterior of at least ``min_score``.
+
+    Rows are filtered where they are read: no shuffle, no join.  Rows with null
+    text go; of repeated rows all stay or all go; an empty table, or a model
+    without labels, gives an empty result.
+    """
+    held = df.sparkSession.sparkContext.broadcast(model)           # SLOTS x languages weights: bounded
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        m = held.value
+        for b in batches:
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            for lo, hi in steps(texts, 10_000, SLICE):
+                got = m.predict(texts[lo:hi]) if m.labels else [(UNDETERMINED, 0.0)] * (hi - lo)
+                yield b.slice(lo, hi - lo).filter(pa.array([k != UNDETERMINED and s >= min_score for k, s in got]))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(id_col):
     """The fixed test fold: one document in five by the CRC of its id."""
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
-def learn(df: DataFrame, per_language: int = 500, max_chars: int = 20_000, id_col: str = "doc_id",
-          text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def learn(df: DataFrame, per_language: int = 500, max_chars: int = 20_000, total_chars: int = 100_000_000,
+          id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Model from the labelled rows outside the test fold."""
     train = df.filter(~F.coalesce(held_out(quoted(id_col)), F.lit(False)))
-    return fit(training_rows(train, per_language, max_chars, id_col, text_col, lang_col))
+    return fit(training_rows(train, per_language, max_chars, total_chars, id_col, text_col, lang_col))
