@@ -25,9 +25,9 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those in which no language holds a
-    mean posterior of ``MIN_SCORE``."""
-    found = language_crf.identify(docs, language_crf.learn(docs))
-    return _only(docs, found.filter((F.col("lang_pred") != language_crf.UNDETERMINED) & (F.col("score") >= MIN_SCORE)))
+    mean posterior of ``MIN_SCORE``; repeated rows stay or go together, an
+    empty table stays empty.  Rows are filtered in place, without a shuffle."""
+    return language_crf.keep_identified(docs, language_crf.learn(docs), MIN_SCORE)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +42,16 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates: the one that the operator
+    marks as kept, with all rows of its id (a null id is an id); an empty
+    table stays empty.  Only ids travel to the rows."""
     return _only(docs, probminhash.near_duplicates(docs, threshold=0.8).filter("kept"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 bytes or more that an earlier document
-    holds; documents of which nothing is left go."""
+    holds; documents of which nothing is left go.  A repeated row stays once; an
+    empty table stays empty."""
     found = suffix_dedup.remove_repeats(docs, width=50, texts=True).filter(F.trim("kept_text") != "")
     found = found.select(F.col("doc_id").alias("kept_id"), F.col("input_sha256"), F.col("kept_text"))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -60,7 +63,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of all documents in sequences of 2048."""
+    """The token ids of all documents in sequences of 2048; repeated rows are
+    packed as often as they come, an empty table gives no pieces."""
     return packing.pack(docs, WORD_FILE, length=2048)
 
 
