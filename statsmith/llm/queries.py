@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from statsmith.llm import (
     arrow_sequences,
+    byte_bpe,
     exact_dedup,
     importance,
     language_crf,
+    lexical_search,
     packing,
     probminhash,
     quality_rules,
@@ -22,6 +24,7 @@ from statsmith.llm import (
 from statsmith.llm.common import fresh_dir
 
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -84,6 +87,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(documents(spark, sf_dir), PIECE_FILE, digests=True)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip_digests(documents(spark, sf_dir), BYTE_FILE)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return lexical_search.search(documents(spark, sf_dir), items, k=50)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_importance": op2_importance,
@@ -95,9 +107,12 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_arrow_sequences": op9_arrow_sequences,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }
