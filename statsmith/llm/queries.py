@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from statsmith.llm import (
     arrow_sequences,
     byte_bpe,
+    collocations,
     exact_dedup,
     importance,
     language_crf,
@@ -87,6 +88,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(documents(spark, sf_dir), PIECE_FILE, digests=True)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(documents(spark, sf_dir), BYTE_FILE)
 
@@ -107,6 +112,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_arrow_sequences": op9_arrow_sequences,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_collocations": op11_collocations,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_lexical_search": op13_lexical_search,
 }
@@ -114,5 +120,6 @@ QUERIES = {
 ORACLE = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op13_lexical_search": lexical_search.ORACLE,
 }
