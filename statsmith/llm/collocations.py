@@ -34,9 +34,9 @@ from statsmith.llm.token_ids import steps
 
 LONGEST = 5
 CHUNK = 1_000_000                     # hashes sent to the tasks at once (8 MB)
-WORDS_HELD = 400_000                  # distinct words a task remembers before it sends their counts
+WORDS_HELD = 150_000                  # distinct words a task remembers before it sends their counts
 ROW_CODES = 1 << 15                   # words of a stored row
-STEP_CODES = 1 << 20                  # words counted together
+STEP_CODES = 1 << 18                  # words counted together
 FILTER_BITS = 1 << 24                 # slots of the filter of frequent words (2 MB)
 BOUND_STEPS = 4                       # steps of a bound for each factor of two
 SHARES = (1 / 8, 1.0)                 # of all frequent occurrences, at the end of each wave
@@ -87,7 +87,7 @@ def coded(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in steps(texts):
+            for lo, hi in steps(texts, 1000, 1_000_000):
                 by: dict[str, list[bytes]] = {}
                 for lang, text in zip(langs[lo:hi], texts[lo:hi], strict=True):
                     by.setdefault(lang, []).extend([*words_of(text), _BREAK])
@@ -115,16 +115,18 @@ def coded(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
 
 def frequent_words(parts: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
-    """(``lang, n``: words of each language; ``lang, word, code, f, n, bound``
-    of the frequent ones).  Raises when a frequent word shares its hash."""
+    """(``lang, n``: words of each language; ``lang, code, f, n, bound`` of the
+    frequent ones).  Raises when a frequent word shares its hash with another:
+    their second hashes differ."""
     total = stored_table(parts.groupBy("lang").agg(F.sum("n").alias("n")), "language-words")
-    words = parts.groupBy("lang", "code").agg(F.sum("n").alias("f"), F.min("word").alias("word"), F.max("word").alias("last"))
+    words = parts.groupBy("lang", "code").agg(F.sum("n").alias("f"), F.min(F.xxhash64("word")).alias("one"),
+                                              F.max(F.xxhash64("word")).alias("other"))
     words = words.filter(F.col("f") >= min_count).join(F.broadcast(total), "lang")       # a row for each language
     bound = F.expr("CAST(1000 AS DECIMAL(20,0)) * n div f")
     words = stored_table(words.withColumn("bound", bound), "frequent-words")
-    if not words.filter("word <> last").isEmpty():
+    if not words.filter("one <> other").isEmpty():
         raise ValueError("two words share a 64-bit hash")
-    return total, words.drop("last")
+    return total, words.drop("one", "other")
 
 
 def word_filter(words: DataFrame) -> np.ndarray:
@@ -376,7 +378,7 @@ def mine(df: DataFrame, top: int = 2000, min_count: int = 100, lang_col: str = "
         floor = stored_table(settled(results, top), "floor")
         if report is not None:
             report.append((high, low, front.count(), new.count()))
-    return ranked(results, floor, words, top)
+    return ranked(results, floor, parts.filter("kind = 'word'").select("lang", "code", "word"), top)
 
 
 def missing_parts(codes: DataFrame, found: DataFrame, counts: DataFrame) -> DataFrame:
@@ -394,8 +396,11 @@ def missing_parts(codes: DataFrame, found: DataFrame, counts: DataFrame) -> Data
 def ranked(results: DataFrame, floor: DataFrame, words: DataFrame, top: int) -> DataFrame:
     rows = results.filter("survives").join(F.broadcast(floor), "lang", "left")                            # a row a language
     rows = rows.filter(F.col("least").isNull() | (F.col("score") >= F.col("least")))
+    rows = stored_table(rows, "best")                                            # ``top`` rows a language, and ties
+    codes = rows.select("lang", F.explode(F.array(*PARTS)).alias("code")).filter("code <> 0").distinct()
+    names = stored_table(words.join(codes, ["lang", "code"], "left_semi").distinct(), "names")
     for p in PARTS:
-        name = words.select(F.col("lang").alias("word_lang"), F.col("code"), F.col("word").alias(f"{p}_word"))
+        name = names.select(F.col("lang").alias("word_lang"), F.col("code"), F.col("word").alias(f"{p}_word"))
         rows = rows.join(name, (rows["lang"] == name["word_lang"]) & (rows[p] == name["code"]), "left").drop("word_lang", "code")
     rows = rows.withColumn("phrase", F.concat_ws(" ", *[f"{p}_word" for p in PARTS]))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
