@@ -10,6 +10,12 @@ from pyspark.sql import types as T
 TMP = "__sm_"
 
 
+def col(name: str) -> Column:
+    """The column of that literal name: dots, blanks and backticks are part of
+    it.  Every operator reads user columns through this helper."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def safe_div(num: Column, den: Column) -> Column:
     """``num / den`` that yields NULL instead of raising on a zero divisor."""
     return F.try_divide(num, den)

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from statsmith.functions.columns import TMP, require_columns
 from statsmith.ml import evaluate
+from statsmith.ml.boosting import fit_boosted
 from statsmith.ml.features import RandomFourier, Standardizer, with_rff
 from statsmith.ml.sgd import fit_sgd
 from statsmith.ml.split import train_test_split
@@ -57,17 +58,20 @@ ALLOWED = {
     "random forest": {"n_estimators", "max_depth", "min_samples_split", "random_state", "max_features"},
     "stochastic gradient descent": {"loss", "penalty", "alpha", "l1_ratio", "learning_rate", "eta0",
                                     "power_t", "max_iter", "tol", "n_iter_no_change", "epsilon",
-                                    "fit_intercept"},
+                                    "fit_intercept", "random_state"},
     "gradient boosting": {"n_estimators", "max_depth", "learning_rate", "random_state"},
-    "xgboost": {"n_estimators", "max_depth", "learning_rate", "random_state"},
-    "lgbm": {"n_estimators", "max_depth", "learning_rate", "random_state"},
+    "xgboost": {"n_estimators", "max_depth", "learning_rate", "random_state", "reg_lambda", "gamma", "min_child_weight",
+                "max_bin"},
+    "lgbm": {"n_estimators", "max_depth", "learning_rate", "random_state", "num_leaves", "reg_lambda", "min_split_gain",
+             "min_child_weight", "min_child_samples", "max_bin", "top_rate", "other_rate"},
     "gaussian process": {"length_scale", "n_components", "alpha", "random_state"},
 }
 
 # Library defaults the reference inherits (depth None = unbounded
 # maps to Spark's maximum of 30).
-BOOST_DEFAULTS = {"gradient boosting": (100, 3, 0.1, 32), "xgboost": (100, 6, 0.3, 32),
-                  "lgbm": (100, 5, 0.1, 255)}
+BOOST_DEFAULTS = {"gradient boosting": (100, 3, 0.1, 32)}
+# the models that learn a side for missing values
+TAKES_MISSING = ("xgboost", "lgbm")
 MAX_DEPTH = 30
 
 
@@ -114,10 +118,11 @@ class TrainedModel:
 
 
 def prepare(df: DataFrame, target: str, task: str, features: list[str] | None = None,
-            keep: list[str] = ()) -> Prepared:
+            keep: list[str] = (), missing: str = "error") -> Prepared:
     """Features (default: all but the target), string-like features
     label-encoded (codes fitted on all rows, as the reference does),
-    booleans as 0/1, label indexed for classification."""
+    booleans as 0/1, label indexed for classification.  A missing value raises,
+    or with ``missing="keep"`` becomes NaN, for models that take it."""
     if task not in (CLS, REG):
         raise ValueError("task must be 'classification' or 'regression'")
     require_columns(df, [target])
@@ -144,7 +149,7 @@ def prepare(df: DataFrame, target: str, task: str, features: list[str] | None =
         enc = im.transform(enc).drop(TMP + "lab")
     else:
         enc = enc.withColumn("label", F.col(target).cast("double"))
-    va = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="error")
+    va = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid=missing)
     out = va.transform(enc)
     if textual:
         # the label-encoding joins would otherwise rerun for every consumer
@@ -227,6 +232,22 @@ def _convert(name: str, task: str, params: dict, train: DataFrame, n_classes: in
         else:
             est = GBTRegressor(maxIter=it, maxDepth=depth, stepSize=rate, maxBins=bins, seed=seed)
         return est.fit(train)
+    if name == "xgboost":
+        return fit_boosted(train, task, n_classes, rounds=int(params.get("n_estimators", 100)),
+                           rate=float(params.get("learning_rate", 0.3)), grow="depth", max_depth=int(params.get("max_depth", 6)),
+                           reg_lambda=float(params.get("reg_lambda", 1.0)), gamma=float(params.get("gamma", 0.0)),
+                           min_child_weight=float(params.get("min_child_weight", 1.0)), max_bins=int(params.get("max_bin", 255)),
+                           seed=seed)
+    if name == "lgbm":
+        depth = int(params.get("max_depth", -1))
+        top = params.get("top_rate")
+        return fit_boosted(train, task, n_classes, rounds=int(params.get("n_estimators", 100)),
+                           rate=float(params.get("learning_rate", 0.1)), grow="leaf", max_depth=None if depth <= 0 else depth,
+                           max_leaves=int(params.get("num_leaves", 31)), reg_lambda=float(params.get("reg_lambda", 0.0)),
+                           gamma=float(params.get("min_split_gain", 0.0)),
+                           min_child_weight=float(params.get("min_child_weight", 1e-3)),
+                           min_child_samples=int(params.get("min_child_samples", 20)), max_bins=int(params.get("max_bin", 255)),
+                           top_rate=None if top is None else float(top), other_rate=float(params.get("other_rate", 0.1)), seed=seed)
     if name == "stochastic gradient descent":
         kw = {k: v for k, v in params.items()}
         return fit_sgd(train, task, n_classes=n_classes, **kw)
@@ -251,7 +272,7 @@ def _convert(name: str, task: str, params: dict, train: DataFrame, n_classes: in
         else:
             inner = fit_sgd(data, REG, loss="epsilon_insensitive", alpha=1.0 / (C * n),
                             epsilon=float(params.get("epsilon", 0.1)), learning_rate="adaptive",
-                            eta0=0.1)
+                            eta0=0.1, max_iter=int(params.get("max_iter", 1000)), random_state=seed)
         return _RFFModel(*wrap, inner) if wrap else inner
     if name == "gaussian process":
         ls = float(params.get("length_scale", 1.0))
@@ -283,7 +304,7 @@ def train_model(df: DataFrame, target: str, model: str, task: str, features: lis
                 key: str | list[str] | None = None) -> TrainedModel:
     """Full path of the reference's Train button, as Spark jobs."""
     keys = [key] if isinstance(key, str) else list(key or [])
-    prep = prepare(df, target, task, features, keep=keys)
+    prep = prepare(df, target, task, features, keep=keys, missing="keep" if model in TAKES_MISSING else "error")
     split_key = keys or [*prep.feature_names, target]
     train, test = train_test_split(prep.frame, test_size, seed, key=split_key)
     m = fit(train, model, task, params)

@@ -1,18 +1,23 @@
-"""M9: stochastic-gradient linear models as full-batch epochs on Spark.
-
-Each epoch is one distributed pass: every partition computes the summed loss
-and gradient of its rows with numpy inside ``mapInArrow`` (weights travel in
-the task closure: K x (p + 1) numbers), and the partials are reduced by a
-``groupBy`` over (weight index) cells - never collected row by row.  The
-driver applies the learning-rate schedule, the penalty (proximal step for L1)
-and the stopping rule.  Inputs are standardised internally; weights are
-reported on that scale and applied through the same transform.
+"""M9: stochastic-gradient linear models, trained in parallel rounds on Spark.
+
+A round is one job.  Every task goes through its rows in chunks that fit in
+memory; each chunk starts from the common weights, makes several epochs of
+mini-batch steps over its own rows, and reports the average of the weights over
+its last epoch; the driver averages the chunks' weights by their numbers of
+rows.  The rows are dealt over the tasks anew once, and what chunks still differ
+in is corrected: their steps carry the gradient of all rows less the chunk's
+own, both at the weights of the round before.  At the optimum of the whole
+objective the corrected steps stand still, whatever the chunks hold.  The loss and
+gradient at the round's start come out of the same pass, so the objective of
+every averaged model is known exactly and the best one is returned.
 
 Losses: hinge, log_loss, modified_huber, squared_hinge, perceptron
 (classification, one-vs-rest for more than two classes); squared_error,
 huber, epsilon_insensitive, squared_epsilon_insensitive (regression).
-Schedules: constant, optimal, invscaling, adaptive.  Mini-batch order is not
-reproduced, so only the objective is comparable with a per-sample learner.
+Schedules: constant, optimal, invscaling, adaptive; a mini-batch makes the
+step of its rows together, no longer than half the inverse of the curvature.
+``max_iter`` counts epochs.  Inputs are standardised internally; weights are
+reported on that scale and applied through the same transform.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statsmith.ml.features import Standardizer
+from statsmith.session import shuffle_partitions, stored
 
 CLS_LOSSES = ("hinge", "log_loss", "modified_huber", "squared_hinge", "perceptron")
 REG_LOSSES = ("squared_error", "huber", "epsilon_insensitive", "squared_epsilon_insensitive")
@@ -111,11 +117,18 @@ class SGDModel:
         return out
 
 
+BATCH = 32                            # rows of a mini-batch
+CHUNK_CELLS = 4_000_000               # numbers of a chunk held by a task (32 MB)
+STALE_ROUNDS = 3                      # rounds without a gain before the descent stops
+FIRST_EPOCHS = 5                      # epochs of a round; doubled after every fourth round
+
+
 def fit_sgd(df: DataFrame, task: str, features: str = "features", label: str = "label",
             loss: str | None = None, penalty: str = "l2", alpha: float = 1e-4, l1_ratio: float = 0.15,
             learning_rate: str | None = None, eta0: float | None = None, power_t: float = 0.25,
             max_iter: int = 1000, tol: float | None = 1e-3, n_iter_no_change: int = 5,
-            epsilon: float = 0.1, fit_intercept: bool = True, n_classes: int | None = None) -> SGDModel:
+            epsilon: float = 0.1, fit_intercept: bool = True, n_classes: int | None = None,
+            random_state: int = 42) -> SGDModel:
     if task == "classification":
         loss = loss or "hinge"
         learning_rate = learning_rate or "optimal"
@@ -128,6 +141,10 @@ def fit_sgd(df: DataFrame, task: str, features: str = "features", label: str = "
             raise ValueError(f"regression loss must be one of {REG_LOSSES}")
     if penalty not in ("l2", "l1", "elasticnet", None, "None"):
         raise ValueError("penalty must be l2, l1, elasticnet or None")
+    if learning_rate not in ("constant", "optimal", "invscaling", "adaptive"):
+        raise ValueError("learning_rate must be constant, optimal, invscaling or adaptive")
+    if int(max_iter) < 1:
+        raise ValueError("max_iter must be at least 1")
     eta0 = 0.01 if eta0 is None else eta0
     std = Standardizer.fit(df, features)
     p = len(std.mean)
@@ -135,7 +152,6 @@ def fit_sgd(df: DataFrame, task: str, features: str = "features", label: str = "
     if task == "classification":
         n_classes = n_classes or int(df.agg(F.max(label)).first()[0]) + 1
         K = 1 if n_classes <= 2 else n_classes
-    xs = std.columns(features)
     y_mean, y_scale = 0.0, 1.0
     if task != "classification":
         # fit on a standardised target (well-conditioned steps), map back after;
@@ -146,83 +162,115 @@ def fit_sgd(df: DataFrame, task: str, features: str = "features", label: str = "
         if loss in ("epsilon_insensitive", "huber"):
             alpha = alpha * y_scale
     yc = (F.col(label).cast("double") - F.lit(y_mean)) / F.lit(y_scale)
-    data = df.select(F.array(*xs).alias("x"), yc.alias("y"))
-    data = data.persist()                # read once per epoch; recomputed from lineage if lost
-    n = data.count()
-    W, b = np.zeros((K, p)), np.zeros(K)
+    # dealt anew once, so that chunks resemble each other also where the table is sorted; read once a round
+    data = stored(df.select(F.array(*std.columns(features)).alias("x"), yc.alias("y")).repartition(shuffle_partitions(df.sparkSession)))
     l2 = alpha * (1 - l1_ratio) if penalty == "elasticnet" else (alpha if penalty == "l2" else 0.0)
     l1 = alpha * l1_ratio if penalty == "elasticnet" else (alpha if penalty == "l1" else 0.0)
+    t0 = 0.0
     if learning_rate == "optimal":
         typw = np.sqrt(1.0 / np.sqrt(alpha))
         _, g0 = loss_and_grad(loss, np.array([-typw]), np.array([1.0]), epsilon)
         t0 = 1.0 / (typw / max(1.0, abs(float(g0[0]))) * alpha)
-    best, best_wb, bad, eta_adapt = np.inf, (W.copy(), b.copy()), 0, eta0
-    history = []
-    it = 0
-    for it in range(1, max_iter + 1):
-        lossv, gW, gb = _epoch(data, W, b, loss, epsilon, K, task)
-        obj = lossv / n + 0.5 * l2 * float((W * W).sum()) + l1 * float(np.abs(W).sum())
+    plan = dict(loss=loss, epsilon=epsilon, task=task, l2=l2, l1=l1, rate=learning_rate, power_t=power_t, alpha=alpha, t0=t0,
+                intercept=fit_intercept, seed=int(random_state), p=p, K=K)
+    w = np.zeros(K * (p + 1))                                  # weights, then intercepts
+    before, pull = w, None                                     # weights of the last round, gradient of all rows there
+    best, best_w, bad, eta, stale, history, done, rounds = np.inf, w, 0, eta0, 0, [], 0, 0
+    while True:
+        epochs = min(int(max_iter) - done, FIRST_EPOCHS * 2 ** (rounds // 4))
+        n, lossv, grad, mean = _round(data, w, before, pull, epochs, done, eta, plan)
+        W = w[:K * p]
+        obj = lossv + 0.5 * l2 * float((W * W).sum()) + l1 * float(np.abs(W).sum())
         history.append(obj)
-        if obj < best - (tol or 0.0):
-            bad = 0
-        else:
-            bad += 1
+        bad = 0 if obj < best - (tol or 0.0) else bad + epochs
+        stale = 0 if bad == 0 else stale + 1
         if obj < best:
-            best, best_wb = obj, (W.copy(), b.copy())
-        if tol is not None and bad >= n_iter_no_change:
-            if learning_rate == "adaptive" and eta_adapt > 1e-6:
-                eta_adapt /= 5.0
-                bad = 0
-            else:
+            best, best_w = obj, w
+        if n == 0 or epochs == 0:
+            break
+        # the correction is a round late, so every other round moves little
+        if tol is not None and bad >= n_iter_no_change and stale >= STALE_ROUNDS:
+            if learning_rate != "adaptive" or eta <= 1e-6:
                 break
-        if learning_rate == "constant":
-            eta = eta0
-        elif learning_rate == "invscaling":
-            eta = eta0 / it ** power_t
-        elif learning_rate == "adaptive":
-            eta = eta_adapt
-        else:
-            eta = 1.0 / (alpha * (t0 + it))
-        W = W - eta * (gW / n + l2 * W)
-        if l1 > 0:
-            W = np.sign(W) * np.maximum(0.0, np.abs(W) - eta * l1)
-        if fit_intercept:
-            b = b - eta * gb / n
-    data.unpersist()
-    W, b = best_wb
+            eta, bad, stale = eta / 5.0, 0, 0
+        before, pull, w = w, grad, mean
+        done, rounds = done + epochs, rounds + 1
+    W, b = best_w[:K * p].reshape(K, p), best_w[K * p:]
     if task != "classification":
         W, b = W * y_scale, b * y_scale + y_mean
     return SGDModel(task, loss, W, b, std, classes=max(K, 2) if task == "classification" else 1,
-                    n_iter=it, objective=history)
+                    n_iter=done, objective=history)
 
 
-def _epoch(data: DataFrame, W: np.ndarray, b: np.ndarray, loss: str, eps: float, K: int, task: str):
-    p = W.shape[1]
+def _gradient(X: np.ndarray, Y: np.ndarray, w: np.ndarray, plan: dict):
+    """(summed loss, mean gradient) of rows; ``Y`` has a column for each class."""
+    p, K = plan["p"], plan["K"]
+    lv, g = loss_and_grad(plan["loss"], X @ w[:K * p].reshape(K, p).T + w[K * p:], Y, plan["epsilon"])
+    return float(lv.sum()), np.concatenate([(g.T @ X).ravel(), g.sum(axis=0) * plan["intercept"]]) / len(X)
 
-    def part(batches):
-        tl, gW, gb = 0.0, np.zeros((K, p)), np.zeros(K)
+
+def _local(X: np.ndarray, Y: np.ndarray, w: np.ndarray, shift: np.ndarray, epochs: int, done: int, eta: float, plan: dict):
+    """Average weights of the last of ``epochs`` passes over one chunk."""
+    p, K, n = plan["p"], plan["K"], len(X)
+    rng = np.random.default_rng(plan["seed"] + done)
+    longest = 0.5 / (p + 1)                                    # half the inverse curvature on standardised inputs
+    inner = np.arange(len(w)) < K * p
+    total, steps, t = np.zeros_like(w), 0, done * n
+    for e in range(epochs):
+        order = rng.permutation(n)
+        for i in range(0, n, BATCH):
+            at = order[i:i + BATCH]
+            if plan["rate"] == "invscaling":
+                rate = eta / (t + 1) ** plan["power_t"]
+            elif plan["rate"] == "optimal":
+                rate = 1.0 / (plan["alpha"] * (plan["t0"] + t))
+            else:
+                rate = eta
+            step = min(rate * len(at), longest)
+            w = w - step * (_gradient(X[at], Y[at], w, plan)[1] + shift + plan["l2"] * w * inner)
+            if plan["l1"]:
+                w = np.where(inner, np.sign(w) * np.maximum(0.0, np.abs(w) - step * plan["l1"]), w)
+            t += len(at)
+            if e == epochs - 1:
+                total, steps = total + w, steps + 1
+    return total / steps if steps else w
+
+
+def _round(data: DataFrame, w: np.ndarray, before: np.ndarray, pull, epochs: int, done: int, eta: float, plan: dict):
+    """One job: (rows, mean loss and gradient at ``w``, averaged new weights).
+    Weights travel in the task closure; 2 + 2 K (p + 1) numbers come back."""
+    p, K = plan["p"], plan["K"]
+    size = max(BATCH, CHUNK_CELLS // (p + K + 1))
+
+    def chunk(parts):
+        X = np.concatenate([x for x, _ in parts])
+        y = np.concatenate([v for _, v in parts])
+        Y = y[:, None]
+        if plan["task"] == "classification":
+            Y = np.where(Y == (np.arange(K) if K > 1 else 1.0), 1.0, -1.0)
+        loss, grad = _gradient(X, Y, w, plan)
+        shift = np.zeros_like(w) if pull is None else pull - _gradient(X, Y, before, plan)[1]
+        mean = _local(X, Y, w, shift, epochs, done, eta, plan)
+        return np.concatenate([[len(X), loss], grad * len(X), mean * len(X)])
+
+    def run(batches):
+        total, parts, n = np.zeros(2 + 2 * len(w)), [], 0
         for bt in batches:
-            if bt.num_rows == 0:
-                continue
             X = bt.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
             y = bt.column(1).to_numpy(zero_copy_only=False)
-            S = X @ W.T + b
-            for k in range(K):
-                if task == "classification":
-                    yk = np.where(y == (k if K > 1 else 1), 1.0, -1.0)
-                else:
-                    yk = y
-                lv, g = loss_and_grad(loss, S[:, k], yk, eps)
-                tl += float(lv.sum())
-                gW[k] += g @ X
-                gb[k] += float(g.sum())
-        vals = np.concatenate([[tl], gW.ravel(), gb])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(vals)), pa.int32()), pa.array(vals)],
-                                         names=["i", "v"])
-
-    cells = (data.mapInArrow(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-                 .collect())                                     # 1 + K (p + 1) rows
-    vals = np.zeros(1 + K * (p + 1))
-    for r in cells:
-        vals[r["i"]] = r["v"]
-    return vals[0], vals[1:1 + K * p].reshape(K, p), vals[1 + K * p:]
+            for lo in range(0, len(y), size):
+                parts.append((X[lo:lo + size], y[lo:lo + size]))
+                n += len(parts[-1][1])
+                if n >= size:
+                    total += chunk(parts)
+                    parts, n = [], 0
+        if n:
+            total += chunk(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
+
+    got = np.zeros(2 + 2 * len(w))
+    for r in data.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        got[r["i"]] = r["v"]
+    n = int(got[0])
+    scale = max(1, n)
+    return n, got[1] / scale, got[2:2 + len(w)] / scale, got[2 + len(w):] / scale

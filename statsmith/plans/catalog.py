@@ -920,6 +920,79 @@ def q_split_exact(spark, d):
     return spark.createDataFrame([(tr.count(), te.count())], "n_train long, n_test long")
 
 
+@query("sgd_convex_part", """
+WITH r AS (SELECT corr(p_retailprice, p_partkey) AS a, corr(p_retailprice, p_size) AS b, corr(p_partkey, p_size) AS c FROM part)
+SELECT round(0.5 * (1 - (a * a + b * b - 2 * a * b * c) / (1 - c * c)), 6) AS optimum, TRUE AS within_1_percent,
+       TRUE AS at_most_36_rounds, TRUE AS max_iter_kept FROM r""")
+def q_sgd_convex(spark, d):
+    """M9: the descent's objective on a convex loss (half the mean squared
+    error of the standardised target) against the exact optimum."""
+    from statsmith.ml import registry
+    from statsmith.ml.sgd import fit_sgd
+    prep = registry.prepare(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), "p_retailprice", registry.REG)
+    exact = registry.fit(prep.frame, "linear regression", registry.REG).transform(prep.frame).agg(
+        (F.avg((F.col("label") - F.col("prediction")) ** 2) / (2 * F.var_pop("label"))).alias("o")).first()["o"]
+    m = fit_sgd(prep.frame, registry.REG, penalty=None, tol=1e-5, max_iter=200)
+    short = fit_sgd(prep.frame, registry.REG, penalty=None, tol=None, max_iter=3)
+    return R(spark.createDataFrame(
+        [(exact, bool(min(m.objective) <= 1.01 * exact), len(m.objective) <= 37, short.n_iter == 3 and m.n_iter <= 200)],
+        "optimum double, within_1_percent boolean, at_most_36_rounds boolean, max_iter_kept boolean"))
+
+
+_LINE_NUMBERS = ("l_quantity", "l_discount", "l_tax")
+
+
+def _boost_frame(spark, d, features):
+    from statsmith.ml import registry
+    src = table(spark, d, "lineitem").select(*features, "l_extendedprice")
+    return registry.prepare(src, "l_extendedprice", registry.REG, missing="keep").frame
+
+
+@query("boost_first_split", """
+WITH s AS (SELECT avg(l_extendedprice) AS m FROM lineitem),
+u AS (SELECT f, v, sum(m - y) AS g, count(*) AS h FROM (
+        SELECT 'l_quantity' AS f, l_quantity AS v, l_extendedprice AS y FROM lineitem
+        UNION ALL SELECT 'l_discount', l_discount, l_extendedprice FROM lineitem
+        UNION ALL SELECT 'l_tax', l_tax, l_extendedprice FROM lineitem), s GROUP BY f, v),
+c AS (SELECT f, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY f) AS gt, sum(h) OVER (PARTITION BY f) AS ht
+      FROM u WINDOW w AS (PARTITION BY f ORDER BY v)),
+k AS (SELECT *, (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) / 2 AS gain FROM c WHERE hl < ht)
+SELECT f AS feature, round(gain / ht, 4) AS gain_per_row, round(-gl / (hl + 1), 4) AS left_weight,
+       round(-(gt - gl) / (ht - hl + 1), 4) AS right_weight FROM k ORDER BY gain DESC, f LIMIT 1""")
+def q_boost_first_split(spark, d):
+    """One round of depth 1 of second-order boosting."""
+    from statsmith.ml.boosting import fit_boosted
+    df = _boost_frame(spark, d, _LINE_NUMBERS)
+    m = fit_boosted(df, "regression", rounds=1, rate=1.0, max_depth=1)
+    t = m.trees[0][0]
+    row = (_LINE_NUMBERS[t.feature[0]], float(m.gain.sum()) / df.count(), t.value[t.left[0]], t.value[t.right[0]])
+    return R(spark.createDataFrame([row], "feature string, gain_per_row double, left_weight double, right_weight double"), 4)
+
+
+@query("boost_best_leaf", """
+WITH s AS (SELECT avg(l_extendedprice) AS m FROM lineitem),
+u AS (SELECT l_quantity AS v, sum(m - l_extendedprice) AS g, count(*) AS h FROM lineitem, s GROUP BY 1),
+c AS (SELECT v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER () AS gt, sum(h) OVER () AS ht FROM u WINDOW w AS (ORDER BY v)),
+r AS (SELECT v AS v1, (gl * gl / hl + (gt - gl) * (gt - gl) / (ht - hl) - gt * gt / ht) / 2 AS gain, ht FROM c
+      WHERE least(hl, ht - hl) >= 20 ORDER BY gain DESC, v LIMIT 1),
+e AS (SELECT v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER p AS gt, sum(h) OVER p AS ht FROM u, r
+      WINDOW w AS (PARTITION BY v <= v1 ORDER BY v), p AS (PARTITION BY v <= v1)),
+q AS (SELECT v AS v2, (gl * gl / hl + (gt - gl) * (gt - gl) / (ht - hl) - gt * gt / ht) / 2 AS gain FROM e
+      WHERE least(hl, ht - hl) >= 20 ORDER BY gain DESC, v LIMIT 1)
+SELECT round(least(v1, v2), 4) AS low_cut, round(greatest(v1, v2), 4) AS high_cut, round((r.gain + q.gain) / r.ht, 4) AS gain_per_row
+FROM r, q""")
+def q_boost_best_leaf(spark, d):
+    """Three leaves, the second split in whichever leaf gains more."""
+    from statsmith.ml.boosting import fit_boosted
+    df = _boost_frame(spark, d, ("l_quantity",))
+    m = fit_boosted(df, "regression", rounds=1, rate=1.0, grow="leaf", max_depth=None, max_leaves=3, reg_lambda=0.0,
+                    min_child_weight=1e-3, min_child_samples=20)
+    t = m.trees[0][0]
+    cuts = sorted(float(m.edges[0][t.cut[n]]) - 0.5 for n in range(len(t.value)) if t.feature[n] >= 0)   # whole numbers
+    row = (cuts[0], cuts[1], float(m.gain.sum()) / df.count())
+    return R(spark.createDataFrame([row], "low_cut double, high_cut double, gain_per_row double"), 4)
+
+
 def _train_query(model: str, task: str):
     def run(spark, d):
         if task == registry.REG:
@@ -977,6 +1050,20 @@ def q_csv_roundtrip(spark, d):
     return R(read_table(spark, path))
 
 
+@query("csv_line_breaks", """
+SELECT CAST(doc_id AS BIGINT) AS doc_id, NULLIF(text, '') AS text, lang, source, CAST(n_chars AS BIGINT) AS n_chars FROM documents""")
+def q_csv_line_breaks(spark, d):
+    """A1: a CSV whose quoted fields hold line breaks, read by blocks in many
+    tasks a file."""
+    import uuid
+
+    from statsmith.session import checkpoint_dir
+    from statsmith.sources import read_table, write_csv
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    write_csv(table(spark, d, "documents"), path)
+    return read_table(spark, path)
+
+
 @query("scree_part", """
 WITH r AS (SELECT count(*) AS n, corr(p_partkey, p_retailprice) AS rr FROM part)
 SELECT 'PC1' AS component, round(n / (n - 1.0) * (1 + abs(rr)), 6) AS eigenvalue, 1.0 AS reference FROM r

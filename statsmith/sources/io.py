@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statsmith.functions.columns import python_float_text
+from statsmith.functions.columns import col, python_float_text
+from statsmith.sources.csv_blocks import read_csv_blocks
 
 
 # The strings pandas.read_csv treats as missing by default.
@@ -38,37 +39,40 @@ def _check_names(cols: list[str]) -> None:
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Load a table.  CSV gets pandas-compatible NA handling and type inference;
-    parquet keeps its own schema and values.  A CSV with line breaks inside
-    quoted fields is read file by file; any other is split."""
+    parquet keeps its own schema and values.  Files are split over many tasks,
+    also where quoted fields hold line breaks (``csv_blocks``)."""
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     if fmt == "parquet":
         return read_parquet(spark, path)
-    # quotes inside quoted fields are doubled ("") as in pandas / RFC 4180
-    header = spark.read.option("header", False).option("escape", '"').csv(path).first()   # one row
-    if header is not None:
-        _check_names([str(v) for v in header])   # Spark would silently rename duplicates
     # a line with an odd number of quotes opens or closes a field with a line break in it
     broken = spark.read.text(path).filter(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1)
-    raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
-           .option("multiLine", not broken.isEmpty())
-           .option("mode", "PERMISSIVE").option("nullValue", None).csv(path))
+    if broken.isEmpty():
+        # quotes inside quoted fields are doubled ("") as in pandas / RFC 4180
+        header = spark.read.option("header", False).option("escape", '"').csv(path).first()   # one row
+        if header is not None:
+            _check_names([str(v) for v in header])   # Spark would silently rename duplicates
+        raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+               .option("mode", "PERMISSIVE").option("nullValue", None).csv(path))
+    else:
+        raw = read_csv_blocks(spark, path)
+        _check_names(raw.columns)
     tokens = F.array(*[F.lit(t) for t in NA_TOKENS])
     cleaned = raw.select([
-        F.when(F.col(c).isNull() | F.array_contains(tokens, F.col(c)), F.lit(None))
-         .otherwise(F.col(c)).alias(c) for c in raw.columns])
+        F.when(col(c).isNull() | F.array_contains(tokens, col(c)), F.lit(None))
+         .otherwise(col(c)).alias(c) for c in raw.columns])
     infer = _infer_types(cleaned)
     out = []
     for c in cleaned.columns:
         t = infer[c]
         if t == "long":
-            out.append(F.col(c).cast("long").alias(c))
+            out.append(col(c).cast("long").alias(c))
         elif t == "double":
-            out.append(F.col(c).cast("double").alias(c))
+            out.append(col(c).cast("double").alias(c))
         elif t == "boolean":
-            out.append(F.when(F.col(c).isin(TRUE_TOKENS), F.lit(True))
-                        .when(F.col(c).isin(FALSE_TOKENS), F.lit(False)).alias(c))
+            out.append(F.when(col(c).isin(TRUE_TOKENS), F.lit(True))
+                        .when(col(c).isin(FALSE_TOKENS), F.lit(False)).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(col(c))
     return cleaned.select(out)
 
 
@@ -80,11 +84,11 @@ _NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infi
 def _infer_types(df: DataFrame) -> dict[str, str]:
     aggs = []
     for i, c in enumerate(df.columns):
-        col = F.col(c)
-        aggs += [F.count(col).alias(f"n{i}"),
-                 F.count(F.when(col.rlike(_INTEGER), F.expr(f"try_cast(`{c}` AS BIGINT)"))).alias(f"l{i}"),
-                 F.count(F.when(col.rlike(_NUMBER), F.expr(f"try_cast(`{c}` AS DOUBLE)"))).alias(f"d{i}"),
-                 F.count(F.when(col.isin(TRUE_TOKENS + FALSE_TOKENS), 1)).alias(f"b{i}")]
+        x = col(c)
+        aggs += [F.count(x).alias(f"n{i}"),
+                 F.count(F.when(x.rlike(_INTEGER), x.try_cast("bigint"))).alias(f"l{i}"),
+                 F.count(F.when(x.rlike(_NUMBER), x.try_cast("double"))).alias(f"d{i}"),
+                 F.count(F.when(x.isin(TRUE_TOKENS + FALSE_TOKENS), 1)).alias(f"b{i}")]
     row = df.agg(*aggs).first()
     types = {}
     for i, c in enumerate(df.columns):
