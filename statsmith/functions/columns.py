@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 TMP = "__sm_"
 
 
-def col(name: str) -> Column:
+def column(name: str) -> Column:
     """The column of that literal name: dots, blanks and backticks are part of
     it.  Every operator reads user columns through this helper."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statsmith.functions.columns import (TMP, dbl, numeric_columns, present, require_columns,
+from statsmith.functions.columns import (TMP, column, dbl, numeric_columns, present, require_columns,
                                          require_numeric, safe_div)
 from statsmith.operators import ordered
 
@@ -185,8 +185,50 @@ def _pairwise_wide(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def scree_data(variance: DataFrame) -> DataFrame:
-    """Component number vs eigenvalue, with the reference line at 1."""
-    return variance.select("component", "eigenvalue", F.lit(1.0).alias("reference"))
+    """Component or factor vs its eigenvalue (a factor's variance), with the
+    reference line at 1."""
+    of = "eigenvalue" if "eigenvalue" in variance.columns else "variance"
+    return variance.select("component", F.col(of).alias("eigenvalue"), F.lit(1.0).alias("reference"))
+
+
+def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
+    """E5, binned: ``x_bin, y_bin, x_low, y_low, count`` of the cells of a grid
+    over the ranges of x and y that hold points (pairs with both values); the
+    last bin of each axis is closed, an axis of one value has the single bin 0.
+    One pass for the ranges, one for the counts."""
+    if bins < 1:
+        raise ValueError("bins must be at least 1")
+    pairs = df.select(dbl(column(x)).alias("x"), dbl(column(y)).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    r = pairs.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    def cell(name):
+        low, high = r[f"{name}0"], r[f"{name}1"]
+        if low is None or low == high:
+            return F.lit(0).cast("int")
+        return F.least(F.floor((F.col(name) - F.lit(low)) / F.lit((high - low) / bins)), F.lit(bins - 1)).cast("int")
+    def low(name):
+        lo, hi = r[f"{name}0"], r[f"{name}1"]
+        return F.lit(lo).cast("double") + F.col(f"{name}_bin") * F.lit(0.0 if lo is None else (hi - lo) / bins)
+    counts = pairs.groupBy(cell("x").alias("x_bin"), cell("y").alias("y_bin")).count()
+    return counts.select("x_bin", "y_bin", low("x").alias("x_low"), low("y").alias("y_low"), "count")
+
+
+def line_buckets(df: DataFrame, x: str, y: str, buckets: int = 200) -> DataFrame:
+    """E6, bucketed: for each of ``buckets`` equal ranges of x that holds
+    points, ``bucket, points, first_x, first_y, last_x, last_y, low_y, high_y``:
+    the y at the lowest and highest x (of equal x the lowest and highest y) and
+    the extremes of y, which is what a line of that width can show."""
+    if buckets < 1:
+        raise ValueError("buckets must be at least 1")
+    pairs = df.select(dbl(column(x)).alias("x"), dbl(column(y)).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    r = pairs.agg(F.min("x").alias("x0"), F.max("x").alias("x1")).first()
+    b = F.lit(0).cast("int")
+    if r["x0"] is not None and r["x0"] != r["x1"]:
+        b = F.least(F.floor((F.col("x") - F.lit(r["x0"])) / F.lit((r["x1"] - r["x0"]) / buckets)), F.lit(buckets - 1)).cast("int")
+    p = F.struct("x", "y")
+    return (pairs.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("points"), F.min(p).alias("f"), F.max(p).alias("l"),
+                                                F.min("y").alias("low_y"), F.max("y").alias("high_y"))
+            .select("bucket", "points", F.col("f.x").alias("first_x"), F.col("f.y").alias("first_y"), F.col("l.x").alias("last_x"),
+                    F.col("l.y").alias("last_y"), "low_y", "high_y"))
 
 
 def residual_data(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

@@ -28,6 +28,9 @@ class Reduction:
     scores: DataFrame          # input frame with PC*/Factor* columns appended
     loadings_matrix: np.ndarray
     values: np.ndarray
+    correlation: np.ndarray | None = None      # of the factors; None when they are uncorrelated
+    structure: np.ndarray | None = None        # correlations of variables and factors
+    uniqueness: np.ndarray | None = None
 
 
 def _check(df: DataFrame, cols: list[str], k: int) -> None:
@@ -117,18 +120,24 @@ def quartimax(L: np.ndarray) -> np.ndarray:
     return _varimax_like(L, 0.0)
 
 
-def promax(L: np.ndarray, power: int = 4) -> np.ndarray:
+def promax(L: np.ndarray, power: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """H5: oblique promax (Hendrickson & White 1964): varimax, then a least
-    squares fit to the powered target; returns pattern loadings."""
+    squares fit to the powered target.  Returns the pattern P = V T and the
+    correlation of the factors Phi = (T'T)^-1, so P Phi P' = L L'; T is scaled
+    to factors of variance 1."""
     V = varimax(L)
     Q = np.sign(V) * np.abs(V) ** power
-    M = np.linalg.solve(V.T @ V, V.T @ Q)
-    d = np.sqrt(np.diag(np.linalg.inv(M.T @ M)))
-    return V @ (M * d)
+    M = np.linalg.lstsq(V, Q, rcond=None)[0]
+    T = M * np.sqrt(np.diag(np.linalg.inv(M.T @ M)))
+    return V @ T, np.linalg.inv(T.T @ T)
 
 
-ROTATIONS = {"varimax": varimax, "quartimax": quartimax, "promax": promax, None: lambda L: L,
-             "none": lambda L: L}
+def _plain(rotate):
+    return lambda L: (rotate(L), np.eye(L.shape[1]))
+
+
+ROTATIONS = {"varimax": _plain(varimax), "quartimax": _plain(quartimax), "promax": promax, None: _plain(lambda L: L),
+             "none": _plain(lambda L: L)}
 
 
 def fa_fit(R: np.ndarray, n: int, k: int, tol: float = 1e-2, max_iter: int = 1000) -> tuple[np.ndarray, np.ndarray]:
@@ -158,18 +167,28 @@ def factor_analysis(df: DataFrame, cols: list[str], k: int = 2, rotation: str |
     """H2: ML factor analysis of standardised complete rows, optional rotation
     (varimax, quartimax, promax).  Variance of each factor = population
     variance of its scores = diag(A^T R A); ratio = variance / p (the
-    reference's definition: share of the total standardised variance)."""
+    reference's definition: share of the total standardised variance).  Scores
+    are posterior means, A = Psi^-1 P (Phi^-1 + P' Psi^-1 P)^-1, where Phi is
+    the correlation of oblique factors and the identity for the others.  A
+    constant variable has loadings 0 and takes no part in the fit."""
     _check(df, cols, k)
     if rotation not in ROTATIONS:
         raise ValueError(f"rotation must be one of {list(ROTATIONS)}")
     g = gram(df, cols)
-    R = g.corr
+    at = np.flatnonzero(g.std > 0)
+    if len(at) < max(2, k):
+        raise ValueError(f"{k} factors need {max(2, k)} variables that vary; {len(at)} do")
+    R = g.corr[np.ix_(at, at)]
     W, psi = fa_fit(R, g.n, k)
-    L = _fix_signs(ROTATIONS[rotation](W.T))          # p x k
-    Wr = L.T
-    Wpsi = Wr / psi
-    A = Wpsi.T @ np.linalg.inv(np.eye(k) + Wpsi @ Wr.T)  # p x k score weights
-    v = np.diag(A.T @ R @ A)
+    P, phi = ROTATIONS[rotation](W.T)
+    signed = _fix_signs(P)
+    flip = np.where((signed * P).sum(axis=0) < 0, -1.0, 1.0)
+    P, phi = signed, phi * np.outer(flip, flip)
+    weighted = P / psi[:, None]
+    weights = weighted @ np.linalg.inv(np.linalg.inv(phi) + P.T @ weighted)
+    v = np.diag(weights.T @ R @ weights)
+    L, A, uniqueness = np.zeros((len(cols), k)), np.zeros((len(cols), k)), np.ones(len(cols))
+    L[at], A[at], uniqueness[at] = P, weights, psi
     p = len(cols)
     names = [f"Factor{j + 1}" for j in range(k)]
     ratio = v / p * 100.0
@@ -177,4 +196,5 @@ def factor_analysis(df: DataFrame, cols: list[str], k: int = 2, rotation: str |
         [(names[j], float(v[j]), float(ratio[j]), float(ratio[:j + 1].sum())) for j in range(k)],
         "component string, variance double, variance_pct double, cumulative_pct double")
     scores = append_derived(df, _score_exprs(g, A, names), cols)
-    return Reduction("fa", _loadings_frame(df, cols, L, names), var, scores, L, v)
+    return Reduction("fa", _loadings_frame(df, cols, L, names), var, scores, L, v,
+                     correlation=phi if rotation == "promax" else None, structure=L @ phi, uniqueness=uniqueness)

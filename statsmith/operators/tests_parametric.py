@@ -26,6 +26,14 @@ def _fnan(x):
     return None if x is None or (isinstance(x, float) and math.isnan(x)) else float(x)
 
 
+def _ratio(effect: float, spread: float) -> float:
+    """effect / spread; without spread an effect is infinite (p = 0), and no
+    effect is undefined."""
+    if spread and spread > 0:
+        return effect / spread
+    return math.copysign(math.inf, effect) if spread == 0 and effect else float("nan")
+
+
 def _two_group_moments(df: DataFrame, group: str, value: str):
     require_columns(df, [group])
     require_numeric(df, [value])
@@ -41,14 +49,16 @@ def _two_group_moments(df: DataFrame, group: str, value: str):
 
 def ttest_ind(df: DataFrame, group: str, value: str) -> DataFrame:
     """G1: pooled-variance two-sample t test, two-sided.  Group 1 is the
-    smaller level (the reference takes the first level seen in row order)."""
+    smaller level (the reference takes the first level seen in row order).
+    Without variance inside the groups t is infinite with p = 0 if the means
+    differ, and NULL if they agree."""
     g1, g2 = _two_group_moments(df, group, value)
     n1, n2 = g1["n"], g2["n"]
     dfree = n1 + n2 - 2
     sp2 = ((n1 - 1) * (g1["v"] or 0.0) + (n2 - 1) * (g2["v"] or 0.0)) / dfree if dfree > 0 else float("nan")
     se = math.sqrt(sp2 * (1.0 / n1 + 1.0 / n2)) if dfree > 0 else float("nan")
-    t = (g1["m"] - g2["m"]) / se if se and se > 0 else float("nan")
-    p = dist.t_sf_two_sided(t, dfree)
+    t = _ratio(g1["m"] - g2["m"], se)
+    p = 0.0 if math.isinf(t) else dist.t_sf_two_sided(t, dfree)
     return _frame(df.sparkSession, dict(
         group1=str(g1[group]), group2=str(g2[group]), n1=n1, n2=n2, mean1=g1["m"], mean2=g2["m"],
         t_statistic=_fnan(t), df=float(dfree), p_value=_fnan(p),
@@ -81,8 +91,8 @@ def ttest_rel(df: DataFrame, group: str, value: str, pair_key: str) -> DataFrame
     if r["dup"] is not None and r["dup"] > 1:
         raise ValueError(f"{pair_key} is not unique within a group")
     n, m, s = r["n"], r["m"], r["s"]
-    t = m / (s / math.sqrt(n)) if (n and n > 1 and s) else float("nan")
-    p = dist.t_sf_two_sided(t, n - 1) if n and n > 1 else float("nan")
+    t = _ratio(m, s / math.sqrt(n)) if n and n > 1 else float("nan")
+    p = 0.0 if math.isinf(t) else dist.t_sf_two_sided(t, n - 1) if n and n > 1 else float("nan")
     return _frame(df.sparkSession, dict(
         group1=str(l1), group2=str(l2), n_pairs=n, mean_diff=_fnan(m), t_statistic=_fnan(t),
         df=float(n - 1) if n else None, p_value=_fnan(p),
@@ -111,8 +121,8 @@ def anova_oneway(df: DataFrame, group: str, value: str) -> DataFrame:
                 F.sum((F.col("n") - 1) * F.coalesce(F.col("v"), F.lit(0.0))).alias("ssw")).first()
     ssb, ssw = ss["ssb"], ss["ssw"]
     d1, d2 = k - 1, N - k
-    f = (ssb / d1) / (ssw / d2) if d2 > 0 and ssw > 0 else float("nan")
-    p = dist.f_sf(f, d1, d2) if not math.isnan(f) else float("nan")
+    f = _ratio(ssb / d1, ssw / d2) if d2 > 0 else float("nan")
+    p = 0.0 if math.isinf(f) else dist.f_sf(f, d1, d2) if not math.isnan(f) else float("nan")
     return _frame(df.sparkSession, dict(
         k=k, n=N, ss_between=ssb, ss_within=ssw, df_between=float(d1), df_within=float(d2),
         f_statistic=_fnan(f), p_value=_fnan(p), significant=(p < ALPHA) if not math.isnan(p) else None),

@@ -1073,6 +1073,75 @@ def q_scree(spark, d):
     return R(chartdata.scree_data(res.variance))
 
 
+@query("scatter_bins_lineitem", """
+WITH r AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lineitem),
+b AS (SELECT least(floor((l_quantity - x0) / ((x1 - x0) / 20)), 19)::INTEGER AS x_bin,
+             least(floor((l_extendedprice - y0) / ((y1 - y0) / 20)), 19)::INTEGER AS y_bin FROM lineitem, r)
+SELECT x_bin, y_bin, round(any_value(x0) + x_bin * any_value((x1 - x0) / 20), 6) AS x_low,
+       round(any_value(y0) + y_bin * any_value((y1 - y0) / 20), 6) AS y_low, count(*) AS count FROM b, r GROUP BY x_bin, y_bin""")
+def q_scatter_bins(spark, d):
+    return R(chartdata.scatter_bins(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 20))
+
+
+@query("line_buckets_events", """
+WITH r AS (SELECT min(event_id)::DOUBLE AS x0, max(event_id)::DOUBLE AS x1 FROM events),
+b AS (SELECT least(floor((event_id::DOUBLE - x0) / ((x1 - x0) / 40)), 39)::INTEGER AS bucket, event_id::DOUBLE AS x, value AS y FROM events, r)
+SELECT bucket, count(*) AS points, round(min(x), 6) AS first_x, round(arg_min(y, x), 6) AS first_y, round(max(x), 6) AS last_x,
+       round(arg_max(y, x), 6) AS last_y, round(min(y), 6) AS low_y, round(max(y), 6) AS high_y FROM b GROUP BY bucket""")
+def q_line_buckets(spark, d):
+    return R(chartdata.line_buckets(table(spark, d, "events"), "event_id", "value", 40))
+
+
+def _flat_groups(spark, d):
+    return table(spark, d, "lineitem").select("l_linestatus", (F.col("l_linestatus") == "O").cast("double").alias("v"))
+
+
+@query("ttest_no_variance", """
+SELECT min(l_linestatus) AS group1, max(l_linestatus) AS group2, CAST('-infinity' AS DOUBLE) AS t_statistic, 0.0::DOUBLE AS p_value,
+       TRUE AS significant FROM lineitem""")
+def q_ttest_no_variance(spark, d):
+    """G1 with no variance inside the groups."""
+    return tests_parametric.ttest_ind(_flat_groups(spark, d), "l_linestatus", "v").select(
+        "group1", "group2", "t_statistic", "p_value", "significant")
+
+
+@query("anova_no_variance", """
+SELECT count(DISTINCT l_linestatus) AS k, count(*) AS n, CAST('infinity' AS DOUBLE) AS f_statistic, 0.0::DOUBLE AS p_value FROM lineitem""")
+def q_anova_no_variance(spark, d):
+    """G3 with no variance inside the groups."""
+    return tests_parametric.anova_oneway(_flat_groups(spark, d), "l_linestatus", "v").select("k", "n", "f_statistic", "p_value")
+
+
+def _with_constant(spark, d):
+    return table(spark, d, "part").select("p_partkey", "p_retailprice", F.lit(7.0).alias("flat"))
+
+
+@query("kmo_constant_column", """
+SELECT * FROM (VALUES ('p_partkey', 0.5::DOUBLE, 'Miserable'), ('p_retailprice', 0.5, 'Miserable'), ('flat', NULL, 'undefined'),
+                      ('__overall__', 0.5, 'Miserable')) t(variable, msa, interpretation)""")
+def q_kmo_constant(spark, d):
+    """A constant variable is undefined, two others always measure 0.5."""
+    out = R(multivariate.kmo(_with_constant(spark, d), ["p_partkey", "p_retailprice", "flat"]))
+    return out.withColumn("interpretation", F.when(F.col("msa") == 0.5, "Miserable").otherwise(F.col("interpretation")))
+
+
+@query("bartlett_constant_column", """
+SELECT count(*) AS n, 3 AS n_vars, NULL::DOUBLE AS chi2, 'undefined: flat does not vary' AS verdict FROM part""")
+def q_bartlett_constant(spark, d):
+    return multivariate.bartlett_sphericity(_with_constant(spark, d), ["p_partkey", "p_retailprice", "flat"]).select(
+        "n", "n_vars", "chi2", "verdict")
+
+
+@query("fa_constant_column", """
+SELECT 'flat' AS variable, 0.0::DOUBLE AS loading, 3 AS variables FROM part LIMIT 1""")
+def q_fa_constant(spark, d):
+    """H2: a constant variable loads on nothing."""
+    df = table(spark, d, "part").select("p_partkey", "p_retailprice", "p_size", F.lit(7.0).alias("flat"))
+    r = reduce.factor_analysis(df, ["p_partkey", "p_retailprice", "p_size", "flat"], 1, None)
+    return R(r.loadings.filter("variable = 'flat'").select("variable", F.col("Factor1").alias("loading"),
+                                                           F.lit(r.loadings.filter("variable <> 'flat'").count()).alias("variables")))
+
+
 @query("stats_beside_kruskal", """
 SELECT 'event_type' AS group_variable, event_type AS level, count(value) AS count, round(avg(value), 6) AS mean,
        round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max

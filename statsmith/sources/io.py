@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statsmith.functions.columns import col, python_float_text
+from statsmith.functions.columns import column, python_float_text
 from statsmith.sources.csv_blocks import read_csv_blocks
 
 
@@ -58,21 +58,21 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
         _check_names(raw.columns)
     tokens = F.array(*[F.lit(t) for t in NA_TOKENS])
     cleaned = raw.select([
-        F.when(col(c).isNull() | F.array_contains(tokens, col(c)), F.lit(None))
-         .otherwise(col(c)).alias(c) for c in raw.columns])
+        F.when(column(c).isNull() | F.array_contains(tokens, column(c)), F.lit(None))
+         .otherwise(column(c)).alias(c) for c in raw.columns])
     infer = _infer_types(cleaned)
     out = []
     for c in cleaned.columns:
         t = infer[c]
         if t == "long":
-            out.append(col(c).cast("long").alias(c))
+            out.append(column(c).cast("long").alias(c))
         elif t == "double":
-            out.append(col(c).cast("double").alias(c))
+            out.append(column(c).cast("double").alias(c))
         elif t == "boolean":
-            out.append(F.when(col(c).isin(TRUE_TOKENS), F.lit(True))
-                        .when(col(c).isin(FALSE_TOKENS), F.lit(False)).alias(c))
+            out.append(F.when(column(c).isin(TRUE_TOKENS), F.lit(True))
+                        .when(column(c).isin(FALSE_TOKENS), F.lit(False)).alias(c))
         else:
-            out.append(col(c))
+            out.append(column(c))
     return cleaned.select(out)
 
 
@@ -84,7 +84,7 @@ _NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infi
 def _infer_types(df: DataFrame) -> dict[str, str]:
     aggs = []
     for i, c in enumerate(df.columns):
-        x = col(c)
+        x = column(c)
         aggs += [F.count(x).alias(f"n{i}"),
                  F.count(F.when(x.rlike(_INTEGER), x.try_cast("bigint"))).alias(f"l{i}"),
                  F.count(F.when(x.rlike(_NUMBER), x.try_cast("double"))).alias(f"d{i}"),
