@@ -13,8 +13,9 @@ interpolation) goes through the two tools in this module instead:
   global row position, computed per range partition and stitched together
   through a frame with one row per (key, partition).
 
-Both use ``repartitionByRange`` + ``spark_partition_id``; per-partition totals
-or carries form a frame whose size is bounded by partitions x keys, a window
+The value table uses ``repartitionByRange`` + ``spark_partition_id`` and is
+stored; the row lookups number their ranges by an expression and store nothing.
+Per-partition totals or carries form a frame whose size is bounded by partitions x keys, a window
 over that small frame gives offsets, and a join brings them back.  A key that
 holds a third of the rows simply spans many range partitions.
 """
@@ -55,6 +56,31 @@ def _range_tagged(df: DataFrame, sort_cols: list[str], P: int) -> DataFrame:
     return df.repartitionByRange(P, *sort_cols).withColumn(_PID, F.spark_partition_id())
 
 
+def _range_number(df: DataFrame, cols: list[str], P: int) -> Column:
+    """Number of the range that a row's ``cols`` fall into, as a plain
+    expression over split points that one job over these columns alone finds
+    (the least row of each of ``P`` range partitions).  It gives the same
+    number in every plan and after the loss of executors, so nothing has to be
+    stored for it; how good the split points are only shifts the balance."""
+    key = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(cols)])
+    least = (df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(cols)]).repartitionByRange(P, *[f"k{i}" for i in range(len(cols))])
+             .groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*[f"k{i}" for i in range(len(cols))])).alias("m")))
+    splits = [r["m"] for r in least.orderBy("p").collect()][1:]               # P rows
+    types = [df.schema[c].dataType for c in cols]
+
+    def literal(m):
+        return F.struct(*[F.lit(v if not hasattr(v, "isoformat") else str(v)).cast(t).alias(f"k{i}")
+                          for i, (v, t) in enumerate(zip(m, types, strict=True))])
+
+    def search(lo, hi):                            # splits[lo:hi] are undecided: log2(P) comparisons a row
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key >= literal(splits[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return search(0, len(splits))
+
+
 def _join_small(big: DataFrame, small: DataFrame, on: list[str], bounded: bool) -> DataFrame:
     """Join the per-(key, partition) frame back.  It is broadcast explicitly only
     when its size is bounded by the partition count (no keys); otherwise the
@@ -284,7 +310,11 @@ def _k(pos: Column, val: Column) -> Column:
 def neighbours(df: DataFrame, col: str, order_by: list[str] | str,
                partition_by: list[str] | str = (), num_partitions: int | None = None,
                sides: tuple = ("prev", "next")) -> DataFrame:
-    """Add, for every row, its global 1-based position ``__sm_pos`` inside its
+    """Nothing is stored: the ranges are a plain expression of the order key, the
+    summary of the ranges reads the key, the order and the value only, and the
+    rows are shuffled once.
+
+    Add, for every row, its global 1-based position ``__sm_pos`` inside its
     partition key and structs ``(p, v)`` for the previous two and next two
     rows holding a non-NULL ``col`` (``__sm_p1, __sm_p2, __sm_n1, __sm_n2``).
 
@@ -297,7 +327,8 @@ def neighbours(df: DataFrame, col: str, order_by: list[str] | str,
     keys = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     require_columns(df, [col, *order_by, *keys])
     P = _parts(df, num_partitions)
-    r = _range_tagged(df, [*keys, *order_by], P)
+    # a few ranges for each task, so that hashing them over the tasks evens out
+    r = df.withColumn(_PID, _range_number(df, [*keys, *order_by], P if num_partitions else 4 * P))
     w = Window.partitionBy(*keys, _PID).orderBy(*order_by)
     # "next known" lookups run over the reversed order with a growing frame:
     # Spark evaluates (UNBOUNDED PRECEDING, -1) incrementally, whereas a
@@ -324,10 +355,6 @@ def neighbours(df: DataFrame, col: str, order_by: list[str] | str,
     is_last, is_first = F.col(rn) == F.col(TMP + "np"), F.col(rn) == 1
     r = (r.withColumn(TMP + "e_last", F.when(is_last, F.coalesce(pair_prev, F.col(TMP + "lp"))))
           .withColumn(TMP + "e_first", F.when(is_first, F.coalesce(pair_next, F.col(TMP + "ln")))))
-    # one job computes partition ids and all window columns; both branches
-    # below (per-partition summary and row lookups) read the stored result
-    r = _materialize(r)
-
     # One row per (key, partition): size, last two and first two known rows,
     # aggregated from the (at most) two edge rows of each partition.
     meta = (r.where(is_last | is_first).groupBy(*keys, _PID)
