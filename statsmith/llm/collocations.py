@@ -85,7 +85,7 @@ def coded(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                  pa.array(words, pa.binary()).cast(pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64()),
                  pa.array(binary, pa.binary())], names=["kind", "lang", "word", "code", "n", "codes"])
 
-        for b in batches:
+        for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in steps(texts, 1000, 1_000_000):
                 by: dict[str, list[bytes]] = {}

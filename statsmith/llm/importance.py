@@ -19,6 +19,7 @@ from statsmith.llm.probminhash import word_hashes
 from statsmith.llm.token_ids import steps
 
 SLOTS = 1 << 14                       # hashed n-grams
+EQUAL_ROWS = 10_000                   # equal rows of a block
 U = np.uint64
 
 
@@ -65,7 +66,7 @@ def log_ratios(counts, smooth: float = 1.0) -> np.ndarray:
 
 
 def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """``doc_id, n_grams, log_weight`` of each whole text."""
+    """``doc_id, text_hash, n_grams, log_weight`` of each whole text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(ratios)            # SLOTS numbers
 
@@ -75,10 +76,26 @@ def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             for lo, hi in steps(texts):
                 doc, slot = ngram_slots(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(np.bincount(doc, minlength=hi - lo)),
-                     pa.array(np.bincount(doc, held.value[slot], hi - lo))], names=["doc_id", "n_grams", "log_weight"])
+                    [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(np.bincount(doc, minlength=hi - lo)),
+                     pa.array(np.bincount(doc, held.value[slot], hi - lo))], names=["doc_id", "text_hash", "n_grams", "log_weight"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_grams long, log_weight double")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        run, f"doc_id {kind}, text_hash long, n_grams long, log_weight double")
+
+
+def drawn(weights: DataFrame, seed: int) -> DataFrame:
+    """The rows with ``draw``, a hash of id, text, seed and a number among equal
+    rows, and ``sample_key``, the log-weight with the Gumbel noise of the draw.
+    Equal rows are counted (map-side combined) and laid out again from their
+    number in blocks, so a text that holds a third of all rows is spread."""
+    same = weights.groupBy("doc_id", "text_hash", "n_grams", "log_weight").count()
+    last = ((F.col("count") - 1) / EQUAL_ROWS).cast("long")
+    blocks = same.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition("doc_id", "text_hash", "block")
+    first = F.col("block") * EQUAL_ROWS
+    rows = blocks.withColumn("number", F.explode(F.sequence(first, F.least(F.col("count"), first + EQUAL_ROWS) - 1)))
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", "text_hash", "number", F.lit(seed)))
+    uniform = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) * 2.0 ** -53
+    return rows.select("doc_id", "n_grams", "log_weight", (F.col("log_weight") - F.log(-F.log(uniform))).alias("sample_key"), "draw")
 
 
 def kth_largest(df: DataFrame, key: str, tie: str, k: int):
@@ -116,9 +133,10 @@ def resample(df: DataFrame, labels: DataFrame, share: float | None = None, seed:
     by id hash), the raw model on all documents.  ``share`` of the rows are
     kept; by default the share of good rows among the labels.  Null
     and empty texts have weight 0 (log) and no n-grams, and are never sampled.
-    Rows that share an id share the noise; ties fall to the smaller id.  An
-    empty table gives an empty result; without labels all rows with words are
-    kept.
+    Every row has noise of its own, drawn from its id, its text and a number
+    among equal rows; a null id is an id like any other; equal keys fall to the
+    smaller draw.  So exactly the asked number of rows is kept.  An empty table
+    gives an empty result; without labels all rows with words are kept.
     """
     by = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
         F.max("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
@@ -129,9 +147,7 @@ def resample(df: DataFrame, labels: DataFrame, share: float | None = None, seed:
     marked = docs.join(F.broadcast(target), "doc_id", "left").select(      # at most max_labels ids
         "doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
     ratios = log_ratios(slot_counts(marked).collect())                   # at most SLOTS rows
-    uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) * 2.0 ** -53
-    scored = stored_table(log_weights(docs, ratios).withColumn(
-        "sample_key", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
+    scored = stored_table(drawn(log_weights(docs, ratios), seed), "weights")
     rows = scored.filter("n_grams > 0")
     n, words = scored.count(), rows.count()
     share = (fine / known if known else 1.0) if share is None else share
@@ -139,7 +155,6 @@ def resample(df: DataFrame, labels: DataFrame, share: float | None = None, seed:
     if k == 0:
         kept = F.lit(False)
     else:
-        key, tie = kth_largest(rows, "sample_key", "doc_id", k)
-        same = F.lit(True) if tie is None else F.coalesce(F.col("doc_id") <= F.lit(tie), F.lit(True))
-        kept = (F.col("n_grams") > 0) & ((F.col("sample_key") > key) | ((F.col("sample_key") == key) & same))
-    return scored.withColumn("kept", kept)
+        key, tie = kth_largest(rows, "sample_key", "draw", k)
+        kept = (F.col("n_grams") > 0) & ((F.col("sample_key") > key) | ((F.col("sample_key") == key) & (F.col("draw") <= tie)))
+    return scored.withColumn("kept", kept).drop("draw")

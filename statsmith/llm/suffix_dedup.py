@@ -328,8 +328,10 @@ def compare_bucket(table, width: int):
 
 
 def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text",
-                   texts: bool = False, slice_bytes: int = SLICE, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
-    """One row per input row: ``doc_id, n_bytes, n_removed, n_spans,
+                   texts: bool = False, distinct: bool = False, slice_bytes: int = SLICE,
+                   anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
+    """One row per input row (with ``distinct``: per different id and text):
+    ``doc_id, n_bytes, n_removed, n_spans,
     kept_sha256`` and, with ``texts``, ``kept_text`` (without the bytes of a
     character that was cut apart) and ``input_sha256``.
 
@@ -417,8 +419,12 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
             np.add.at(cover, p, 1)
             np.add.at(cover, p + width, -1)
         gone = np.cumsum(cover[:-1]) > 0
-        rows = []
+        rows, seen = [], set()
         for i, t in enumerate(s.texts):
+            if distinct:                                         # rows of an id are in one slice
+                if (same := (s.ids[i], hashlib.sha256(t).digest())) in seen:
+                    continue
+                seen.add(same)
             g = gone[total[i]:total[i + 1]]
             n = int(np.count_nonzero(g))
             kept = t if not n else np.frombuffer(t, np.uint8)[~g].tobytes()
