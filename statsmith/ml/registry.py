@@ -60,16 +60,20 @@ ALLOWED = {
                                     "power_t", "max_iter", "tol", "n_iter_no_change", "epsilon",
                                     "fit_intercept", "random_state"},
     "gradient boosting": {"n_estimators", "max_depth", "learning_rate", "random_state"},
-    "xgboost": {"n_estimators", "max_depth", "learning_rate", "random_state", "reg_lambda", "gamma", "min_child_weight",
+    "xgboost": {"engine", "n_estimators", "max_depth", "learning_rate", "random_state", "reg_lambda", "gamma", "min_child_weight",
                 "max_bin"},
-    "lgbm": {"n_estimators", "max_depth", "learning_rate", "random_state", "num_leaves", "reg_lambda", "min_split_gain",
+    "lgbm": {"engine", "n_estimators", "max_depth", "learning_rate", "random_state", "num_leaves", "reg_lambda", "min_split_gain",
              "min_child_weight", "min_child_samples", "max_bin", "top_rate", "other_rate"},
     "gaussian process": {"length_scale", "n_components", "alpha", "random_state"},
 }
 
 # Library defaults the reference inherits (depth None = unbounded
 # maps to Spark's maximum of 30).
-BOOST_DEFAULTS = {"gradient boosting": (100, 3, 0.1, 32)}
+BOOST_DEFAULTS = {"gradient boosting": (100, 3, 0.1, 32), "xgboost": (100, 6, 0.3, 32),
+                  "lgbm": (100, 5, 0.1, 255)}
+# what only the second-order engine takes (``engine="second_order"``)
+SECOND_ORDER = {"reg_lambda", "gamma", "min_child_weight", "max_bin", "num_leaves", "min_split_gain", "min_child_samples",
+                "top_rate", "other_rate"}
 # the models that learn a side for missing values
 TAKES_MISSING = ("xgboost", "lgbm")
 MAX_DEPTH = 30
@@ -221,24 +225,18 @@ def _convert(name: str, task: str, params: dict, train: DataFrame, n_classes: in
                                         featureSubsetStrategy=params.get("max_features", "all"), seed=seed,
                                         **_TREE_SPEED)
         return est.fit(train)
-    if name in BOOST_DEFAULTS:
-        it, depth, rate, bins = BOOST_DEFAULTS[name]
-        it = int(params.get("n_estimators", it))
-        depth = _depth(params.get("max_depth", depth))
-        rate = float(params.get("learning_rate", rate))
-        if task == CLS:
-            gbt = GBTClassifier(maxIter=it, maxDepth=depth, stepSize=rate, maxBins=bins, seed=seed)
-            est = gbt if n_classes <= 2 else OneVsRest(classifier=gbt, parallelism=min(n_classes, 8))
-        else:
-            est = GBTRegressor(maxIter=it, maxDepth=depth, stepSize=rate, maxBins=bins, seed=seed)
-        return est.fit(train)
-    if name == "xgboost":
+    second = params.get("engine") == "second_order"
+    if params.get("engine") not in (None, "gbt", "second_order"):
+        raise ValueError("engine must be 'gbt' or 'second_order'")
+    if not second and set(params) & SECOND_ORDER:
+        raise ValueError(f"parameters {sorted(set(params) & SECOND_ORDER)} need engine='second_order'")
+    if name == "xgboost" and second:
         return fit_boosted(train, task, n_classes, rounds=int(params.get("n_estimators", 100)),
                            rate=float(params.get("learning_rate", 0.3)), grow="depth", max_depth=int(params.get("max_depth", 6)),
                            reg_lambda=float(params.get("reg_lambda", 1.0)), gamma=float(params.get("gamma", 0.0)),
                            min_child_weight=float(params.get("min_child_weight", 1.0)), max_bins=int(params.get("max_bin", 255)),
                            seed=seed)
-    if name == "lgbm":
+    if name == "lgbm" and second:
         depth = int(params.get("max_depth", -1))
         top = params.get("top_rate")
         return fit_boosted(train, task, n_classes, rounds=int(params.get("n_estimators", 100)),
@@ -248,6 +246,17 @@ def _convert(name: str, task: str, params: dict, train: DataFrame, n_classes: in
                            min_child_weight=float(params.get("min_child_weight", 1e-3)),
                            min_child_samples=int(params.get("min_child_samples", 20)), max_bins=int(params.get("max_bin", 255)),
                            top_rate=None if top is None else float(top), other_rate=float(params.get("other_rate", 0.1)), seed=seed)
+    if name in BOOST_DEFAULTS:
+        it, depth, rate, bins = BOOST_DEFAULTS[name]
+        it = int(params.get("n_estimators", it))
+        depth = _depth(params.get("max_depth", depth))
+        rate = float(params.get("learning_rate", rate))
+        if task == CLS:
+            gbt = GBTClassifier(maxIter=it, maxDepth=depth, stepSize=rate, maxBins=bins, seed=seed)
+            est = gbt if n_classes <= 2 else OneVsRest(classifier=gbt, parallelism=min(n_classes, 8))
+        else:
+            est = GBTRegressor(maxIter=it, maxDepth=depth, stepSize=rate, maxBins=bins, seed=seed)
+        return est.fit(train)
     if name == "stochastic gradient descent":
         kw = {k: v for k, v in params.items()}
         return fit_sgd(train, task, n_classes=n_classes, **kw)
@@ -304,7 +313,7 @@ def train_model(df: DataFrame, target: str, model: str, task: str, features: lis
                 key: str | list[str] | None = None) -> TrainedModel:
     """Full path of the reference's Train button, as Spark jobs."""
     keys = [key] if isinstance(key, str) else list(key or [])
-    prep = prepare(df, target, task, features, keep=keys, missing="keep" if model in TAKES_MISSING else "error")
+    prep = prepare(df, target, task, features, keep=keys, missing="keep" if model in TAKES_MISSING and (params or {}).get("engine") == "second_order" else "error")
     split_key = keys or [*prep.feature_names, target]
     train, test = train_test_split(prep.frame, test_size, seed, key=split_key)
     m = fit(train, model, task, params)
