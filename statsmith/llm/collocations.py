@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statsmith.llm.common import fresh_dir, quoted, stored_table
+from statsmith.llm.common import arrow_batches, fresh_dir, quoted, stored_table
 from statsmith.llm.token_ids import steps
 
 LONGEST = 5
@@ -37,6 +37,7 @@ CHUNK = 1_000_000                     # hashes sent to the tasks at once (8 MB)
 WORDS_HELD = 150_000                  # distinct words a task remembers before it sends their counts
 ROW_CODES = 1 << 15                   # words of a stored row
 STEP_CODES = 1 << 18                  # words counted together
+BATCH = "4m"                          # bytes of rows sent to a Python worker at once
 FILTER_BITS = 1 << 24                 # slots of the filter of frequent words (2 MB)
 BOUND_STEPS = 4                       # steps of a bound for each factor of two
 SHARES = (1 / 8, 1.0)                 # of all frequent occurrences, at the end of each wave
@@ -347,37 +348,38 @@ def mine(df: DataFrame, top: int = 2000, min_count: int = 100, lang_col: str = "
     found) for each wave.
     """
     spark = df.sparkSession
-    path = fresh_dir(spark, "coded")
-    coded(df, lang_col, text_col).write.partitionBy("kind").parquet(path)
-    schema = "lang string, word string, code long, n long, codes binary, kind string"
-    parts = spark.read.schema(schema).parquet(path)
-    total, words = frequent_words(parts.filter("kind = 'word'"), min_count)
-    codes = stored_table(without_rare(parts.filter("kind = 'codes'"), word_filter(words)), "codes")
-    zero = F.lit(0).cast("long")
-    first = words.select("lang", F.col("code").alias("w1"), *[zero.alias(p) for p in PARTS[1:]], "f", "bound",
-                         F.floor(F.log2(F.col("bound").cast("double")) * BOUND_STEPS).cast("int").alias("step"))
-    counts = first.select("lang", *PARTS, "f")
-    schema = f"lang string, {', '.join(f'{p} long' for p in PARTS)}, a long, l long, r long, n long, score long, survives boolean"
-    results = spark.createDataFrame([], schema)
-    floor = spark.createDataFrame([], "lang string, least long")
-    for high, low in wave_bounds(first):
-        front = first.filter(F.col("step").between(low, high)).join(F.broadcast(floor), "lang", "left")    # a row a language
-        front = front.filter(F.col("least").isNull() | (F.col("bound") >= F.col("least"))).drop("least")
-        grown, found = front, []
-        for length in range(2, LONGEST + 1):
-            grown = counted(codes, grown, length - 1, length, min_count)
-            found.append(grown)
-            if grown.isEmpty():
-                break
-        new = found[0]
-        for f in found[1:]:
-            new = new.unionByName(f)
-        counts = counts.unionByName(new.select("lang", *PARTS, F.col("a").alias("f")))
-        counts = missing_parts(codes, new, counts)
-        results = results.unionByName(stored_table(scored(new, counts, total), "scored"))
-        floor = stored_table(settled(results, top), "floor")
-        if report is not None:
-            report.append((high, low, front.count(), new.count()))
+    with arrow_batches(spark, BATCH):
+        path = fresh_dir(spark, "coded")
+        coded(df, lang_col, text_col).write.partitionBy("kind").parquet(path)
+        schema = "lang string, word string, code long, n long, codes binary, kind string"
+        parts = spark.read.schema(schema).parquet(path)
+        total, words = frequent_words(parts.filter("kind = 'word'"), min_count)
+        codes = stored_table(without_rare(parts.filter("kind = 'codes'"), word_filter(words)), "codes")
+        zero = F.lit(0).cast("long")
+        first = words.select("lang", F.col("code").alias("w1"), *[zero.alias(p) for p in PARTS[1:]], "f", "bound",
+                             F.floor(F.log2(F.col("bound").cast("double")) * BOUND_STEPS).cast("int").alias("step"))
+        counts = first.select("lang", *PARTS, "f")
+        schema = f"lang string, {', '.join(f'{p} long' for p in PARTS)}, a long, l long, r long, n long, score long, survives boolean"
+        results = spark.createDataFrame([], schema)
+        floor = spark.createDataFrame([], "lang string, least long")
+        for high, low in wave_bounds(first):
+            front = first.filter(F.col("step").between(low, high)).join(F.broadcast(floor), "lang", "left")    # a row a language
+            front = front.filter(F.col("least").isNull() | (F.col("bound") >= F.col("least"))).drop("least")
+            grown, found = front, []
+            for length in range(2, LONGEST + 1):
+                grown = counted(codes, grown, length - 1, length, min_count)
+                found.append(grown)
+                if grown.isEmpty():
+                    break
+            new = found[0]
+            for f in found[1:]:
+                new = new.unionByName(f)
+            counts = counts.unionByName(new.select("lang", *PARTS, F.col("a").alias("f")))
+            counts = missing_parts(codes, new, counts)
+            results = results.unionByName(stored_table(scored(new, counts, total), "scored"))
+            floor = stored_table(settled(results, top), "floor")
+            if report is not None:
+                report.append((high, low, front.count(), new.count()))
     return ranked(results, floor, parts.filter("kind = 'word'").select("lang", "code", "word"), top)
 
 

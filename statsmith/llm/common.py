@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,20 @@ def stored_table(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str):
+    """Jobs started inside send at most about ``size`` bytes to a Python worker
+    at once (never less than a row); the session's own bound comes back after.
+    For rows of some hundred kB, of which the usual 10,000 do not fit."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def open_fs(uri: str):
     """(file system, path) for a folder URI or plain absolute path; used
     inside tasks for file formats that Spark itself does not write."""

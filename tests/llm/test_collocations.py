@@ -5,9 +5,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from statsmith.llm import collocations
+from statsmith.llm.common import arrow_batches
 
 
 def brute_force(rows, top, min_count):
@@ -110,3 +113,19 @@ def test_a_shared_hash_raises(spark, monkeypatch):
     monkeypatch.setattr(collocations, "word_code", lambda w: len(w))
     with pytest.raises(ValueError, match="share"):
         collocations.mine(frame(spark, [("en", "aa bb " * 30)]), min_count=5)
+
+
+def test_wide_rows_reach_workers_in_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    rows = spark.range(64, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 18).alias("wide"))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with arrow_batches(spark, "4m"):
+        assert max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect()) <= 17
+    assert spark.conf.get(name) == before
+    with pytest.raises(ZeroDivisionError), arrow_batches(spark, "4m"):
+        raise ZeroDivisionError
+    assert spark.conf.get(name) == before
