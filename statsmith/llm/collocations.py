@@ -29,15 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statsmith.llm.common import arrow_batches, fresh_dir, quoted, stored_table
+from statsmith.llm.common import fresh_dir, quoted, small_batches, stored_table
 from statsmith.llm.token_ids import steps
 
 LONGEST = 5
 CHUNK = 1_000_000                     # hashes sent to the tasks at once (8 MB)
 WORDS_HELD = 150_000                  # distinct words a task remembers before it sends their counts
-ROW_CODES = 1 << 15                   # words of a stored row
+ROW_CODES = 1 << 12                   # words of a stored row (32 kB; a Parquet page holds 100 rows at least)
 STEP_CODES = 1 << 18                  # words counted together
 BATCH = "4m"                          # bytes of rows sent to a Python worker at once
+BATCH_ROWS = 256                      # rows read from Parquet at once
+OUT_ROWS = 1 << 15                    # counted windows sent back at once
 FILTER_BITS = 1 << 24                 # slots of the filter of frequent words (2 MB)
 BOUND_STEPS = 4                       # steps of a bound for each factor of two
 SHARES = (1 / 8, 1.0)                 # of all frequent occurrences, at the end of each wave
@@ -102,11 +104,13 @@ def coded(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                     n[:len(have)] += have
                     counts[lang] = n
                     ends = np.flatnonzero(at == 0)
-                    start = 0
+                    start, blocks = 0, []
                     while start < len(at):          # a row ends where a piece ends
                         k = min(len(ends) - 1, int(np.searchsorted(ends, start + ROW_CODES)))
-                        yield rows("codes", lang, [None], [None], [None], [code[at[start:ends[k] + 1]].tobytes()])
+                        blocks.append(code[at[start:ends[k] + 1]].tobytes())
                         start = int(ends[k]) + 1
+                    none = [None] * len(blocks)
+                    yield rows("codes", lang, none, none, none, blocks)
                 if len(number) > WORDS_HELD:
                     yield from word_rows()
                     number, code, counts = {_BREAK: 0}, np.zeros(1, np.int64), {}
@@ -229,9 +233,10 @@ def count_windows(codes: DataFrame, wanted: dict[int, tuple[int, dict[str, np.nd
                 if found:
                     words, n, ends = found
                     zero = np.zeros(len(n), np.int64)
-                    yield pa.RecordBatch.from_arrays(
+                    whole = pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(n), pa.string()), *map(pa.array, words + [zero] * (LONGEST - length)),
                          pa.array(n, pa.int64()), *map(pa.array, ends)], names=names)
+                    yield from (whole.slice(i, OUT_ROWS) for i in range(0, len(n), OUT_ROWS))
 
         for b in batches:
             for lang, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -348,7 +353,7 @@ def mine(df: DataFrame, top: int = 2000, min_count: int = 100, lang_col: str = "
     found) for each wave.
     """
     spark = df.sparkSession
-    with arrow_batches(spark, BATCH):
+    with small_batches(spark, BATCH, BATCH_ROWS):
         path = fresh_dir(spark, "coded")
         coded(df, lang_col, text_col).write.partitionBy("kind").parquet(path)
         schema = "lang string, word string, code long, n long, codes binary, kind string"

@@ -38,17 +38,20 @@ def stored_table(df: DataFrame, what: str) -> DataFrame:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, size: str):
+def small_batches(spark: SparkSession, size: str, rows: int):
     """Jobs started inside send at most about ``size`` bytes to a Python worker
-    at once (never less than a row); the session's own bound comes back after.
-    For rows of some hundred kB, of which the usual 10,000 do not fit."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, size)
+    at once (never less than a row) and read Parquet in batches of ``rows``; the
+    session's own bounds come back after.  For rows of many kB, of which the
+    usual thousands are too much memory."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.parquet.columnarReaderBatchSize": str(rows)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def open_fs(uri: str):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statsmith.llm import collocations
-from statsmith.llm.common import arrow_batches
+from statsmith.llm.common import small_batches
 
 
 def brute_force(rows, top, min_count):
@@ -121,11 +121,12 @@ def test_wide_rows_reach_workers_in_small_batches(spark):
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
 
     rows = spark.range(64, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 18).alias("wide"))
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    with arrow_batches(spark, "4m"):
+    names = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before = [spark.conf.get(n) for n in names]
+    with small_batches(spark, "4m", 256):
+        assert spark.conf.get(names[1]) == "256"
         assert max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect()) <= 17
-    assert spark.conf.get(name) == before
-    with pytest.raises(ZeroDivisionError), arrow_batches(spark, "4m"):
+    assert [spark.conf.get(n) for n in names] == before
+    with pytest.raises(ZeroDivisionError), small_batches(spark, "4m", 256):
         raise ZeroDivisionError
-    assert spark.conf.get(name) == before
+    assert [spark.conf.get(n) for n in names] == before
