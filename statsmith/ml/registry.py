@@ -91,6 +91,11 @@ IMPORTANCE_MODELS = ("random forest", "gradient boosting", "xgboost", "lgbm")
 # Deep trees: keep each row's node id (no re-walk of the tree per level),
 # split more nodes per pass over the data, and cut the node-id lineage.
 _TREE_SPEED = dict(cacheNodeIds=True, maxMemoryInMB=512, checkpointInterval=10)
+# The models whose solver keeps its own form of all training rows and reads it again and again.
+ITERATED = ("logistic regression", "support vector machine", "decision tree", "random forest",
+            "gradient boosting", "xgboost", "lgbm", "gaussian process")
+SPREAD_ROWS = 20_000                  # training rows that stay in the partitions they come in
+TASK_BYTES = 256 << 20                # bytes of kept rows of a task
 
 
 @dataclass
@@ -172,6 +177,13 @@ class _RFFModel:
         return self.inner.transform(with_rff(df, self.std, self.rff))
 
 
+def _together(train: DataFrame, rows: int, name: str, params: dict, width: int, n_classes: int) -> int:
+    """Classes fitted at once: each keeps its own copy of all rows, and copies
+    of ``TASK_BYTES`` a core are kept together."""
+    room = TASK_BYTES * train.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(n_classes, 8, room // max(1, rows * _row_bytes(name, params, width))))
+
+
 def _convert(name: str, task: str, params: dict, train: DataFrame, n_classes: int):
     """Build and fit the model for ``name`` x ``task`` on ``train``."""
     bad = set(params) - ALLOWED[name]
@@ -277,7 +289,8 @@ def _convert(name: str, task: str, params: dict, train: DataFrame, n_classes: in
         if task == CLS:
             svc = LinearSVC(regParam=1.0 / (C * n), maxIter=int(params.get("max_iter", 100)),
                             standardization=kernel == "linear")
-            inner = (svc if n_classes <= 2 else OneVsRest(classifier=svc, parallelism=min(n_classes, 8))).fit(data)
+            several = _together(train, n, name, params, len(std.mean), n_classes)
+            inner = (svc if n_classes <= 2 else OneVsRest(classifier=svc, parallelism=several)).fit(data)
         else:
             inner = fit_sgd(data, REG, loss="epsilon_insensitive", alpha=1.0 / (C * n),
                             epsilon=float(params.get("epsilon", 0.1)), learning_rate="adaptive",
@@ -290,7 +303,8 @@ def _convert(name: str, task: str, params: dict, train: DataFrame, n_classes: in
         data = with_rff(train, std, rff)
         if task == CLS:
             lr = LogisticRegression(regParam=1e-4, standardization=False, maxIter=200)
-            inner = (lr if n_classes <= 2 else OneVsRest(classifier=lr, parallelism=min(n_classes, 8))).fit(data)
+            several = _together(train, train.count(), name, params, len(std.mean), n_classes)
+            inner = (lr if n_classes <= 2 else OneVsRest(classifier=lr, parallelism=several)).fit(data)
         else:
             inner = LinearRegression(regParam=float(params.get("alpha", 1e-6)), elasticNetParam=0.0,
                                      standardization=False, solver="normal").fit(data)
@@ -298,14 +312,43 @@ def _convert(name: str, task: str, params: dict, train: DataFrame, n_classes: in
     raise ValueError(f"unknown model {name!r}")
 
 
+def _row_bytes(name: str, params: dict, width: int) -> int:
+    """About what the solver keeps of a training row while it iterates: bootstrap
+    counts and node ids per tree, or the row's random Fourier features."""
+    if name == "random forest":
+        return 150 + 8 * width + 14 * int(params.get("n_estimators", 100))
+    if name == "gaussian process":
+        return 50 + 8 * int(params.get("n_components", 200))
+    if name == "support vector machine" and params.get("kernel", "rbf") == "rbf":
+        return 50 + 8 * int(params.get("n_components", 100))
+    return 150 + 8 * width
+
+
+def _spread(df: DataFrame, name: str, params: dict) -> DataFrame:
+    """``df`` in so many partitions that each keeps ``TASK_BYTES`` at most while
+    the model is fitted, and every core has one: a few MB of Parquet come as
+    one partition.  Few rows stay as they are."""
+    first = df.select("features").first()
+    rows = df.count()
+    if first is None or rows <= SPREAD_ROWS:
+        return df
+    parts = max(df.sparkSession.sparkContext.defaultParallelism,
+                -(-rows * _row_bytes(name, params, len(first[0])) // TASK_BYTES))
+    df = df.select("features", "label")
+    return stored(df.repartition(parts))
+
+
 def fit(df: DataFrame, model: str, task: str, params: dict | None = None) -> object:
     """Fit ``model`` on a prepared frame (``features``, ``label``)."""
     if model not in MODEL_TASKS:
         raise ValueError(f"unknown model {model!r}; choose from {sorted(MODEL_TASKS)}")
     n_classes = 1
+    params = dict(params or {})
+    if model in ITERATED:
+        df = _spread(df, model, params)
     if task == CLS:
         n_classes = int(df.agg(F.max("label")).first()[0]) + 1
-    return _convert(model, task, dict(params or {}), df, n_classes)
+    return _convert(model, task, params, df, n_classes)
 
 
 def train_model(df: DataFrame, target: str, model: str, task: str, features: list[str] | None = None,

@@ -188,3 +188,41 @@ def test_tuning_classifier_uses_stratified_folds(spark):
     best, hist = tune.auto_optimize(df, "y", "decision tree", "classification", features=["a", "b", "c"],
                                     init_points=2, n_iter=1, key="id")
     assert 3 <= best["max_depth"] <= 20 and hist.count() == 3
+
+
+def test_many_training_rows_are_spread(spark, monkeypatch):
+    """A small Parquet file comes as one partition; no task may hold all rows."""
+    got = {}
+    monkeypatch.setattr(registry, "_convert", lambda name, task, params, train, n: got.update({name: train}))
+    monkeypatch.setattr(registry, "SPREAD_ROWS", 100, raising=False)
+    monkeypatch.setattr(registry, "TASK_BYTES", 50_000, raising=False)
+    frame = registry.prepare(_reg_data(spark)[0].coalesce(1), "y", "regression").frame
+    for name in ("gaussian process", "random forest", "support vector machine", "decision tree"):
+        registry.fit(frame, name, "regression")
+        parts = got[name].rdd.glom().map(lambda rows: [(tuple(r["features"]), r["label"]) for r in rows]).collect()
+        rows = sum(parts, [])
+        assert sorted(rows) == sorted((tuple(r["features"]), r["label"]) for r in frame.collect())
+        assert len(parts) >= 4 and max(map(len, parts)) < 250
+    few = frame.limit(100)
+    registry.fit(few, "random forest", "regression")
+    assert got["random forest"] is few
+
+
+def test_spread_rows_give_the_same_classes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(600, 2))
+    y = np.where(X[:, 0] > 0.4, "a", np.where(X[:, 1] > 0, "b", "c"))
+    df = spark.createDataFrame(pd.DataFrame(X, columns=["u", "v"]).assign(y=y, k=range(600))).coalesce(1)
+    models = [("random forest", {"n_estimators": 5, "max_depth": 4})]
+
+    def metrics():
+        return [registry.train_model(df, "y", m, "classification", ["u", "v"], p, key="k").metrics.collect() for m, p in models]
+
+    whole = metrics()
+    monkeypatch.setattr(registry, "SPREAD_ROWS", 100)
+    monkeypatch.setattr(registry, "TASK_BYTES", 100_000)
+    spread = metrics()
+    for a, b in zip(whole, spread):
+        a, b = ({r["metric"]: r["value"] for r in x} for x in (a, b))
+        assert a["n_test"] == b["n_test"] == 120
+        assert a["accuracy"] == pytest.approx(b["accuracy"], abs=0.1) and b["accuracy"] > 0.8
