@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame
@@ -327,7 +328,9 @@ def _row_bytes(name: str, params: dict, width: int) -> int:
 def _spread(df: DataFrame, name: str, params: dict) -> DataFrame:
     """``df`` in so many partitions that each keeps ``TASK_BYTES`` at most while
     the model is fitted, and every core has one: a few MB of Parquet come as
-    one partition.  Few rows stay as they are."""
+    one partition.  A forest's rows are dealt in the order of their features:
+    a deep node then has rows, and statistics to send, in few partitions.
+    Few rows stay as they are."""
     first = df.select("features").first()
     rows = df.count()
     if first is None or rows <= SPREAD_ROWS:
@@ -335,6 +338,9 @@ def _spread(df: DataFrame, name: str, params: dict) -> DataFrame:
     parts = max(df.sparkSession.sparkContext.defaultParallelism,
                 -(-rows * _row_bytes(name, params, len(first[0])) // TASK_BYTES))
     df = df.select("features", "label")
+    if name == "random forest":
+        by = df.withColumn(TMP + "x", vector_to_array("features")).withColumn(TMP + "r", F.rand(42))
+        return stored(by.repartitionByRange(parts, TMP + "x", TMP + "r").select("features", "label"))
     return stored(df.repartition(parts))
 
 

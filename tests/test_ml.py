@@ -203,6 +203,10 @@ def test_many_training_rows_are_spread(spark, monkeypatch):
         rows = sum(parts, [])
         assert sorted(rows) == sorted((tuple(r["features"]), r["label"]) for r in frame.collect())
         assert len(parts) >= 4 and max(map(len, parts)) < 250
+        if name == "random forest":              # in the order of the features: few partitions a node
+            assert len(parts) >= 15
+            filled = [p for p in parts if p]
+            assert all(max(x)[0] <= min(y)[0] for x, y in zip(filled, filled[1:]))
     few = frame.limit(100)
     registry.fit(few, "random forest", "regression")
     assert got["random forest"] is few
