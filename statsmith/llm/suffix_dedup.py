@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from statsmith.llm.common import id_text
 
 K = 20                                # bytes of an anchor
-CHUNK = 4 << 20                       # bytes of text worked on at a time
+CHUNK = 1 << 19                       # bytes of text worked on at a time (some 50 bytes of memory each)
 SLICE = 4 << 20                       # bytes of text of a slice, on average
 LEAD = 16                             # bytes of a suffix that splitters compare
 ANCHOR_ROWS = 50_000                  # occurrences of an anchor that one bucket compares in place
@@ -306,17 +306,18 @@ def compare_bucket(table, width: int):
     group = np.empty(len(first), np.int64)
     group[order] = run
     one, least = order[start], np.minimum.reduceat(first[order], start)
-    lo, count = span[one, 0], span[one, 1] - span[one, 0] + 1
-    owner = np.repeat(np.arange(len(one)), count)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + lo[owner]
-    smallest = np.empty(len(owner), np.int64)
-    # the suffix at each window start, as far as the window goes
-    view = np.lib.stride_tricks.sliding_window_view(text[one], width, axis=1)
-    order, run = multikey_sort(_words(view[owner, offset]))
-    start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]][:len(run)])
-    smallest[order] = np.minimum.reduceat(least[owner[order]], start)[run]
+    lo, hi = span[one, 0], span[one, 1]
     low = np.full((len(one), width - K + 1), np.iinfo(np.int64).max)
-    low[owner, offset] = smallest
+    # equal windows have the same anchor at the same place: one offset of the window start at a time
+    for offset in range(width - K + 1):
+        has = np.flatnonzero((lo <= offset) & (offset <= hi))
+        if not len(has):
+            continue
+        order, run = multikey_sort(_words(text[one[has], offset:offset + width]))
+        start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        smallest = np.empty(len(has), np.int64)
+        smallest[order] = np.minimum.reduceat(least[has[order]], start)[run]
+        low[has, offset] = smallest
     out, at = [], 0
     for s, idx, n in zip(table.column("slice").to_pylist(), table.column("item").to_pylist(), sizes, strict=True):
         bits = low[group[at:at + n]] < first[at:at + n, None]
@@ -414,10 +415,12 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
             later = s.rank[doc] > least[group]                   # another document of the slice has it
             span = np.arange(width - K + 1)
             own = (span >= lo[:, None]) & (span <= hi[:, None])
-            hit, off = np.nonzero(own & (early[group] | later[:, None]))
-            p = total[doc[hit]] + start[hit] + off - lo[hit].astype(np.int64)
-            np.add.at(cover, p, 1)
-            np.add.at(cover, p + width, -1)
+            hits = own & (early[group] | later[:, None])
+            for off in range(width - K + 1):
+                hit = np.flatnonzero(hits[:, off])
+                p = total[doc[hit]] + start[hit] + off - lo[hit].astype(np.int64)
+                np.add.at(cover, p, 1)
+                np.add.at(cover, p + width, -1)
         gone = np.cumsum(cover[:-1]) > 0
         rows, seen = [], set()
         for i, t in enumerate(s.texts):

@@ -1,8 +1,12 @@
 """Sampling with repeated and null ids; repeated rows of the suffix dedup."""
 
 import math
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from statsmith.llm import importance, suffix_dedup
 
 
@@ -45,3 +49,26 @@ def test_repeated_rows_once(spark):
     assert suffix_dedup.remove_repeats(df, texts=True).count() == 7
     got = suffix_dedup.remove_repeats(df, texts=True, distinct=True).collect()
     assert sorted((r["doc_id"] or 0, r["kept_text"][:1]) for r in got) == [(0, "z"), (1, "x"), (1, "y"), (2, "")]
+
+
+def test_suffix_dedup_works_in_little_memory():
+    """A slice of 3 MB and a bucket of 20,000 items: what one task allocates."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(t) for t in rng.choice(list("abcdefgh "), size=(100, 30_000))]
+    s = suffix_dedup.Slice(pa.table({"doc_id": range(100), "text": texts}), 50)
+    tracemalloc.start()
+    s.anchor_hashes()
+    anchors = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n, side = 20_000, 80
+    text = rng.integers(97, 105, (n, side)).astype(np.uint8)
+    text[n // 2:] = text[:n // 2]
+    row = (0, 0, np.arange(n, dtype=np.uint32).tobytes(), text.tobytes(),
+           np.tile(np.array([0, 30], np.uint8), n).tobytes(), np.arange(n).tobytes())
+    table = suffix_dedup._rows(suffix_dedup._ITEMS, [row])
+    tracemalloc.start()
+    found = suffix_dedup.compare_bucket(table, 50)
+    compared = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.frombuffer(found["a"][0].as_py(), np.uint32).tolist() == list(range(n // 2, n))
+    assert anchors < 60e6 and compared < 40e6, (anchors, compared)
