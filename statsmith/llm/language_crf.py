@@ -16,6 +16,7 @@ several languages teach it where text switches.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,11 @@ UNDETERMINED = "und"
 def words_of(text: str) -> list[str]:
     """Runs of letters, in lower case; runs longer than ``WIDTH`` are cut into
     successive pieces of it, so every letter is read."""
+    found = _WORD.findall(text.lower())
+    if "".join(found).isalpha() and max(map(len, found)) <= WIDTH:
+        return found
     out = []
-    for w in _WORD.findall(text.lower()):
+    for w in found:
         if len(w) <= WIDTH and w.isalpha():
             out.append(w)
             continue
@@ -97,8 +101,7 @@ class LanguageModel:
         if fresh:
             self._known.update(zip(fresh, range(len(self._known), len(self._known) + len(fresh)), strict=True))
             self._table = np.concatenate([self._table, self.scores(fresh)])
-        known = self._known
-        flat = np.fromiter((known[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
+        flat = np.fromiter(map(self._known.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         return flat, self._table
 
     def posteriors(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +109,7 @@ class LanguageModel:
         the texts' first positions."""
         flat, table = self._rows(words)
         n = np.array([len(w) for w in words], np.int64)
-        return marginals(table[flat], n, self.moves)[0], np.cumsum(n) - n
+        return marginals(table[flat], n, self.moves, count_moves=False)[0], np.cumsum(n) - n
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """(label, mean posterior) of each text; texts without letters are
@@ -123,43 +126,52 @@ class LanguageModel:
                 for b, t, k in zip(best, total, n, strict=True)]
 
 
-def marginals(score: np.ndarray, lengths: np.ndarray, moves: np.ndarray):
+def marginals(score: np.ndarray, lengths: np.ndarray, moves: np.ndarray, count_moves: bool = True):
     """Forward-backward over many sequences at once: posterior of each label
-    at each position, and the expected number of each move.  Sequences are
-    stepped through together, longest first."""
+    at each position, and the expected number of each move (with
+    ``count_moves``, else None).  Sequences are stepped through together,
+    longest first; the positions of a step lie next to each other, so a step
+    that only a few long sequences reach costs little."""
     labels = score.shape[1]
     emit = np.exp(score - score.max(axis=1, keepdims=True)) if len(score) else score
     step = np.exp(moves - moves.max())
     order = np.argsort(-lengths, kind="stable")
-    start = (np.cumsum(lengths) - lengths)[order]
     longest = int(lengths.max()) if len(lengths) else 0
     active = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(longest + 1), "right")
-    fore = np.empty_like(emit)
+    edge = np.r_[0, np.cumsum(active)].tolist()           # first position of each step
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    t = np.arange(len(score)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = np.asarray(edge, np.int64)[t] + np.repeat(rank, lengths)
+    del t
+    laid = np.empty_like(emit)
+    laid[at] = emit
+    total = np.add.reduce
+    fore = np.empty_like(laid)
     state = None
     for t in range(longest):
-        row = start[:active[t]] + t
-        state = emit[row] if t == 0 else (state[:active[t]] @ step) * emit[row]
-        state /= state.sum(axis=1, keepdims=True)
-        fore[row] = state
-    post = np.empty_like(emit)
-    moved = np.zeros((labels, labels))
-    back = np.ones((0, labels), emit.dtype)
+        here = laid[edge[t]:edge[t + 1]]
+        state = here.copy() if t == 0 else (state[:len(here)] @ step) * here
+        state /= total(state, axis=1, keepdims=True)
+        fore[edge[t]:edge[t + 1]] = state
+    rest = np.ones_like(laid)
+    moved = np.zeros((labels, labels)) if count_moves else None
+    back, turned = np.ones((0, labels), emit.dtype), step.T
     for t in range(longest - 1, -1, -1):
-        k = active[t]
-        row = start[:k] + t
-        new = np.ones((k, labels), emit.dtype)
-        if len(back):
-            ahead = back * emit[row[:len(back)] + 1]
-            ahead /= ahead.sum(axis=1, keepdims=True)
-            new[:len(back)] = ahead @ step.T
-            f = fore[row[:len(back)]]
-            weight = 1 / np.maximum((f * new[:len(back)]).sum(axis=1, keepdims=True), 1e-30)
-            moved += ((f * weight).T @ ahead) * step
-            new /= new.sum(axis=1, keepdims=True)
-        p = fore[row] * new
-        post[row] = p / p.sum(axis=1, keepdims=True)
+        new = rest[edge[t]:edge[t + 1]]
+        if k := len(back):
+            ahead = back * laid[edge[t + 1]:edge[t + 1] + k]
+            ahead /= total(ahead, axis=1, keepdims=True)
+            new[:k] = ahead @ turned
+            if count_moves:
+                f = fore[edge[t]:edge[t] + k]
+                weight = 1 / np.maximum((f * new[:k]).sum(axis=1, keepdims=True), 1e-30)
+                moved += ((f * weight).T @ ahead) * step
+            new /= total(new, axis=1, keepdims=True)
         back = new
-    return post, moved
+    fore *= rest
+    fore /= total(fore, axis=1, keepdims=True)
+    return fore[at], moved
 
 
 def training_rows(df: DataFrame, per_language: int, max_chars: int, total_chars: int, id_col: str, text_col: str,

@@ -1,5 +1,7 @@
 """Letters, long words and long training texts of the language model."""
 
+import numpy as np
+
 from statsmith.llm import language_crf
 
 
@@ -36,3 +38,29 @@ def test_a_language_of_long_texts_is_learned(spark):
     assert {k for k, _ in taken} == {"en", "xx"} and max(len(t) for _, t in taken) <= 1000
     few = language_crf.training_rows(df, 20, 1000, 8_000, "doc_id", "text", "lang")
     assert sum(len(t) for _, t in few) <= 16_000
+
+
+def test_marginals_of_mixed_lengths():
+    """One long text among short ones: against the sums over each text alone."""
+    rng = np.random.default_rng(3)
+    lengths = np.array([0, 3, 400, 1, 0, 7, 7, 2])
+    score, moves = rng.normal(size=(lengths.sum(), 3)), rng.normal(size=(3, 3))
+    post, moved = language_crf.marginals(score, lengths, moves)
+    alone, none = language_crf.marginals(score, lengths, moves, count_moves=False)
+    assert none is None and np.array_equal(post, alone)
+    step, want, total = np.exp(moves), [], np.zeros((3, 3))
+    for s in np.split(np.exp(score), np.cumsum(lengths)[:-1]):
+        if not len(s):
+            continue
+        f, b = [s[0] / s[0].sum()], [np.ones(3)]
+        for x in s[1:]:
+            f.append((f[-1] @ step) * x / ((f[-1] @ step) * x).sum())
+        for x in s[:0:-1]:
+            v = step @ (b[0] * x)
+            b.insert(0, v / v.sum())
+        p = np.array(f) * np.array(b)
+        want.append(p / p.sum(axis=1, keepdims=True))
+        for i in range(len(s) - 1):
+            pair = np.outer(f[i], s[i + 1] * b[i + 1]) * step
+            total += pair / pair.sum()
+    assert np.allclose(post, np.concatenate(want)) and np.allclose(moved, total)
