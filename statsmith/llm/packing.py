@@ -17,12 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statsmith.llm.common import id_text, stored_table
+from statsmith.llm.common import id_text, small_batches, stored_table
 from statsmith.llm.token_ids import steps, word_ids
 
 PIECE = "doc_id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 MERGED = 1 << 62                      # sequence ids of merged leftovers start here
 MERGE_PARTITIONS = 64                 # partitions whose leftovers one task merges
+BATCH, BATCH_ROWS = "4m", 1024        # bytes of texts sent to a Python worker at once, rows read at once
 
 
 class Packer:
@@ -127,7 +128,8 @@ def pack(df: DataFrame, tokenizer_file: str, length: int = 2048, windows: int =
         if left:
             yield _batch(left, id_type, ("part", "window", "nth"))
 
-    placed = stored_table(docs.mapInArrow(place, piece + ", part long, window long, nth long"), "pieces")
+    with small_batches(df.sparkSession, BATCH, BATCH_ROWS):
+        placed = stored_table(docs.mapInArrow(place, piece + ", part long, window long, nth long"), "pieces")
 
     def merge(key, table):
         table = table.sort_by([("part", "ascending"), ("window", "ascending"), ("nth", "ascending")])

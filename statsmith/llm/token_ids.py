@@ -14,14 +14,14 @@ from __future__ import annotations
 import functools
 import os
 import re
-
-import numpy as np
+import struct
+from itertools import islice
 
 # ASCII white space only: other blanks stay inside a chunk, for the tokenizer
 _CHUNK = re.compile(r"[^ \t\n\v\f\r]+")
 # letters whose lower case is one letter, unchanged by composition
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-;=?-@\[-`{}~]*)")
-CACHE_CHUNKS = 500_000                # distinct chunks a Python worker remembers
+CACHE_CHUNKS = 250_000                # distinct chunks a Python worker remembers
 CACHE_LENGTH = 64                     # longer chunks are encoded afresh
 
 
@@ -33,6 +33,10 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """``__call__`` maps a list of texts to a list of id byte strings.
 
@@ -45,30 +49,36 @@ class WordIds:
         self.tok = Tokenizer.from_file(tokenizer_file)
         self.model = self.tok.model
         self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def word(self, w: str) -> bytes:
-        ids = self.words.get(w)
+        # a chunk that is a lower-case word, or punctuation, has the ids of that part of any other chunk
+        self.known: dict[str, bytes] = {"": b""}
+
+    def keep(self, c: str, ids: bytes) -> None:
+        """Remember a chunk; when no more may be, the newer half is forgotten
+        (frequent chunks come early, so the older half is asked for more)."""
+        if len(c) > CACHE_LENGTH:
+            return
+        if len(self.known) >= CACHE_CHUNKS:
+            for old in list(islice(reversed(self.known), CACHE_CHUNKS // 2)):
+                del self.known[old]
+        self.known[c] = ids
+
+    def part(self, w: str) -> bytes:
+        """Ids of a chunk's lower-cased letters, or of its punctuation."""
+        ids = self.known.get(w)
         if ids is None:
             form = w if w.isascii() else self.to_bytes(w)[0][0]
-            ids = np.array([t.id for t in self.model.tokenize(form)], "<u4").tobytes()
-            if len(w) <= CACHE_LENGTH:
-                self.words[w] = ids
+            ids = _packed([t.id for t in self.model.tokenize(form)])
+            self.keep(w, ids)
         return ids
 
     def chunk(self, c: str) -> bytes:
         m = _SIMPLE.fullmatch(c)
         if m:
-            return self.word(m[1].lower()) + self.word(m[2])
-        return np.array(self.tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.part(m[1].lower()) + self.part(m[2])
+        return _packed(self.tok.encode(c, add_special_tokens=False).ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        for cache in (known, self.words):
-            if len(cache) > CACHE_CHUNKS:
-                cache.clear()
-                self.words[""] = b""
         out = []
         for t in texts:
             parts = chunks(t)
@@ -80,8 +90,7 @@ class WordIds:
                     i = known.get(c)
                     if i is None:
                         i = self.chunk(c)
-                        if len(c) <= CACHE_LENGTH:
-                            known[c] = i
+                        self.keep(c, i)
                     ids.append(i)
                 out.append(b"".join(ids))
         return out
