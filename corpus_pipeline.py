@@ -51,14 +51,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 bytes or more that an earlier document
     holds; documents of which nothing is left go.  A repeated row stays once; an
-    empty table stays empty."""
-    found = suffix_dedup.remove_repeats(docs, width=50, texts=True, distinct=True).filter(F.trim("kept_text") != "")
-    found = found.select(F.col("doc_id").alias("kept_id"), F.col("input_sha256"), F.col("kept_text"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    meta = docs.withColumn("sha", F.sha2(text, 256)).drop("text").dropDuplicates(["doc_id", "sha"])
-    rows = meta.join(found, meta["doc_id"].eqNullSafe(found["kept_id"]) & (meta["sha"] == found["input_sha256"]))
-    return rows.withColumn("text", F.col("kept_text")).withColumn(
-        "n_chars", F.length("kept_text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    empty table stays empty.  The other columns travel with the text, which is
+    shuffled once."""
+    other = [c for c in docs.columns if c not in ("text", "n_chars")]
+    found = suffix_dedup.remove_repeats(docs, width=50, texts=True, distinct=True, carry=other).filter(F.trim("kept_text") != "")
+    made = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}
+    made |= {c: F.col(f"carried_{i}") for i, c in enumerate(other)}
+    return found.select([made[c].alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

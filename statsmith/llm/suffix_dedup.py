@@ -6,7 +6,8 @@ smallest hash in it, wherever the window occurs, so suffixes are needed at
 anchors only.  The job:
 
 1. Documents are dealt into slices by a hash of their id.  Each slice sends
-   the hashes of its anchors to the range of the hash; anchors that only one
+   the hashes of its anchors (32 bits behind those that name the range) to the
+   range of the hash, and gets back a bit for each; anchors that only one
    document holds are left out from here on.
 2. Of the other anchors, each slice sends the text of all windows around the
    anchor (equal ones of a slice once, with their smallest id) to buckets
@@ -30,13 +31,15 @@ splitters, one per bucket.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from statsmith.llm.common import id_text
+from statsmith.llm.common import id_text, quoted
 
 K = 20                                # bytes of an anchor
 CHUNK = 1 << 19                       # bytes of text worked on at a time (some 50 bytes of memory each)
@@ -44,6 +47,7 @@ SLICE = 4 << 20                       # bytes of text of a slice, on average
 LEAD = 16                             # bytes of a suffix that splitters compare
 ANCHOR_ROWS = 50_000                  # occurrences of an anchor that one bucket compares in place
 SAMPLE = 100                          # one document in so many gives splitters
+WINDOWS = -1                          # marks what a bucket sends back, beside the numbers of the hash ranges
 U = np.uint64
 
 
@@ -134,12 +138,14 @@ class Slice:
     def __init__(self, table: pa.Table, width: int):
         self.width, self.left, self.side = width, width - K, 2 * width - K
         rows = sorted(zip(table.column("doc_id").to_pylist(),
-                          (t.encode() for t in table.column("text").to_pylist()), strict=True),
+                          (t.encode() for t in table.column("text").to_pylist()), range(table.num_rows), strict=True),
                       key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         # a null id comes before all others
         self.ids = [r[0] for r in rows]
         self.rank = np.array([np.iinfo(np.int64).min if i is None else i for i in self.ids], np.int64)
         self.texts = [r[1] for r in rows]
+        self.rows = [r[2] for r in rows]                         # where each was in the table
+        self._anchors = {}
 
     def chunks(self):
         """(first document, bytes, lengths) of runs of whole documents."""
@@ -153,13 +159,19 @@ class Slice:
                 np.array([len(t) for t in self.texts[at:end]], np.int64)
             at = end
 
+    def anchored(self):
+        """The chunks, each with its anchors; these are found once."""
+        for at, b, lengths in self.chunks():
+            if at not in self._anchors:
+                self._anchors[at] = anchors(b, lengths, self.width)
+            yield at, b, lengths, *self._anchors[at]
+
     def anchor_hashes(self):
         """Distinct anchor hashes, and a byte of each: whether two ids of the
         slice have it, and twice the power of two that its occurrences reach at
         most."""
         hashes, docs = [], []
-        for at, b, lengths in self.chunks():
-            pos, h, _, _ = anchors(b, lengths, self.width)
+        for at, _, lengths, pos, h, _, _ in self.anchored():
             hashes.append(h)
             docs.append(self.rank[at + np.searchsorted(np.cumsum(lengths), pos, "right")])
         h, d = np.concatenate(hashes or [np.zeros(0, U)]), np.concatenate(docs or [np.zeros(0, np.int64)])
@@ -171,14 +183,25 @@ class Slice:
         several = np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new)
         return h[new], (several + 2 * np.ceil(np.log2(np.diff(np.r_[new, len(h)])))).astype(np.uint8)
 
+    def marked(self, table: pa.Table, bits: int):
+        """The anchor hashes that ``find_shared`` has marked, and whether they
+        occur often."""
+        h, _ = self.anchor_hashes()
+        edge = _edges(h, bits)
+        hit, often = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        for part, *marks in zip(*(table.column(c).to_pylist() for c in ("part", "a", "b")), strict=True):
+            if part != WINDOWS:
+                i, e = edge[part], edge[part + 1]
+                hit[i:e], often[i:e] = (_unpacked(m, e - i) for m in marks)
+        return h[hit], often[hit]
+
     def items(self, shared: np.ndarray, often: np.ndarray):
         """Windows around the shared anchors: ``text`` (n, side) with the
         anchor at column ``left``, zero outside the windows; offsets ``lo`` and
         ``hi`` of the first and last window start; document number; start;
         whether the anchor is one of those that occur ``often``."""
         out = []
-        for at, b, lengths in self.chunks():
-            pos, h, first, last = anchors(b, lengths, self.width)
+        for at, b, lengths, pos, h, first, last in self.anchored():
             if len(shared):
                 near = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
                 hit = shared[near] == h
@@ -264,7 +287,8 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 
 _ANCHORS = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary())])
-_SHARED = pa.schema([("slice", pa.int64()), ("kind", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+# part: a hash range, with two bits (a, b) for each hash of the slice in it; or WINDOWS, with items and a mask for each
+_SHARED = pa.schema([("slice", pa.int64()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 _ITEMS = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("item", pa.binary()), ("text", pa.binary()),
                     ("span", pa.binary()), ("first_id", pa.binary())])
 
@@ -273,10 +297,30 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {'long' if f.type == pa.int64() else 'binary'}" for f in schema)
 
 
+def _edges(h: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of the ``2 ** bits`` ranges starts and ends in sorted hashes."""
+    return np.searchsorted((h >> U(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+
+
+def _short(h: np.ndarray, bits: int) -> np.ndarray:
+    """The 32 bits of each hash behind those that name its range.  Two anchors
+    that agree in them count as one here; their texts are compared later."""
+    return (h >> U(32 - bits)).astype(np.uint32)
+
+
+def _packed(flags: np.ndarray) -> bytes:
+    """Eight flags a byte; nothing if none is set."""
+    return np.packbits(flags).tobytes() if flags.any() else b""
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool) if blob else np.zeros(n, bool)
+
+
 def find_shared(table, most: int):
-    """Of one hash range: per slice the hashes that two documents hold, and
-    whether they occur more than ``most`` times."""
-    parts = [np.frombuffer(x, U) for x in table.column("hashes").to_pylist()]
+    """Of one hash range: per slice a bit for each of its hashes, whether two
+    documents hold it, and one whether it occurs more than ``most`` times."""
+    parts = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
     h = np.concatenate(parts)
     mark = _concat(np.uint8, table.column("several").to_pylist())
     several, counts = mark & 1, np.int64(1) << (mark >> 1).astype(np.int64)
@@ -288,8 +332,9 @@ def find_shared(table, most: int):
     flag[order] = hit[run]
     often[order] = (np.bincount(run, weights=counts[order]) > most)[run]
     cuts = np.cumsum([len(p) for p in parts])[:-1]
-    return _rows(_SHARED, [(s, 0, p[f].tobytes(), o[f].tobytes()) for s, p, f, o in zip(
-        table.column("slice").to_pylist(), parts, np.split(flag, cuts), np.split(often, cuts), strict=True) if f.any()])
+    return _rows(_SHARED, [(s, part, _packed(f), _packed(f & o)) for s, part, f, o in zip(
+        table.column("slice").to_pylist(), table.column("bucket").to_pylist(), np.split(flag, cuts), np.split(often, cuts),
+        strict=True) if f.any()])
 
 
 def compare_bucket(table, width: int):
@@ -323,18 +368,21 @@ def compare_bucket(table, width: int):
         bits = low[group[at:at + n]] < first[at:at + n, None]
         some = bits.any(axis=1)
         if some.any():
-            out.append((s, 1, np.frombuffer(idx, np.uint32)[some].tobytes(), np.packbits(bits[some], axis=1).tobytes()))
+            out.append((s, WINDOWS, np.frombuffer(idx, np.uint32)[some].tobytes(), np.packbits(bits[some], axis=1).tobytes()))
         at += n
     return _rows(_SHARED, out)
 
 
 def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text",
                    texts: bool = False, distinct: bool = False, slice_bytes: int = SLICE,
-                   anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
+                   anchor_rows: int = ANCHOR_ROWS, carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row (with ``distinct``: per different id and text):
     ``doc_id, n_bytes, n_removed, n_spans,
     kept_sha256`` and, with ``texts``, ``kept_text`` (without the bytes of a
-    character that was cut apart) and ``input_sha256``.
+    character that was cut apart) and ``input_sha256``.  The input's columns
+    named in ``carry`` come along as ``carried_0, carried_1, ...`` (with
+    ``distinct``: those of one of the equal rows), so that no join has to
+    shuffle the texts again.
 
     Removes each byte covered by a string of ``width`` bytes that starts in a
     document with a smaller id too; overlaps count, matches never cross
@@ -348,10 +396,13 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     if not 28 <= width <= 100:
         raise ValueError("width must be from 28 to 100")
     docs = id_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    taken = [f"carried_{i}" for i in range(len(carry))]
+    whole = df.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"),
+                      *(quoted(c).alias(t) for c, t in zip(carry, taken, strict=True)))
     size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
     pieces = size // slice_bytes + 1                             # slices, hash ranges and buckets
     bits = max(1, (pieces - 1).bit_length())
-    sliced = docs.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(pieces)))
+    sliced = whole.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(pieces)))
 
     def leads(batches):
         for b in batches:
@@ -367,23 +418,16 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
 
     def send_anchors(key, table):
         h, several = Slice(table, width).anchor_hashes()
-        bucket = (h >> U(64 - bits)).astype(np.int64)
-        edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+        edge, short = _edges(h, bits), _short(h, bits)
         me = key[0].as_py()
-        return _rows(_ANCHORS, [(j, me, h[i:e].tobytes(), several[i:e].tobytes())
+        return _rows(_ANCHORS, [(j, me, short[i:e].tobytes(), several[i:e].tobytes())
                                 for j, (i, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if e > i])
 
-    def shared_of(table):
-        kind = np.array(table.column("kind").to_pylist(), np.int64)
-        h, often = (_concat(t, [x for x, k in zip(table.column(c).to_pylist(), kind, strict=True) if k == 0])
-                    for t, c in ((U, "a"), (bool, "b")))
-        order = np.argsort(h)
-        return h[order], often[order]
-
     def send_items(key, left, right):
         if not left.num_rows or not right.num_rows:
             return _rows(_ITEMS, [])
-        bucket, item, text, lo, hi, least = Slice(left, width).sent(*shared_of(right), cuts, pieces)
+        s = Slice(left, width)
+        bucket, item, text, lo, hi, least = s.sent(*s.marked(right, bits), cuts, pieces)
         order = np.argsort(bucket, kind="stable")
         out, me = [], key[0].as_py()
         for j, i, e in _runs(bucket[order]):
@@ -394,19 +438,22 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
 
     result = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
               ("kept_sha256", pa.string())] + [("kept_text", pa.string()), ("input_sha256", pa.string())] * texts
+    sparks = {pa.int64(): LongType(), pa.string(): StringType()}
+    schema = StructType([StructField(n, sparks[t]) for n, t in result] + [
+        StructField(t, whole.schema[t].dataType) for t in taken])
 
     def finish(key, left, right):
         s = Slice(left, width)
         total = np.cumsum([0] + [len(t) for t in s.texts])
         cover = np.zeros(total[-1] + 1, np.int32)
-        shared, often = shared_of(right) if right.num_rows else (np.zeros(0, U), np.zeros(0, bool))
+        shared, often = s.marked(right, bits) if right.num_rows else (np.zeros(0, U), np.zeros(0, bool))
         text, lo, hi, doc, start, many = s.items(shared, often)
         if len(doc):
             group, one, least = s.distinct(text, lo, hi, doc)
             owner, offset, number, view, _, lowest = s.windows(text[one], lo[one], hi[one], least, many[one])
             early = np.zeros((len(one) + len(view), width - K + 1), bool)
-            for kind, idx, mask in zip(*(right.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True):
-                if kind == 1:
+            for part, idx, mask in zip(*(right.column(c).to_pylist() for c in ("part", "a", "b")), strict=True):
+                if part == WINDOWS:
                     idx = np.frombuffer(idx, np.uint32)
                     early[idx] = np.unpackbits(np.frombuffer(mask, np.uint8).reshape(len(idx), -1), axis=1,
                                                count=width - K + 1).astype(bool)
@@ -422,7 +469,7 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
                 np.add.at(cover, p, 1)
                 np.add.at(cover, p + width, -1)
         gone = np.cumsum(cover[:-1]) > 0
-        rows, seen = [], set()
+        rows, kept_rows, seen = [], [], set()
         for i, t in enumerate(s.texts):
             if distinct:                                         # rows of an id are in one slice
                 if (same := (s.ids[i], hashlib.sha256(t).digest())) in seen:
@@ -432,9 +479,13 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
             n = int(np.count_nonzero(g))
             kept = t if not n else np.frombuffer(t, np.uint8)[~g].tobytes()
             spans = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if n else 0
+            kept_rows.append(s.rows[i])
             rows.append((s.ids[i], len(t), n, spans, hashlib.sha256(kept).hexdigest(),
                          *([kept.decode("utf-8", "ignore"), hashlib.sha256(t).hexdigest()] if texts else [])))
-        return _rows(pa.schema(result), rows)
+        out = _rows(pa.schema(result), rows)
+        for t in taken:
+            out = out.append_column(t, left.column(t).take(pa.array(kept_rows, pa.int64())))
+        return out
 
     def share(table):
         return find_shared(table, anchor_rows)
@@ -449,9 +500,7 @@ def remove_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_
 
     early = items.groupBy("bucket").applyInArrow(compare, _ddl(_SHARED))
     back = shared.unionByName(early)
-    kinds = {pa.int64(): "long", pa.string(): "string"}
-    return by_slice.cogroup(back.groupBy("slice")).applyInArrow(
-        finish, ", ".join(f"{n} {kinds[t]}" for n, t in result))
+    return by_slice.cogroup(back.groupBy("slice")).applyInArrow(finish, schema)
 
 
 def _runs(a: np.ndarray):
